@@ -1,6 +1,6 @@
 """Queries opN_<name> of this subpackage and their DuckDB equivalents."""
 
-from . import chat, mixing, secrets, urls
+from . import chat, mixing, secrets, topk, urls
 
-QUERIES = {"op7_url_filter": urls.op7_url_filter, "op5_chat_format": chat.op5_chat_format, "op1_secret_scan": secrets.op1_secret_scan, "op6_mixing": mixing.op6_mixing}
-ORACLES = {"op7_url_filter": urls.OP7_SQL, "op5_chat_format": chat.OP5_SQL, "op1_secret_scan": secrets.OP1_SQL, "op6_mixing": mixing.OP6_SQL}
+QUERIES = {"op8_exact_topk": topk.op8_exact_topk, "op7_url_filter": urls.op7_url_filter, "op5_chat_format": chat.op5_chat_format, "op1_secret_scan": secrets.op1_secret_scan, "op6_mixing": mixing.op6_mixing}
+ORACLES = {"op8_exact_topk": topk.OP8_SQL, "op7_url_filter": urls.OP7_SQL, "op5_chat_format": chat.OP5_SQL, "op1_secret_scan": secrets.OP1_SQL, "op6_mixing": mixing.OP6_SQL}
