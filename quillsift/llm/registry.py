@@ -1,6 +1,6 @@
 """Queries opN_<name> of this subpackage and their DuckDB equivalents."""
 
-from . import chat, langid, mixing, secrets, topk, urls
+from . import chat, langid, mixing, quality, secrets, topk, urls
 
-QUERIES = {"op2_language_id": langid.op2_language_id, "op8_exact_topk": topk.op8_exact_topk, "op7_url_filter": urls.op7_url_filter, "op5_chat_format": chat.op5_chat_format, "op1_secret_scan": secrets.op1_secret_scan, "op6_mixing": mixing.op6_mixing}
+QUERIES = {"op3_quality": quality.op3_quality, "op2_language_id": langid.op2_language_id, "op8_exact_topk": topk.op8_exact_topk, "op7_url_filter": urls.op7_url_filter, "op5_chat_format": chat.op5_chat_format, "op1_secret_scan": secrets.op1_secret_scan, "op6_mixing": mixing.op6_mixing}
 ORACLES = {"op8_exact_topk": topk.OP8_SQL, "op7_url_filter": urls.OP7_SQL, "op5_chat_format": chat.OP5_SQL, "op1_secret_scan": secrets.OP1_SQL, "op6_mixing": mixing.OP6_SQL}
