@@ -1,4 +1,64 @@
-STAGES = []
+"""A corpus in five stages: language, near duplicates, secrets, mixture, pieces.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
+as Parquet in the shared folder and read again for the next one.  All but the
+last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillsift.llm import langid, mixing, neardup, pieces, secrets
+from quillsift.llm.common import materialize, table
+
+
+def known_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a learned language; those without a letter (und) go, and lang becomes the prediction where it was null."""
+    model = langid.fit(docs, F.lit(True))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = langid.identify(packed, model, id_col="row").where(F.col("lang_pred") != langid.UNKNOWN)
+    return found.select(*[F.coalesce(F.col("id.lang"), F.col("lang_pred")).alias(c) if c == "lang" else F.col(f"id.`{c}`") for c in docs.columns])
+
+
+def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without near duplicates: five-word shingles, similarity 0.8 or more, the smallest id stays."""
+    return neardup.keep_one(docs)
+
+
+def without_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; n_chars follows the text."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target weight has it."""
+    return mixing.repeat_documents(docs)
+
+
+def encoded(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every text's best segmentation, beside the other columns."""
+    out = pieces.with_ids(docs)
+    return out.withColumn("n_pieces", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("MinHash near-dedup", one_of_each_group),
+    ("secret scans", without_secrets),
+    ("mixing sources to target weights", mixture),
+    ("SentencePiece encoding", encoded),
+]
+
+#: The language model and the segmentation are beyond SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return None
+
+
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for place, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if place < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{place}")
+    return docs

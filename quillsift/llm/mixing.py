@@ -54,34 +54,22 @@ def water_fill(sizes: DataFrame, budget_ratio: float = 1.5, max_epochs: float =
     )
 
 
-def mix(docs: DataFrame, budget_ratio: float = 1.5, max_epochs: float = 2.0, weights=WEIGHTS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Repetitions of every document: (doc_id, size, source_size, target, repeats, taken).
+def _hashed(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` with the place of every row in its source's hash order: h, and its leading bits as bucket."""
+    return docs.withColumn("h", text_hash60(F.lit(seed), F.col("doc_id"))).withColumn("bucket", F.shiftright("h", 60 - BUCKET_BITS).cast("int"))
 
-    ``repeats`` is the whole number of epochs of its source, plus 1 for the
-    documents that the fractional epoch takes.  A source's taken words differ
-    from its target by at most half of one document.  Other input columns are
-    not used, so their names cannot clash.
 
-    Null text has size 0; null source is a source of its own; repeated rows
-    count as documents of their own, and equal rows differ in nothing but their
-    repeats.  An empty table gives an empty result.
+def _plan(sized: DataFrame, budget_ratio: float, max_epochs: float, weights) -> DataFrame:
+    """A row for each source: target, whole epochs, words of the fractional one, and the bucket where those end.
 
-    Only the crossing bucket of a source's hash order (1 in 65,536) is sorted;
-    all other documents are decided by their bucket alone, so a hot source
-    needs neither a sort nor a shuffle of its rows.
+    ``cross`` is that bucket, ``before`` the words in earlier ones.
     """
-    sized = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-        .withColumn("h", text_hash60(F.lit(seed), F.col("doc_id")))
-        .withColumn("bucket", F.shiftright("h", 60 - BUCKET_BITS).cast("int")),
-        "mix",
-    )
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     targets = water_fill(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), budget_ratio, max_epochs, weights)
     plan = targets.withColumn("whole", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")).withColumn(
         "more", F.col("target") - F.col("whole") * F.col("source_size")
     )
-    so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # at most 2^BUCKET_BITS rows
     crossing = (
         buckets.withColumn("after", F.sum("words").over(so_far))
         .alias("b")
@@ -91,13 +79,66 @@ def mix(docs: DataFrame, budget_ratio: float = 1.5, max_epochs: float = 2.0, wei
         .agg(F.min(F.struct("bucket", (F.col("after") - F.col("words")).alias("before"))).alias("cross"))
         .select("source", F.col("cross.bucket").alias("cross"), "cross.before")
     )
-    plan = materialize(plan.alias("p").join(crossing.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.*", "c.cross", "c.before"), "mix-plan")
-    joined = sized.alias("s").join(small_side(plan).alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.*", "p.source_size", "p.target", "p.whole", "p.more", "p.cross", "p.before")
-    on = F.col("bucket") == F.col("cross")
-    sorted_before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = joined.where(on).withColumn("extra", (F.col("before") + sorted_before + F.col("size") / 2 <= F.col("more")).cast("long"))
-    outside = joined.where(~F.coalesce(on, F.lit(False))).withColumn("extra", F.coalesce(F.col("bucket") < F.col("cross"), F.lit(False)).cast("long"))
-    return inside.unionByName(outside).select("doc_id", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("repeats"), ((F.col("whole") + F.col("extra")) * F.col("size")).alias("taken"))
+    return materialize(plan.alias("p").join(crossing.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.*", "c.cross", "c.before"), "mix-plan")
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    side = small_side(plan).alias("p")
+    return rows.alias("s").join(side, F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.*", "p.source_size", "p.target", "p.whole", "p.more", "p.cross", "p.before")
+
+
+ON_CROSS = "coalesce(bucket = cross, false)"
+BELOW_CROSS = "CAST(coalesce(bucket < cross, false) AS BIGINT)"
+
+
+def _inside(joined: DataFrame) -> DataFrame:
+    """The rows of crossing buckets, with ``extra``: 1 if the fractional epoch takes them."""
+    earlier = Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    return joined.where(ON_CROSS).withColumn("extra", (F.col("before") + F.coalesce(F.sum("size").over(earlier), F.lit(0)) + F.col("size") / 2 <= F.col("more")).cast("long"))
+
+
+def _sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    return materialize(_hashed(rows, seed), "mix")
+
+
+def mix(docs: DataFrame, budget_ratio: float = 1.5, max_epochs: float = 2.0, weights=WEIGHTS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Repetitions of every document: (doc_id, size, source_size, target, repeats, taken).
+
+    ``repeats`` is the whole number of epochs of its source, plus 1 for the
+    documents that the fractional epoch takes.  A source's taken words differ
+    from its target by at most half of one document.  Other input columns are
+    not used, so their names cannot clash.
+
+    Null text has size 0; null source is a source of its own; repeated rows
+    count as documents of their own, and equal rows differ in nothing but their
+    repeats.  An empty table gives an empty result.
+
+    Only the crossing bucket of a source's hash order (1 in 65,536) is sorted;
+    all other documents are decided by their bucket alone, so a hot source
+    needs neither a sort nor a shuffle of its rows.
+    """
+    sized = _sized(docs, seed, id_col, text_col, source_col)
+    joined = _with_plan(sized, _plan(sized, budget_ratio, max_epochs, weights))
+    outside = joined.where(f"NOT {ON_CROSS}").withColumn("extra", F.expr(BELOW_CROSS))
+    repeats = F.col("whole") + F.col("extra")
+    return _inside(joined).unionByName(outside).select("doc_id", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+
+
+def repeat_documents(docs: DataFrame, budget_ratio: float = 1.5, max_epochs: float = 2.0, weights=WEIGHTS, seed: int = 0) -> DataFrame:
+    """documents with every row as often as ``mix`` has it; rows of 0 repeats go.
+
+    The texts stay where they are: only the rows of crossing buckets are looked
+    up by id.  Rows of one id in one crossing bucket share a decision.
+    """
+    sized = _sized(docs, seed, "doc_id", "text", "source")
+    plan = _plan(sized, budget_ratio, max_epochs, weights)
+    extra = materialize(_inside(_with_plan(sized, plan)).groupBy("source", "doc_id").agg(F.max("extra").alias("extra")), "mix-extra")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"))
+    placed = _with_plan(_hashed(packed, seed), plan).alias("s")
+    looked = placed.join(small_side(extra).alias("x"), F.col("s.doc_id").eqNullSafe(F.col("x.doc_id")) & F.col("s.source").eqNullSafe(F.col("x.source")) & F.expr("coalesce(s.bucket = s.cross, false)"), "left")
+    times = looked.select("s.row", (F.col("whole") + F.when(F.expr(ON_CROSS), F.coalesce("extra", F.lit(0))).otherwise(F.expr(BELOW_CROSS))).cast("int").alias("times"))
+    return times.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), "times")).alias("copy")).select("row.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

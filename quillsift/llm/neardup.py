@@ -285,6 +285,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     return out.unionByName(unknown).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
+    """documents without all but one of each group of near duplicates (the smallest id stays).
+
+    Of repeated rows of one id one stays.  Only ids that go, or come more than
+    once, are joined, and texts move only where those are too many to broadcast.
+    """
+    found = materialize(near_duplicates(docs, k).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("c")).where("NOT kept OR c > 1"), "removed")
+    once = docs.join(small_side(found.select("doc_id"), MEMBERS), "doc_id", "left_anti")
+    more = docs.join(small_side(found.where("kept").select("doc_id"), MEMBERS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(more).select(*docs.columns)
+
+
 def _sizes(batches, k):
     for b in batches:
         yield pd.DataFrame({"doc_id": [None] * len(b), "n_shingles": [len(shingle_set(t, k)) for t in b["text"]], "component_id": [None] * len(b)}).astype({"doc_id": "Int64", "component_id": "Int64"})

@@ -277,6 +277,17 @@ def encoded_digests(docs: DataFrame, model: str = MODEL, n: int = N_BEST, id_col
     return docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("x")).select("doc_id", "x.*")
 
 
+def with_ids(docs: DataFrame, model: str = MODEL, text_col: str = "text", into: str = "ids") -> DataFrame:
+    """``docs`` with the ids of the best segmentation (array of int) in place of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(shared.value.encode(t)[0][1], dtype="<i4") for t in texts], dtype=object)
+
+    return docs.withColumn(into, run(F.col(text_col))).drop(text_col)
+
+
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
     return encoded_digests(table(spark, sf_dir, "documents"))
 
