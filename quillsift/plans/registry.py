@@ -1,4 +1,355 @@
-"""Registered queries of the core engine and their DuckDB equivalents."""
+"""Registered queries of the core engine and their DuckDB equivalents.
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+``documents`` stand for cleaned documents, ``pages`` for raw pages, and
+``embeddings`` for sentence vectors (label: document, vec_id: sentence).
+"""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from ..operators import context, keyword, text, topics, vectors
+from ..streaming import ingest
+
+KEYWORDS = ["tion", "the", "of", "bles", "zeta", "the", "que"]
+QUESTION = "the ble of the tion and que"
+CHUNK = 1000
+STREAM_DIMS = 64
+
+
+def read(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", "text").where("trim(text) <> ''")
+
+
+def given_sentences(spark, sf_dir):
+    return text.sentences(documents(spark, sf_dir))
+
+
+def given_keywords(spark):
+    return keyword.keyword_table(spark, KEYWORDS)
+
+
+def hits(spark, sf_dir):
+    return keyword.postings(given_sentences(spark, sf_dir), given_keywords(spark))
+
+
+def sentence_vectors(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select(F.col("label").alias("doc"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def query_vector(spark, sf_dir, ids=(0,)):
+    return read(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), vectors.doubles(F.col("embedding")).alias("q"))
+
+
+def rounded(rep):
+    return F.transform(rep, lambda x: F.round(x, 6))
+
+
+# --- text -----------------------------------------------------------------
+
+
+def page_blocks(spark, sf_dir):
+    return text.page_blocks(read(spark, sf_dir, "pages"))
+
+
+def page_lines(spark, sf_dir):
+    """Pages with lines of every kind that cleaning drops."""
+    body = F.array_join(text.html_lines(F.col("html")), "\n")
+    return read(spark, sf_dir, "pages").select("page_id", F.concat_ws("\n", "url", F.col("page_id").cast("string"), F.lit("***"), F.lit(""), body).alias("text"))
+
+
+def clean_lines(spark, sf_dir):
+    return page_lines(spark, sf_dir).select("page_id", F.posexplode(text.clean_line_array(F.col("text"))).alias("line_no", "line"))
+
+
+def clean_text(spark, sf_dir):
+    return page_lines(spark, sf_dir).select("page_id", text.clean_text(F.col("text")).alias("text"))
+
+
+def lemma_tokens(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.explode(text.lemma_array(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+def split_sentences(spark, sf_dir):
+    return given_sentences(spark, sf_dir)
+
+
+def valid_tokens(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.explode(text.token_array(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def chunk_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(text.chunk_array(F.col("text"), CHUNK)).alias("chunk", "part"))
+
+
+def dedup_sentences(spark, sf_dir):
+    return text.dedup_sentences(given_sentences(spark, sf_dir))
+
+
+def file_number(spark, sf_dir):
+    stems = read(spark, sf_dir, "documents").select("doc_id", F.expr("CASE WHEN doc_id % 3 = 0 THEN concat('embeddings', doc_id) WHEN doc_id % 3 = 1 THEN concat('pdf_', doc_id, '_v2') ELSE 'sentences' END").alias("stem"))
+    return stems.select("stem", text.file_number(F.col("stem")).alias("number"))
+
+
+# --- index ----------------------------------------------------------------
+
+
+def inverted_index(spark, sf_dir):
+    return keyword.inverted_index(keyword.postings(given_sentences(spark, sf_dir)))
+
+
+def merge_postings(spark, sf_dir):
+    """The index of even and of odd sentences, merged."""
+    posts = keyword.postings(given_sentences(spark, sf_dir))
+    part = lambda r: keyword.inverted_index(posts.where(F.col("sent_id") % 2 == r))
+    return keyword.merge_postings(part(0).unionByName(part(1)))
+
+
+def term_sentence_freq(spark, sf_dir):
+    return keyword.term_sentence_freq(keyword.postings(given_sentences(spark, sf_dir)))
+
+
+# --- keywords -------------------------------------------------------------
+
+
+def keyword_doc_score(spark, sf_dir):
+    scores = keyword.doc_scores(hits(spark, sf_dir), given_keywords(spark))
+    return keyword.with_all_documents(documents(spark, sf_dir), scores).select("doc_id", "coverage", "total", F.round("score", 6).alias("score"))
+
+
+def keyword_doc_rank(spark, sf_dir):
+    return keyword.top_documents(keyword.doc_scores(hits(spark, sf_dir), given_keywords(spark)), 20).select("rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def keyword_doc_share(spark, sf_dir):
+    scores = keyword.doc_scores(hits(spark, sf_dir), given_keywords(spark))
+    total = scores.agg(F.sum("points").alias("all"))  # one row
+    return scores.join(F.broadcast(total)).select("doc_id", F.round(100.0 * F.col("points") / F.nullif(F.col("all"), F.lit(0)), 6).alias("share"))
+
+
+def keyword_sentence_count(spark, sf_dir):
+    return keyword.sentence_counts(hits(spark, sf_dir), given_keywords(spark))
+
+
+def keyword_global_count(spark, sf_dir):
+    counts = keyword.sentence_counts(hits(spark, sf_dir), given_keywords(spark))
+    return counts.join(given_sentences(spark, sf_dir), ["doc_id", "sent_id"]).groupBy("sentence").agg(F.sum("hits").alias("hits"))
+
+
+def keyword_intersection(spark, sf_dir):
+    both = keyword.intersection(hits(spark, sf_dir))
+    return both.join(given_sentences(spark, sf_dir), ["doc_id", "sent_id"]).groupBy("sentence").agg(F.count("*").alias("n"))
+
+
+def keyword_concat(spark, sf_dir):
+    rows = hits(spark, sf_dir).join(F.broadcast(given_keywords(spark)), "term")
+    return rows.join(given_sentences(spark, sf_dir), ["doc_id", "sent_id"]).select("ord", "doc_id", "sent_id", "sentence")
+
+
+def missing_keywords(spark, sf_dir):
+    return keyword.missing_keywords(given_keywords(spark), hits(spark, sf_dir))
+
+
+def extract_keywords(spark, sf_dir):
+    return keyword.extract_keywords(documents(spark, sf_dir))
+
+
+def parse_keyword_reply(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.expr("CASE WHEN doc_id % 3 < 2 THEN concat('Extracted: [', source, ', ', lang, '] associated: [', lang, ',x]') ELSE concat('only [', source, ']') END").alias("reply"))
+    first, second = keyword.parse_reply(F.col("reply"))
+    return rows.select("doc_id", first.alias("extracted"), second.alias("associated"))
+
+
+def regex_keyword_count(spark, sf_dir):
+    counted = given_sentences(spark, sf_dir).select("doc_id", "sent_id", keyword.regex_count(F.col("sentence"), ["the", "que", "The"]).cast("long").alias("hits"))
+    return counted.where("hits > 0")
+
+
+# --- context --------------------------------------------------------------
+
+
+def ranked_sentences(spark, sf_dir):
+    counts = keyword.sentence_counts(hits(spark, sf_dir), given_keywords(spark))
+    return counts.join(given_sentences(spark, sf_dir), ["doc_id", "sent_id"])
+
+
+def pack_context(spark, sf_dir):
+    return context.pack(ranked_sentences(spark, sf_dir), [F.col("hits").desc(), F.col("doc_id"), F.col("sent_id")]).select("place", "doc_id", "sent_id", "used", "sentence")
+
+
+def packed_by_document(spark, sf_dir):
+    limit = context.LIMIT + 2
+    best = keyword.top_documents(keyword.doc_scores(hits(spark, sf_dir), given_keywords(spark)), limit)  # each has a hit, so more cannot fit
+    rows = ranked_sentences(spark, sf_dir).join(F.broadcast(best.select("doc_id", "rank")), "doc_id")
+    return context.pack(rows, [F.col("rank"), F.col("hits").desc(), F.col("sent_id")])
+
+
+def keyword_context(spark, sf_dir):
+    return packed_by_document(spark, sf_dir).select("place", "doc_id", "sent_id", "used", "sentence")
+
+
+def build_prompt(spark, sf_dir):
+    return context.prompt(packed_by_document(spark, sf_dir), QUESTION)
+
+
+def bm25_doc_score(spark, sf_dir):
+    return keyword.bm25_documents(documents(spark, sf_dir), given_keywords(spark))
+
+
+def bm25_sentence_score(spark, sf_dir):
+    return keyword.bm25_sentences(documents(spark, sf_dir), given_keywords(spark))
+
+
+# --- vectors --------------------------------------------------------------
+
+
+def normalize_vectors(spark, sf_dir):
+    return sentence_vectors(spark, sf_dir).select("id", rounded(vectors.normalized(vectors.doubles(F.col("vector")))).alias("v"))
+
+
+def rep_mean(spark, sf_dir):
+    return vectors.rep_mean(sentence_vectors(spark, sf_dir)).select("doc", F.posexplode(rounded(F.col("rep"))).alias("i", "x"))
+
+
+def rep_adaptive_pca(spark, sf_dir):
+    return vectors.rep_adaptive_pca(sentence_vectors(spark, sf_dir)).select(F.col("doc").cast("int").alias("doc"), F.posexplode(rounded(F.col("rep"))).alias("i", "x"))
+
+
+def rep_pca_kmeans(spark, sf_dir):
+    return vectors.rep_pca_kmeans(sentence_vectors(spark, sf_dir)).select(F.col("doc").cast("int").alias("doc"), F.posexplode(rounded(F.col("rep"))).alias("i", "x"))
+
+
+def pca_dim(spark, sf_dir):
+    return vectors.rep_adaptive_pca(sentence_vectors(spark, sf_dir)).select("doc", "dim")
+
+
+def elbow_k(spark, sf_dir):
+    """Errors of keeping the first k components, for k from 2 to 9."""
+    rows = sentence_vectors(spark, sf_dir).select("doc", vectors.doubles(F.col("vector")).alias("v"))
+    errors = rows.select("doc", F.posexplode("v").alias("i", "x")).groupBy("doc").agg(*[F.round(F.sum(F.when(F.col("i") >= k, F.col("x") * F.col("x"))), 4).alias(str(k)) for k in range(2, 10)])
+    sse = errors.unpivot("doc", [str(k) for k in range(2, 10)], "k", "sse").withColumn("k", F.col("k").cast("int"))
+    return vectors.elbow_k(sse)
+
+
+def cluster_weights(spark, sf_dir):
+    return vectors.cluster_weights(read(spark, sf_dir, "embeddings"), "label")
+
+
+def rep_append(spark, sf_dir):
+    """Even documents come again, with the negated vector."""
+    reps = vectors.rep_mean(sentence_vectors(spark, sf_dir))
+    again = reps.where("doc % 2 = 0").select("doc", F.lit(1).alias("version"), F.transform("rep", lambda x: -x).alias("rep"))
+    out = vectors.rep_append(reps.select("doc", F.lit(0).alias("version"), "rep"), again)
+    return out.select("doc", "version", F.posexplode(rounded(F.col("rep"))).alias("i", "x"))
+
+
+def doc_similarity_topk(spark, sf_dir):
+    reps = vectors.rep_mean(sentence_vectors(spark, sf_dir)).select(F.col("doc").alias("id"), F.col("rep").alias("vector"))
+    return vectors.nearest(reps, query_vector(spark, sf_dir), 3).select("rank", F.col("id").alias("doc"), F.round("score", 6).alias("score"))
+
+
+def knn_cosine(spark, sf_dir):
+    return vectors.nearest(sentence_vectors(spark, sf_dir), query_vector(spark, sf_dir, (0, 1, 2)), 10).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def knn_l2(spark, sf_dir):
+    return vectors.nearest(sentence_vectors(spark, sf_dir), query_vector(spark, sf_dir, (0, 1, 2)), 5, vectors.l2_squared, ascending=True).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def sentences_for_docs(spark, sf_dir):
+    best = keyword.top_documents(keyword.doc_scores(hits(spark, sf_dir), given_keywords(spark)), 3)
+    return given_sentences(spark, sf_dir).join(F.broadcast(best), "doc_id", "left_semi")
+
+
+def _two_stage(spark, sf_dir, reps, docs, sents):
+    out = vectors.two_stage(sentence_vectors(spark, sf_dir), reps, query_vector(spark, sf_dir), docs, sents)
+    return out.select("rank", F.col("doc").cast("int").alias("doc"), "id", F.round("score", 6).alias("score"))
+
+
+def two_stage_mean(spark, sf_dir):
+    return _two_stage(spark, sf_dir, vectors.rep_mean(sentence_vectors(spark, sf_dir)), 3, 3)
+
+
+def two_stage_adaptive(spark, sf_dir):
+    return _two_stage(spark, sf_dir, vectors.rep_adaptive_pca(sentence_vectors(spark, sf_dir)), 2, 100)
+
+
+def two_stage_kmeans(spark, sf_dir):
+    return _two_stage(spark, sf_dir, vectors.rep_pca_kmeans(sentence_vectors(spark, sf_dir)), 3, 100)
+
+
+# --- topics ---------------------------------------------------------------
+
+
+def topic_weights(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    counts = topics.unit_terms(docs, "doc_id")
+    vocab = topics.vocabulary(docs, counts)
+    return vocab, topics.weighted(counts, vocab, "doc_id")
+
+
+def assigned(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("trim(text) <> ''").select("doc_id", F.col("source").alias("topic"))
+
+
+def tfidf(spark, sf_dir):
+    return topic_weights(spark, sf_dir)[1].select("doc_id", "term", F.round("w", 6).alias("w"))
+
+
+def topic_centroids(spark, sf_dir):
+    return topics.centroids(topic_weights(spark, sf_dir)[1], assigned(spark, sf_dir), "doc_id").select("topic", "term", F.round("w", 6).alias("w"))
+
+
+def topic_match(spark, sf_dir):
+    vocab, weights = topic_weights(spark, sf_dir)
+    question = spark.createDataFrame([(0, QUESTION)], "query_id int, text string")
+    return topics.match(question, vocab, topics.centroids(weights, assigned(spark, sf_dir), "doc_id"))
+
+
+def topic_context(spark, sf_dir):
+    """Sentences of the best topic's documents by whole-word matches, packed behind the header."""
+    best = topic_match(spark, sf_dir).orderBy(F.col("sim").desc(), "topic").limit(1)
+    chosen = read(spark, sf_dir, "documents").join(F.broadcast(best), F.col("source") == F.col("topic"), "left_semi").select("doc_id", "text").where("trim(text) <> ''")
+    counted = text.sentences(chosen).withColumn("hits", keyword.regex_count(F.col("sentence"), ["the", "que"])).where("hits > 0")
+    return context.pack(counted, [F.col("hits").desc(), F.col("doc_id"), F.col("sent_id")], separator=0, initial=len(context.HEADER)).select("place", "doc_id", "sent_id", "sentence")
+
+
+def topic_clusters(spark, sf_dir):
+    return topics.clusters(documents(spark, sf_dir), "doc_id", 5)
+
+
+def embed_sentences(spark, sf_dir):
+    return topics.embed(documents(spark, sf_dir), "doc_id").select("doc_id", "i", F.round("x", 6).alias("x"))
+
+
+def streaming_ingest(spark, sf_dir):
+    """The embeddings as a stream of files: representatives from the ingested tables."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillsift-stream-")
+    out = f"{base.rstrip('/')}/ingest-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    given = read(spark, sf_dir, "embeddings")
+    stream = ingest.stream_files(spark, f"{sf_dir}/embeddings.parquet", given.schema).select(F.col("label").alias("doc"), F.col("embedding").alias("vector"))
+    ingest.ingest_representatives(stream, out, f"{out}/checkpoint").awaitTermination()
+    return ingest.latest(spark, f"{out}/reps", "doc").select("doc", F.posexplode(rounded(F.col("rep"))).alias("i", "x"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        page_blocks, clean_lines, clean_text, lemma_tokens, split_sentences, valid_tokens, chunk_text, dedup_sentences, file_number,
+        inverted_index, merge_postings, term_sentence_freq,
+        keyword_doc_score, keyword_doc_rank, keyword_doc_share, keyword_sentence_count, keyword_global_count, keyword_intersection, keyword_concat,
+        missing_keywords, extract_keywords, parse_keyword_reply, regex_keyword_count,
+        pack_context, keyword_context, build_prompt, bm25_doc_score, bm25_sentence_score,
+        normalize_vectors, rep_mean, rep_adaptive_pca, rep_pca_kmeans, pca_dim, elbow_k, cluster_weights, rep_append,
+        doc_similarity_topk, knn_cosine, knn_l2, sentences_for_docs, two_stage_mean, two_stage_adaptive, two_stage_kmeans,
+        tfidf, topic_centroids, topic_match, topic_context, topic_clusters, embed_sentences, streaming_ingest,
+    )
+}
+
+from .oracles import ORACLES  # noqa: E402
