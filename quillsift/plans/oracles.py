@@ -173,7 +173,7 @@ ORACLES = {
     + SENTENCES
     + ", "
     + MATCH[MATCH.index("words AS") :]  # without docs, which the sentences bring
-    + f", chosen AS (SELECT sents.*, {WHOLE_WORDS % chr(39).join(['', 'the', ', ', 'que', ''])} AS hits FROM sents JOIN docs USING (doc_id) WHERE source = (SELECT topic FROM sims ORDER BY sim DESC, topic LIMIT 1)), ranked AS (SELECT * FROM chosen WHERE hits > 0)"
+    + f", best AS MATERIALIZED (SELECT topic FROM sims ORDER BY sim DESC, topic LIMIT 1), chosen AS (SELECT sents.*, {WHOLE_WORDS % chr(39).join(['', 'the', ', ', 'que', ''])} AS hits FROM sents JOIN docs USING (doc_id) WHERE source IN (SELECT topic FROM best)), ranked AS (SELECT * FROM chosen WHERE hits > 0)"
     + PACKED.format(sep=0, initial=len(context.HEADER), order="hits DESC, doc_id, sent_id", rows="ranked")
     + " SELECT place::INT AS place, doc_id, sent_id, sentence FROM packed",
     "embed_sentences": rf"WITH {DOCS}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{topics.TERM}')) AS t FROM docs), b AS (SELECT doc_id, (('0x' || substr(md5(t), 1, 6))::INT % 64)::INT AS i, count(*) AS c FROM w GROUP BY ALL) SELECT doc_id, i, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS x FROM b",

@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,7 +17,6 @@ from ..streaming import ingest
 KEYWORDS = ["tion", "the", "of", "bles", "zeta", "the", "que"]
 QUESTION = "the ble of the tion and que"
 CHUNK = 1000
-STREAM_DIMS = 64
 
 
 def read(spark, sf_dir, name):
@@ -329,11 +329,11 @@ def embed_sentences(spark, sf_dir):
 
 
 def streaming_ingest(spark, sf_dir):
-    """The embeddings as a stream of files: representatives from the ingested tables."""
+    """The embeddings as a stream of files (a pattern, as a stream's path is a folder or a pattern): representatives from the ingested tables."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillsift-stream-")
-    out = f"{base.rstrip('/')}/ingest-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    out = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
     given = read(spark, sf_dir, "embeddings")
-    stream = ingest.stream_files(spark, f"{sf_dir}/embeddings.parquet", given.schema).select(F.col("label").alias("doc"), F.col("embedding").alias("vector"))
+    stream = ingest.stream_files(spark, f"{sf_dir}/embeddings.parque[t]", given.schema).select(F.col("label").alias("doc"), F.col("embedding").alias("vector"))
     ingest.ingest_representatives(stream, out, f"{out}/checkpoint").awaitTermination()
     return ingest.latest(spark, f"{out}/reps", "doc").select("doc", F.posexplode(rounded(F.col("rep"))).alias("i", "x"))
 
