@@ -103,7 +103,7 @@ def _sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: s
 
 
 def mix(docs: DataFrame, budget_ratio: float = 1.5, max_epochs: float = 2.0, weights=WEIGHTS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Repetitions of every document: (doc_id, size, source_size, target, repeats, taken).
+    """Repetitions of every document: (doc_id, size, source_size, target, taken, repeats).
 
     ``repeats`` is the whole number of epochs of its source, plus 1 for the
     documents that the fractional epoch takes.  A source's taken words differ
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, budget_ratio: float = 1.5, max_epochs: float = 2.0, wei
     joined = _with_plan(sized, _plan(sized, budget_ratio, max_epochs, weights))
     outside = joined.where(f"NOT {ON_CROSS}").withColumn("extra", F.expr(BELOW_CROSS))
     repeats = F.col("whole") + F.col("extra")
-    return _inside(joined).unionByName(outside).select("doc_id", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+    return _inside(joined).unionByName(outside).select("doc_id", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats"))
 
 
 def repeat_documents(docs: DataFrame, budget_ratio: float = 1.5, max_epochs: float = 2.0, weights=WEIGHTS, seed: int = 0) -> DataFrame:
