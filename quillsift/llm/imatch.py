@@ -1,6 +1,7 @@
 """Document fingerprints by I-Match with several randomised lexicons, as SQL expressions.
 
-Terms are the lower-cased words of the whole text.  The lexicon keeps terms
+Terms are the lower-cased words of the whole text, cut at ASCII characters
+that are no letters or digits.  The lexicon keeps terms
 within a band of inverse document frequency, ln(N / df).  A text's terms in
 the lexicon, distinct and sorted by their hash, are hashed as a whole, and so
 are their intersections with random subsets of the lexicon: each of DRAWS
@@ -27,14 +28,14 @@ BITS = 21
 #: Least and greatest idf of the band.
 IDF_BAND = (0.9, 7.6)
 DRAWS = 8
-LEVELS = 5
-WORD_BREAK = r"[^\\p{L}\\p{N}]+"
+LEVELS = 4
+WORD_BREAK = r"[\\x00-/:-@\\[-`{-\\x7F]+"
 NONE = "........"
 
 
 def term_hashes(text: str) -> str:
     """SQL: sorted distinct hashes of a text's terms."""
-    return f"array_sort(array_distinct(transform(filter(split(lower({text}), '{WORD_BREAK}', -1), w -> w != ''), w -> xxhash64(w))))"
+    return f"sort_array(array_distinct(transform(array_remove(split(lower({text}), '{WORD_BREAK}', -1), ''), w -> xxhash64(w))))"
 
 
 def bucket(h: str) -> str:
@@ -48,9 +49,11 @@ def lexicon(terms: DataFrame, band=IDF_BAND) -> str:
     many documents there are); the 2^BITS / 64 words of bits come to the driver
     and go into the expressions as a constant.
     """
-    row = terms.agg(F.count(F.when(F.size("terms") > 0, 1)).alias("docs")).first()
-    df = terms.select(F.explode(F.expr(f"array_distinct(transform(terms, h -> {bucket('h')}))")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
-    inside = df.where(F.log(F.lit(float(row["docs"])) / F.col("df")).between(*band))
+    # A row of bucket -1 for each document with terms counts the documents along with the buckets.
+    buckets = F.expr(f"array_distinct(transform(terms, h -> {bucket('h')}))")
+    df = materialize(terms.where(F.size("terms") > 0).select(F.explode(F.concat(F.array(F.lit(-1)), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df")), "df")
+    docs = df.where("bucket = -1").agg(F.max("df")).first()[0] or 1
+    inside = df.where((F.col("bucket") >= 0) & F.log(F.lit(float(docs)) / F.col("df")).between(*band))
     words = inside.groupBy(F.expr("bucket DIV 64").cast("int").alias("i")).agg(F.expr("bit_or(shiftleft(1L, CAST(bucket % 64 AS INT)))").alias("word"))
     bits = [0] * (2**BITS // 64)
     for r in words.collect():
@@ -65,13 +68,16 @@ def signature(terms: str, bits: str) -> str:
     """
     known = f"filter({terms}, h -> ({bits}[CAST({bucket('h')} DIV 64 AS INT)] & shiftleft(1L, CAST(({bucket('h')}) % 64 AS INT))) != 0)"
     short = lambda a: f"IF(size({a}) = 0, '{NONE}', lower(substring(lpad(hex(xxhash64({a})), 16, '0'), 9)))"
-    # For each draw the nested subsets: a term is in level l if the low 2 * l bits of its draw are 0.
-    nest = f"""aggregate(sequence(1, {LEVELS}), named_struct('left', transform(t, h -> named_struct('h', h, 'u', xxhash64(h, draw))), 'out', CAST(array() AS ARRAY<STRING>)),
-        (st, l) -> transform(array(filter(st.left, x -> (x.u & (shiftleft(1L, 2 * l) - 1)) = 0)), kept -> named_struct('left', kept, 'out',
-            concat(st.out, transform(array(transform(kept, x -> x.h)), g -> {short('g')}))))[0],
-        st -> st.out)"""
+    # A draw has 2 * LEVELS bits of a term's hash of its own; level l holds the terms whose low 2 * l of them are 0.
+    def nest(draw: int, level: int, above: str) -> str:
+        mask = (4**level - 1) << (2 * LEVELS * draw)
+        mask = mask - 2**64 if mask >= 2**63 else mask
+        here = f"g{draw}_{level}"
+        out = f"concat(array({short(here)}), {nest(draw, level + 1, here)})" if level < LEVELS else f"array({short(here)})"
+        return f"transform(array(filter({above}, h -> (h & {mask}L) = 0)), {here} -> {out})[0]"
+
     return f"""transform(transform(array({known}), k -> IF(size(k) = 0, {terms}, k)), t ->
-        concat(array({short('t')}), flatten(transform(sequence(1, {DRAWS}), draw -> {nest}))))[0]"""
+        concat(array({short('t')}), {', '.join(nest(draw, 1, 't') for draw in range(DRAWS))}))[0]"""
 
 
 def likeness(a: str, b: str) -> F.Column:
@@ -110,18 +116,22 @@ def edited_fingerprints(docs: DataFrame, band=IDF_BAND, id_col: str = "doc_id",
     one whose beginning is smallest is the next document.  Null text counts as
     empty; an empty table gives an empty result.  Other columns are not read.
     """
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bits = lexicon(given.select(F.expr(term_hashes("text")).alias("terms")), band)
+    named = lambda c, name, kind: F.col(c) if c == name and dict(docs.dtypes)[c] == kind else F.col(c).cast(kind).alias(name)
+    given = docs.select(named(id_col, "doc_id", "bigint"), named(text_col, "text", "string"))
+    whole_text = F.coalesce(F.col("text"), F.lit(""))
+    bits = lexicon(given.select(F.expr(term_hashes("coalesce(text, '')").removeprefix("sort_array(").removesuffix(")")).alias("terms")), band)  # in any order
     known = given.where(F.col("doc_id").isNotNull())
     order = materialize(next_ids(known.select("doc_id").distinct()), "next")
     # How much of each document its predecessor takes: the most that any row of it needs.
-    most = known.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("need"))
-    need = most.join(order, "doc_id").select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "need")
-    heads = known.join(need, "doc_id").select(F.col("before").alias("doc_id"), F.expr("substring(text, 1, need)").alias("head")).groupBy("doc_id").agg(F.min("head").alias("head"))
-    whole = known.join(heads, "doc_id", "left").join(order, "doc_id", "left")
-    whole = whole.unionByName(given.where(F.col("doc_id").isNull()).withColumn("head", F.lit(None).cast("string")).withColumn("next_id", F.lit(None).cast("long")))
+    most = known.groupBy("doc_id").agg(F.max(F.floor(F.length(whole_text) / 4)).cast("int").alias("need"))
+    need = materialize(most.join(order, "doc_id").select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "need"), "need")
+    # Both joins deal the texts by doc_id in one and the same exchange, which Spark reuses: both read ``known`` as it is.
+    heads = known.join(need.hint("merge"), "doc_id").select(F.col("before").alias("doc_id"), F.substring(whole_text, F.lit(1), F.col("need")).alias("head")).groupBy("doc_id").agg(F.min("head").alias("head"))
+    taken = order.join(heads, "doc_id", "left")
+    whole = known.join(taken.hint("merge"), "doc_id", "left")
+    whole = whole.unionByName(given.where(F.col("doc_id").isNull()).withColumn("next_id", F.lit(None).cast("long")).withColumn("head", F.lit(None).cast("string")))
     cut = "CAST(length(text) DIV 4 AS INT)"
-    edited = whole.select("doc_id", "next_id", "text", F.expr(f"concat(substring(text, 1, length(text) - {cut}), substring(coalesce(head, ''), 1, {cut}))").alias("edited"))
+    edited = whole.select("doc_id", "next_id", whole_text.alias("text"), "head").select("doc_id", "next_id", "text", F.expr(f"concat(substring(text, 1, length(text) - {cut}), substring(coalesce(head, ''), 1, {cut}))").alias("edited"))
     terms = edited.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.expr(term_hashes("text")).alias("terms"), F.expr(term_hashes("edited")).alias("edited_terms"))
     return terms.select("doc_id", "next_id", "n_chars", "edited_sha256", F.expr(signature("terms", bits)).alias("signature"), F.expr(signature("edited_terms", bits)).alias("edited_signature"))
 
