@@ -36,6 +36,10 @@ UNKNOWN = 10.0
 CACHE = 1_000_000
 N_BEST = 3
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Texts whose unknown parts are solved together, and the longest part and the most parts of a table.
+TEXTS = 256
+LONGEST = 24
+ROWS = 4096
 #: Stands for a mark that the text itself holds, until it becomes bytes (a code point that no text can hold).
 OWN_MARK = "\udc81"
 
@@ -54,14 +58,13 @@ class Vocabulary:
             for c in p:
                 node = node.setdefault(c, {})
             node[0] = value
-        #: Neighbours inside some piece; between any others all paths meet.
-        self.pairs = {p[n : n + 2] for p in self.score for n in range(len(p) - 1)}
         self.unknown = min((s for s, _ in self.score.values()), default=0.0) - UNKNOWN
         joined = {c for p in self.score if len(p) > 1 for c in p}
         self.whole_marks = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score)
         # Parts: a run of marks with what follows; a character that stands in no longer piece is a part of its own.
         alone = "".join(c for c in "\n\t\r" if c not in joined)
         self.split = re.compile(f"[{re.escape(alone)}]|{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+") if self.whole_marks else re.compile(r"(?s).+")
+        self.table = None
         self.forget()
 
     def forget(self) -> None:
@@ -80,10 +83,11 @@ class Vocabulary:
         return cls([(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())])
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("place", "ids", "scores", "losses")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("place", "ids", "scores", "losses", "table")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
+        self.table = None
         self.forget()
 
     def edges(self, part: str, at: int):
@@ -161,15 +165,7 @@ class Vocabulary:
                     second = x
         return tuple(ids), forward[size], forward[size] - second
 
-    def solve(self, part: str) -> int:
-        """The place of a part that is solved and remembered by this."""
-        cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in self.pairs]
-        if cuts:
-            places = [self.place[x] if x in self.place else self.solve(x) for x in map(part.__getitem__, map(slice, [0, *cuts], [*cuts, len(part)]))]
-            ids, score, loss = b"".join([self.ids[i] for i in places]), float(self.scores[places].sum()), float(self.losses[places].min())
-        else:
-            best = self.best_path(part)
-            ids, score, loss = np.array(best[0], dtype="<u4").tobytes(), best[1], best[2]
+    def remember(self, part: str, ids: bytes, score: float, loss: float) -> int:
         place = self.place[part] = len(self.ids)
         if place == len(self.scores):
             self.scores, self.losses = np.resize(self.scores, 2 * place), np.resize(self.losses, 2 * place)
@@ -177,16 +173,115 @@ class Vocabulary:
         self.scores[place], self.losses[place] = score, loss
         return place
 
+    def solve(self, part: str) -> int:
+        """The place of a part that is solved and remembered by this."""
+        ids, score, loss = self.best_path(part)
+        return self.remember(part, np.array(ids, dtype="<u4").tobytes(), score, loss)
+
+    def _table(self):
+        """The trie as arrays, for characters below U+3000 that are pieces: (column of a character, next node, score, id)."""
+        if self.table is None:
+            column = np.full(0x3000, -1, dtype=np.int32)
+            known = sorted(c for c in self.score if len(c) == 1 and (ord(c) < 0x250 or c == MARK))
+            column[[ord(c) for c in known]] = np.arange(len(known))
+            nodes, edges = [self.trie], []
+            for at, node in enumerate(nodes):  # grows while it is read
+                for c in known:
+                    if c in node:
+                        edges.append((at, column[ord(c)], len(nodes)))
+                        nodes.append(node[c])
+            following = np.full((len(nodes) + 1, len(known)), len(nodes), dtype=np.int32)  # the last node is a dead end
+            if edges:
+                at, c, to = np.array(edges, dtype=np.int64).T
+                following[at, c] = to
+            score = np.array([n[0][0] if 0 in n else -np.inf for n in nodes] + [-np.inf])
+            ids = np.array([n[0][1] if 0 in n else 0 for n in nodes] + [0], dtype=np.uint32)
+            self.table = (column, following, score, ids, max(map(len, self.score)))
+        return self.table
+
+    def solve_many(self, parts) -> None:
+        """The same as best_path for many parts, by tables of parts of equal length."""
+        column = self._table()[0]
+        by_size: dict[int, list[str]] = {}
+        for p in parts:
+            by_size.setdefault(len(p), []).append(p)
+        for size, group in by_size.items():
+            if size > LONGEST or len(group) < 8:
+                for p in group:
+                    self.solve(p)
+                continue
+            for at in range(0, len(group), ROWS):
+                some = group[at : at + ROWS]
+                points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(some), size)
+                chars = np.where(points < len(column), column[np.minimum(points, len(column) - 1)], -1)
+                plain = (chars >= 0).all(axis=1)
+                for i in np.flatnonzero(~plain):
+                    self.solve(some[i])
+                if plain.any():
+                    self._solve_table([some[i] for i in np.flatnonzero(plain)], chars[plain])
+
+    def _solve_table(self, parts: list[str], chars: np.ndarray) -> None:
+        _, following, score, ids, longest = self._table()
+        rows, size = chars.shape
+        forward = np.full((size + 1, rows), -np.inf)
+        forward[0] = 0
+        edges = []  # (start, end, score of the piece or -inf, its id), over all rows
+        for start in range(size):
+            node = np.zeros(rows, dtype=np.int32)
+            for end in range(start + 1, min(size, start + longest) + 1):
+                node = following[node, chars[:, end - 1]]
+                s = score[node]
+                if np.isneginf(s).all():
+                    if (node == len(following) - 1).all():
+                        break
+                    continue
+                edges.append((start, end, s, ids[node]))
+                np.maximum(forward[end], forward[start] + s, out=forward[end])
+        backward = np.full((size + 1, rows), -np.inf)
+        backward[size] = 0
+        stop = np.zeros((size, rows), dtype=np.int64)
+        piece = np.zeros((size, rows), dtype=np.uint32)
+        for start, end, s, i in reversed(edges):  # all edges of a start come together, the later starts first
+            x = s + backward[end]
+            better = (x > backward[start]) | ((x == backward[start]) & (x > -np.inf) & (i < piece[start]))
+            backward[start][better] = x[better]
+            stop[start][better] = end
+            piece[start][better] = i[better]
+        on_path = np.zeros((size, rows), dtype=bool)
+        here, every = np.zeros(rows, dtype=np.int64), np.arange(rows)
+        while (live := every[here < size]).size:
+            on_path[here[live], live] = True
+            here[live] = stop[here[live], live]
+        second = np.full(rows, -np.inf)
+        for start, end, s, _ in edges:
+            x = forward[start] + s + backward[end]
+            x[on_path[start] & (stop[start] == end)] = -np.inf
+            np.maximum(second, x, out=second)
+        raw = piece.T[on_path.T].astype("<u4").tobytes()
+        cuts = [0, *(4 * np.cumsum(on_path.sum(axis=0))).tolist()]
+        for k, part in enumerate(parts):
+            self.remember(part, raw[cuts[k] : cuts[k + 1]], forward[size, k], forward[size, k] - second[k])
+
     def parts(self, text: str) -> list[str]:
         if MARK in text:
             text = text.replace(MARK, OWN_MARK)
         return self.split.findall((" " + text).replace(" ", MARK)) if text else []
 
+    def encode_many(self, texts, n: int = 1):
+        """encode() of each text in turn; parts that several texts lack are solved together."""
+        for at in range(0, len(texts), TEXTS):
+            cut = [self.parts(t or "") for t in texts[at : at + TEXTS]]
+            if len(self.ids) > CACHE:
+                self.forget()
+            self.solve_many(sorted(set().union(*cut).difference(self.place)))
+            for parts in cut:
+                yield self._encode(parts, n)
+
     def encode(self, text: str | None, n: int = 1) -> list[tuple[float, bytes]]:
         """The n best (score, ids as little-endian 32-bit) of a text; null and empty have one of no ids."""
-        parts = self.parts(text or "")
-        if len(self.ids) > CACHE:
-            self.forget()
+        return self._encode(self.parts(text or ""), n)
+
+    def _encode(self, parts: list[str], n: int) -> list[tuple[float, bytes]]:
         places = list(map(self.place.get, parts))
         if None in places:
             places = [self.place[p] if p in self.place else self.solve(p) for p in parts]
@@ -236,7 +331,7 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST, id_col: str = "
     @F.pandas_udf("array<struct<score: double, ids: binary>>")
     def run(texts: pd.Series) -> pd.Series:
         v = shared.value
-        return pd.Series([[{"score": s, "ids": i} for s, i in v.encode(None if t is None else t, n)] for t in texts], dtype=object)
+        return pd.Series([[{"score": s, "ids": i} for s, i in best] for best in v.encode_many(texts.to_list(), n)], dtype=object)
 
     best = docs.select(F.col(id_col).alias("id"), run(F.col(text_col)).alias("best"))
     return best.select("id", F.posexplode("best").alias("rank", "x")).select("id", (F.col("rank") + 1).alias("rank"), "x.score", "x.ids")
@@ -265,8 +360,7 @@ def encoded_digests(docs: DataFrame, model: str = MODEL, n: int = N_BEST, id_col
     def run(texts: pd.Series) -> pd.DataFrame:
         v = shared.value
         out = []
-        for t in texts:
-            best = v.encode(t, n)
+        for best in v.encode_many(texts.to_list(), n):
             ids = best[0][1]
             every = hashlib.sha256()
             for _, more in best:
@@ -283,7 +377,7 @@ def with_ids(docs: DataFrame, model: str = MODEL, text_col: str = "text", into:
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(shared.value.encode(t)[0][1], dtype="<i4") for t in texts], dtype=object)
+        return pd.Series([np.frombuffer(best[0][1], dtype="<i4") for best in shared.value.encode_many(texts.to_list())], dtype=object)
 
     return docs.withColumn(into, run(F.col(text_col))).drop(text_col)
 
