@@ -106,7 +106,7 @@ class Vocabulary:
         return out
 
     def n_best(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of a part, by score and then ids."""
+        """The n best segmentations of a part, by score; equally good ones in a fixed order."""
         size = len(part)
         forward = [0.0] + [-np.inf] * size
         ending: list[list] = [[] for _ in range(size + 1)]
@@ -116,17 +116,25 @@ class Vocabulary:
                 ending[end].append((at, s, ids))
                 if so_far + s > forward[end]:
                     forward[end] = so_far + s
-        # Backward A*: an entry's priority is the exact best score of any path through it.
-        heap = [(-forward[size], (), size, 0.0)]
-        found = []
-        while heap and (len(found) < n or -heap[0][0] == found[-1][0]):
-            _, ids, at, done = heapq.heappop(heap)
+        # Backward A*: an entry's priority is the exact best score of any path through it.  Among equal ones
+        # the nearest to the start goes first, so ties cost no more than one walk for each segmentation.
+        heap = [(-forward[size], size, 0, 0.0, None)]
+        count, found = 0, []
+        while heap and len(found) < n:
+            _, at, _, done, link = heapq.heappop(heap)
             if at == 0:
-                found.append((done, ids))
+                ids: list[int] = []
+                while link:
+                    ids += link[0]
+                    link = link[1]
+                found.append((done, tuple(ids)))
                 continue
             for start, s, more in ending[at]:
-                heapq.heappush(heap, (-(forward[start] + s + done), more + ids, start, s + done))
-        return sorted(found, key=lambda x: (-x[0], x[1]))[:n]
+                count += 1
+                heapq.heappush(heap, (-(forward[start] + s + done), start, count, s + done, (more, link)))
+        # Of equally good ones, the first is that of best_path.
+        first, score, _ = self.best_path(part)
+        return [(score, first), *[x for x in found if x[1] != first]][:n]
 
     def best_path(self, part: str) -> tuple[tuple[int, ...], float, float]:
         """(ids, score, loss of the second best) of a part.
@@ -324,7 +332,7 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST, id_col: str = "
     The vocabulary is read on the driver from the path ``model`` and sent to
     the executors (a piece's text and score each).  Null and empty texts have
     one segmentation of no ids; texts with fewer than n segmentations have
-    all; ties go by ids.  Repeated rows are encoded each.
+    all; ties have a fixed order.  Repeated rows are encoded each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
