@@ -1,6 +1,5 @@
 """Hand-derived cases of the core operators."""
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,4 +203,3 @@ def test_keywords_reach_the_scan_side(spark):
     kw = keyword.keyword_table(spark, ["the"])
     plan = keyword.doc_scores(keyword.postings(text.sentences(docs), kw), kw)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("LeftSemi")
-    assert isinstance(docs.toPandas(), pd.DataFrame)
