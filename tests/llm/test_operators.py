@@ -8,7 +8,6 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -483,4 +482,3 @@ def test_encoding_round_trip(spark):
     digests = {r["doc_id"]: r for r in pieces.encoded_digests(docs).collect()}
     assert digests[4]["text_sha256"] == hashlib.sha256(texts[4].encode()).hexdigest() and digests[1]["n_pieces"] == 0
     assert pieces.encode(docs.limit(0)).count() == 0
-    assert isinstance(pd.DataFrame(), pd.DataFrame)
