@@ -2,43 +2,86 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Edges that a local contraction holds at a time.
+LOCAL = 1_000_000
+
+
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node) of the components of a few edges, without the smallest themselves."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while True:  # labels only fall; each round follows them to their end
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def contract_locally(edges: DataFrame) -> DataFrame:
+    """edges(a, b) -> fewer edges with the same components: every partition's edges, LOCAL at a time, as stars."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= LOCAL:
+                a, b = contract(np.concatenate([x["a"].to_numpy() for x in held]), np.concatenate([x["b"].to_numpy() for x in held]))
+                held, n = [pd.DataFrame({"a": a, "b": b})], len(a)
+                if n > LOCAL // 2:
+                    yield held[0]
+                    held, n = [], 0
+        if n:
+            a, b = contract(np.concatenate([x["a"].to_numpy() for x in held]), np.concatenate([x["b"].to_numpy() for x in held]))
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return edges.mapInPandas(run, "a long, b long")
+
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """One step on edges (a > b): all neighbours that are larger (or all others) move to the smallest neighbour."""
-    if larger:
-        links = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        links = edges
+    links = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else edges
     least = links.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
     moved = links.join(least, "a")
     if larger:
         out = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where(F.col("a") != F.col("b")).distinct()
+    return out.where(F.col("a") != F.col("b"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of longs -> (node, component), the component being the smallest node that is reachable.
 
     Nodes without an edge to another node do not appear.  Each step writes its
-    edges to the shared folder; the loop ends when a step changes nothing,
+    edges to the shared folder; the loop ends when all edges are stars (no
+    node has both a smaller and a larger neighbour, or two smaller ones),
     after a number of steps that grows with the logarithm of the nodes.
     Rows with a null end and repeated edges do not count.
     """
     now = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    now = materialize(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    seen = digest(now)
-    while seen[0]:
-        now = materialize(_star(_star(now, True), False), "edges")
-        new = digest(now)
-        if new == seen:
+    now = materialize(contract_locally(now.select(F.col("a").cast("long"), F.col("b").cast("long"))), "edges")
+    while True:
+        heads = now.select(F.col("b").alias("a")).distinct().withColumn("head", F.lit(1))
+        ends = now.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y"))
+        if ends.join(heads, "a", "left").where("x != y OR head = 1").isEmpty():
             break
-        seen = new
+        now = materialize(contract_locally(_star(_star(now, True), False)), "edges")
+    now = now.distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_side, table
-from .components import connected_components
+from .components import connected_components, contract
 from .features import mix64, word_hashes
 
 M = 16
@@ -143,7 +143,7 @@ def candidate_ties(reps: DataFrame) -> DataFrame:
     tables = sides.select("rep", F.explode("a").alias("a"), "b").select("rep", "a", F.explode("b").alias("b")).select("rep", F.xxhash64("a", "b").alias("key"))
     tables = materialize(tables, "tables")
     heads = tables.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("c")).where(F.col("c") > 1).select("key", "head")
-    return tables.join(heads, "key").where(F.col("rep") != F.col("head")).select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
+    return tables.join(heads, "key").where(F.col("rep") != F.col("head")).select(F.col("rep").alias("a"), F.col("head").alias("b"))
 
 
 def tiles(members: DataFrame) -> DataFrame:
@@ -204,22 +204,36 @@ def spanning_links(ids, sides, sigs: np.ndarray, sets: list[np.ndarray], percent
         order = np.argsort(-rank, kind="stable")
     else:
         order = every
-    links = []
+    links, left = [], n
     for i in order.tolist():
+        if left == 1:
+            break
         js, agree = near(i, facing[sides[i]])
-        here = find(i)
-        for j in js[np.argsort(-agree, kind="stable")].tolist():
-            if j == i or find(j) == here:
+        js = js[np.argsort(-agree, kind="stable")].tolist()
+        for at in range(0, len(js), 32):
+            open_js = [j for j in js[at : at + 32] if j != i and find(j) != find(i)]
+            if not open_js:
                 continue
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= percent * (size[i] + size[j] - common):
-                links.append((ids[i], ids[j]))
-                root[find(j)] = here
+            for j, common in zip(open_js, common_counts(sets[i], [sets[j] for j in open_js])):
+                if 100 * common >= percent * (size[i] + size[j] - common) and find(j) != find(i):
+                    links.append((ids[i], ids[j]))
+                    root[find(j)] = find(i)
+                    left -= 1
     return links
 
 
+def common_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the other sorted sets has in common with one; no set is empty."""
+    every = np.concatenate(others)
+    place = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    return np.add.reduceat((one[place] == every).astype(np.int64), np.cumsum([0] + [len(o) for o in others[:-1]]))
+
+
 def confirmed_links(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """docs(doc_id, text), members(rep, comp, n, h) -> (a, b), checked on full sets."""
+    """docs(doc_id, text), members(rep, comp, n, h) -> (a, b, alone), checked on full sets.
+
+    ``alone`` marks the links of a tile that holds a whole component: they are stars to the smallest id already.
+    """
     wanted = small_side(members.select(F.col("rep").alias("doc_id"), F.col("h").alias("want")), MEMBERS)
 
     def full(batches):
@@ -239,7 +253,8 @@ def confirmed_links(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
                 sets = [np.frombuffer(g, dtype=np.uint64) for _, _, g in held]
                 found = spanning_links([r for r, _, _ in held], [s for _, s, _ in held], np.stack([minhashes(s) for s in sets]), sets)
                 if found:
-                    yield pd.DataFrame(found, columns=["a", "b"])
+                    a, b = np.array(found, dtype=np.int64).T
+                    yield pd.DataFrame(dict(zip("ab", contract(a, b))) | {"alone": tile.count(":") == 0})
 
         for b in batches:
             for t, rep, side, g in zip(b["tile"], b["rep"], b["side"], b["grams"]):
@@ -249,7 +264,7 @@ def confirmed_links(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
                 held.append((rep, side, g))
         yield from close()
 
-    return dealt.select("tile", "rep", "side", "grams").mapInPandas(check, "a long, b long")
+    return dealt.select("tile", "rep", "side", "grams").mapInPandas(check, "a long, b long, alone boolean")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,7 +286,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     reps = materialize(classes.select(F.col("x.doc_id").alias("rep"), "h", F.col("x.n").alias("n"), F.col("x.sig").alias("sig"), "c"), "reps")
     comps = connected_components(candidate_ties(reps))
     members = materialize(reps.select("rep", "h", "n").join(small_side(comps.select(F.col("node").alias("rep"), F.col("component").alias("comp")), MEMBERS), "rep"), "members")
-    linked = connected_components(confirmed_links(known, members, k))
+    links = materialize(confirmed_links(known, members, k), "links")
+    stars = links.where("alone").select("a", "b")
+    linked = connected_components(links.where("NOT alone").select("a", "b")).unionByName(stars.select(F.col("a").alias("node"), F.col("b").alias("component")))
     several = small_side(reps.where("c > 1").select("h", "rep"), MEMBERS)
     reach = small_side(linked.select(F.col("node").alias("rep"), "component"), MEMBERS)
     out = (
