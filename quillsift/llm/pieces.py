@@ -27,13 +27,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
 MARK = "▁"
 UNKNOWN = 10.0
 #: Parts that a worker remembers before it starts anew.
-CACHE = 1_000_000
+CACHE = 300_000
 N_BEST = 3
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts whose unknown parts are solved together, and the longest part and the most parts of a table.
@@ -190,7 +191,7 @@ class Vocabulary:
         """The trie as arrays, for characters below U+3000 that are pieces: (column of a character, next node, score, id)."""
         if self.table is None:
             column = np.full(0x3000, -1, dtype=np.int32)
-            known = sorted(c for c in self.score if len(c) == 1 and (ord(c) < 0x250 or c == MARK))
+            known = sorted(c for c in self.score if len(c) == 1 and (ord(c) < 0x180 or c == MARK))
             column[[ord(c) for c in known]] = np.arange(len(known))
             nodes, edges = [self.trie], []
             for at, node in enumerate(nodes):  # grows while it is read
@@ -380,14 +381,27 @@ def encoded_digests(docs: DataFrame, model: str = MODEL, n: int = N_BEST, id_col
 
 
 def with_ids(docs: DataFrame, model: str = MODEL, text_col: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with the ids of the best segmentation (array of int) in place of the text."""
+    """``docs`` with the ids of the best segmentation (array of int) in place of the text.
+
+    Texts go through in slices of TEXTS, in and out, so that a worker never
+    holds the ids of a whole Arrow batch.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    kept = [f for f in docs.schema.fields if f.name != text_col]
 
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(best[0][1], dtype="<i4") for best in shared.value.encode_many(texts.to_list())], dtype=object)
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                ids = [best[0][1] for best in shared.value.encode_many(part.column(text_col).to_pylist())]
+                ends = np.cumsum([0] + [len(i) // 4 for i in ids]).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], column], names=[*[f.name for f in kept], into])
 
-    return docs.withColumn(into, run(F.col(text_col))).drop(text_col)
+    schema = T.StructType([*kept, T.StructField(into, T.ArrayType(T.IntegerType()))])
+    return docs.mapInArrow(run, schema)
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
