@@ -34,7 +34,7 @@ from .common import table
 MARK = "▁"
 UNKNOWN = 10.0
 #: Parts that a worker remembers before it starts anew.
-CACHE = 300_000
+CACHE = 100_000
 N_BEST = 3
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts whose unknown parts are solved together, and the longest part and the most parts of a table.
