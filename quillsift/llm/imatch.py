@@ -5,7 +5,8 @@ that are no letters or digits.  The lexicon keeps terms
 within a band of inverse document frequency, ln(N / df).  A text's terms in
 the lexicon, distinct and sorted by their hash, are hashed as a whole, and so
 are their intersections with random subsets of the lexicon: each of DRAWS
-draws has LEVELS nested subsets, of shares 1/4, 1/16 and so on.  A subset's
+draws has LEVELS nested subsets, of shares 1/4, 1/16 and so on, and a deepest
+one of a quarter of the last (1/1024).  A subset's
 hash survives exactly the edits that touch none of its terms, so small subsets
 tell related long texts apart from unrelated ones and large ones do for short
 texts.
@@ -64,16 +65,20 @@ def lexicon(terms: DataFrame, band=IDF_BAND) -> str:
 def signature(terms: str, bits: str) -> str:
     """SQL: the array of subset hashes (8 hex digits each, NONE for an empty subset) of sorted term hashes.
 
+    The hash of all comes first, then LEVELS nested subsets and the deepest one for each draw.
     Without a term in the lexicon the text is known by all its terms.
     """
     known = f"filter({terms}, h -> ({bits}[CAST({bucket('h')} DIV 64 AS INT)] & shiftleft(1L, CAST(({bucket('h')}) % 64 AS INT))) != 0)"
     short = lambda a: f"IF(size({a}) = 0, '{NONE}', lower(substring(lpad(hex(xxhash64({a})), 16, '0'), 9)))"
     # A draw has 2 * LEVELS bits of a term's hash of its own; level l holds the terms whose low 2 * l of them are 0.
+    # All 64 bits are then dealt, so the deepest level takes two bits for each draw from a second hash.
     def nest(draw: int, level: int, above: str) -> str:
         mask = (4**level - 1) << (2 * LEVELS * draw)
         mask = mask - 2**64 if mask >= 2**63 else mask
         here = f"g{draw}_{level}"
-        out = f"concat(array({short(here)}), {nest(draw, level + 1, here)})" if level < LEVELS else f"array({short(here)})"
+        deepest = f"filter({here}, h -> (xxhash64(h, 1) & {3 << (2 * draw)}L) = 0)"
+        below = nest(draw, level + 1, here) if level < LEVELS else f"transform(array({deepest}), d{draw} -> {short(f'd{draw}')})"
+        out = f"concat(array({short(here)}), {below})"
         return f"transform(array(filter({above}, h -> (h & {mask}L) = 0)), {here} -> {out})[0]"
 
     return f"""transform(transform(array({known}), k -> IF(size(k) = 0, {terms}, k)), t ->
@@ -86,10 +91,18 @@ def likeness(a: str, b: str) -> F.Column:
     return F.expr(f"aggregate({pairs}, named_struct('n', 0, 's', 0), (st, x) -> IF(x IS NULL, st, named_struct('n', st.n + 1, 's', st.s + x)), st -> IF(st.n = 0, 1.0D, CAST(st.s AS DOUBLE) / st.n))")
 
 
+def _parts(signature: str) -> tuple[F.Column, F.Column]:
+    """A signature without the draws' deepest hashes, and those alone."""
+    deepest = f"i > 0 AND i % {LEVELS + 1} = 0"
+    return F.expr(f"filter({signature}, (x, i) -> NOT ({deepest}))"), F.expr(f"filter({signature}, (x, i) -> {deepest})")
+
+
 def fingerprints(docs: DataFrame, bits: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, signature) of every row, by a lexicon; null text counts as empty, equal texts have equal signatures."""
+    """(id, signature, deepest) of every row, by a lexicon; null text counts as empty, equal texts have equal signatures."""
     terms = docs.select(F.col(id_col).alias("id"), F.expr(term_hashes(f"coalesce(`{text_col}`, '')")).alias("terms"))
-    return terms.select("id", F.expr(signature("terms", bits)).alias("signature"))
+    signed = terms.select("id", F.expr(signature("terms", bits)).alias("all"))
+    main, deepest = _parts("all")
+    return signed.select("id", main.alias("signature"), deepest.alias("deepest"))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -107,7 +120,9 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame, band=IDF_BAND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, next_id, n_chars, edited_sha256, signature, edited_signature).
+    """(doc_id, next_id, n_chars, edited_sha256, signature, edited_signature, deepest, edited_deepest).
+
+    The last two hold the hash of each draw's deepest subset, the others are in the signatures.
 
     The edited text is the text with its last floor(n_chars / 4) code points
     replaced by the first as many of the next document, by ascending id (after
@@ -133,11 +148,15 @@ def edited_fingerprints(docs: DataFrame, band=IDF_BAND, id_col: str = "doc_id",
     cut = "CAST(length(text) DIV 4 AS INT)"
     edited = whole.select("doc_id", "next_id", whole_text.alias("text"), "head").select("doc_id", "next_id", "text", F.expr(f"concat(substring(text, 1, length(text) - {cut}), substring(coalesce(head, ''), 1, {cut}))").alias("edited"))
     terms = edited.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.expr(term_hashes("text")).alias("terms"), F.expr(term_hashes("edited")).alias("edited_terms"))
-    return terms.select("doc_id", "next_id", "n_chars", "edited_sha256", F.expr(signature("terms", bits)).alias("signature"), F.expr(signature("edited_terms", bits)).alias("edited_signature"))
+    signed = terms.select("doc_id", "next_id", "n_chars", "edited_sha256", F.expr(signature("terms", bits)).alias("all"), F.expr(signature("edited_terms", bits)).alias("edited_all"))
+    (main, deepest), (edited_main, edited_deepest) = _parts("all"), _parts("edited_all")
+    return signed.select("doc_id", "next_id", "n_chars", "edited_sha256", main.alias("signature"), edited_main.alias("edited_signature"), deepest.alias("deepest"), edited_deepest.alias("edited_deepest"))
 
 
 def op4_imatch(spark, sf_dir: str) -> DataFrame:
-    signed = materialize(edited_fingerprints(table(spark, sf_dir, "documents")), "signed")
+    found = edited_fingerprints(table(spark, sf_dir, "documents"))
+    every = [F.concat(c, d).alias(c) for c, d in (("signature", "deepest"), ("edited_signature", "edited_deepest"))]
+    signed = materialize(found.select("doc_id", "next_id", "n_chars", "edited_sha256", *every), "signed")
     per_id = signed.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("next_id")).agg(F.min("signature").alias("next_signature"))
     joined = signed.join(per_id, "next_id", "left")
     return joined.select(

@@ -212,6 +212,18 @@ def test_fingerprints_of_awkward_rows(spark):
     assert one["next_id"] == 2 and one["n_chars"] == 0
 
 
+def test_long_edited_documents_keep_a_deep_subset(spark, tmp_path):
+    rows = [(i, words(6000, i, 1500 * (i % 2) + 1500), None, None) for i in range(6)]
+    rows += [(100 + i, "other words", None, None) for i in range(12)]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in imatch.op4_imatch(spark, str(tmp_path)).collect()}
+    assert all(len(r["fingerprint"]) == 8 * (1 + imatch.DRAWS * 5) for r in got.values())
+    signed = imatch.edited_fingerprints(documents(spark, rows)).where("doc_id < 100").collect()
+    assert all(len(r["deepest"]) == len(r["edited_deepest"]) == imatch.DRAWS for r in signed)
+    # Some draw's deepest subset is not empty and survives where the level above changed.
+    assert any(d == e != imatch.NONE and r["signature"][imatch.LEVELS * (k + 1)] != r["edited_signature"][imatch.LEVELS * (k + 1)] for r in signed for k, (d, e) in enumerate(zip(r["deepest"], r["edited_deepest"])))
+
+
 # --- 5 chat --------------------------------------------------------------------
 
 
