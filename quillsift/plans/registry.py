@@ -335,7 +335,7 @@ def streaming_ingest(spark, sf_dir):
     given = read(spark, sf_dir, "embeddings")
     stream = ingest.stream_files(spark, f"{sf_dir}/embeddings.parque[t]", given.schema).select(F.col("label").alias("doc"), F.col("embedding").alias("vector"))
     ingest.ingest_representatives(stream, out, f"{out}/checkpoint").awaitTermination()
-    return ingest.latest(spark, f"{out}/reps", "doc").select("doc", F.posexplode(rounded(F.col("rep"))).alias("i", "x"))
+    return ingest.representatives(spark, f"{out}/reps").select("doc", F.posexplode(rounded(F.col("rep"))).alias("i", "x"))
 
 
 QUERIES = {

@@ -1,7 +1,9 @@
 """Incremental ingest: new files become sentences, postings and representatives.
 
 Each micro-batch is appended under its batch id, so a batch that runs twice
-overwrites itself; readers take the latest version of each document.
+overwrites itself.  A document's sentences and postings come whole in one batch,
+and readers take its latest version; a representative's vectors may come in many
+batches, so each writes partial sums, and readers add up those of all batches.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.keyword import postings
 from ..operators.text import sentences
-from ..operators.vectors import rep_mean
+from ..operators.vectors import doubles
 
 
 def stream_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
@@ -31,10 +33,11 @@ def ingest_documents(stream: DataFrame, out: str, checkpoint: str):
 
 
 def ingest_representatives(stream: DataFrame, out: str, checkpoint: str):
-    """(doc, vector) -> table reps under ``out``: a representative of each batch's documents."""
+    """(doc, vector) -> table reps under ``out``: (doc, i, total, n), each batch's sums and counts by dimension."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rep_mean(batch).write.mode("overwrite").parquet(f"{out}/reps/batch={batch_id}")
+        parts = batch.select("doc", F.posexplode(doubles(F.col("vector"))).alias("i", "x"))
+        parts.groupBy("doc", "i").agg(F.sum("x").alias("total"), F.count("x").alias("n")).write.mode("overwrite").parquet(f"{out}/reps/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -44,3 +47,9 @@ def latest(spark: SparkSession, path: str, key: str) -> DataFrame:
     rows = spark.read.parquet(path)
     last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
     return rows.join(last, [key, "batch"])
+
+
+def representatives(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, rep): the mean of a document's vectors of all batches, from the table reps."""
+    means = spark.read.parquet(path).groupBy("doc", "i").agg((F.sum("total") / F.sum("n")).alias("x"))
+    return means.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("rep"))

@@ -183,6 +183,22 @@ def test_streaming_upsert(spark, tmp_path):
     assert [r["sentence"] for r in got] == ["New word stand here ."]
 
 
+def test_streaming_representatives_are_means_over_all_batches(spark, tmp_path):
+    rows_ = [(i, i % 2, [float(i), float(i * i), 1.0]) for i in range(103)]
+    folder = tmp_path / "embeddings.parquet"
+    folder.mkdir()
+    pq = pytest.importorskip("pyarrow.parquet")
+    import pyarrow as pa
+
+    for i, label, vector in rows_:  # more files than a micro-batch takes
+        table = pa.table({"vec_id": pa.array([i]), "label": pa.array([label], pa.int32()), "embedding": pa.array([vector], pa.list_(pa.float32()))})
+        pq.write_table(table, str(folder / f"part-{i:05d}.parquet"))
+    got = rows(registry.streaming_ingest(spark, str(tmp_path)), "doc", "i")
+    mean = lambda doc, k: sum(v[k] for _, d, v in rows_ if d == doc) / sum(d == doc for _, d, _ in rows_)
+    assert [(d, i) for d, i, _ in got] == [(d, k) for d in (0, 1) for k in range(3)]
+    assert all(abs(x - mean(d, i)) < 1e-5 for d, i, x in got)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     kw = keyword.keyword_table(spark, ["a"])
