@@ -14,12 +14,21 @@ from quillsift.llm import langid, mixing, neardup, pieces, secrets
 from quillsift.llm.common import materialize, table
 
 
+#: Documents with a smaller score go: their language has the most votes but loses a duel.
+LEAST_SCORE = 0.5
+
+
 def known_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a learned language; those without a letter (und) go, and lang becomes the prediction where it was null."""
+    """Documents of a learned language, lang being the prediction; those without a letter (und) or below LEAST_SCORE go.
+
+    Rows of a language that the model did not learn (langid.LANGUAGES) keep their lang.
+    """
     model = langid.fit(docs, F.lit(True))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    found = langid.identify(packed, model, id_col="row").where(F.col("lang_pred") != langid.UNKNOWN)
-    return found.select(*[F.coalesce(F.col("id.lang"), F.col("lang_pred")).alias(c) if c == "lang" else F.col(f"id.`{c}`") for c in docs.columns])
+    learned = [k for codes in model.members.values() for k in codes] if model else []
+    judged = F.col("id.lang").isNull() | F.col("id.lang").isin(learned)
+    found = langid.identify(packed, model, id_col="row").where((F.col("lang_pred") != langid.UNKNOWN) & (~judged | (F.col("score") >= LEAST_SCORE)))
+    return found.select(*[F.when(judged, F.col("lang_pred")).otherwise(F.col("id.lang")).alias(c) if c == "lang" else F.col(f"id.`{c}`") for c in docs.columns])
 
 
 def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

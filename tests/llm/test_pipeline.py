@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillsift.llm import mixing, pieces, registry, secrets
+from quillsift.llm import langid, mixing, pieces, registry, secrets
 
 
 def rows():
@@ -49,6 +50,24 @@ def test_stages(spark, tmp_path):
     assert sorted((r["doc_id"], r["n_pieces"]) for r in whole) == sorted((r["doc_id"], r["n_pieces"]) for r in found)
 
 
+def corpus(spark, given):
+    return spark.createDataFrame([(i, t, k, s, len(t or "")) for i, t, k, s in given], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_language_decisions_take_effect(spark, tmp_path, monkeypatch):
+    given = rows()
+    given[20] = (20, given[20][1], "fr", "s0")  # English words
+    docs = corpus(spark, given)
+    lang = {r["doc_id"]: r["lang"] for r in corpus_pipeline.known_language(spark, docs, str(tmp_path)).collect()}
+    assert lang[20] == "en" and lang[21] == "fr" and set(lang) == {i for i, *_ in given} - {8, 9}
+    model = langid.fit(docs, F.lit(True))
+    score = {r["id"]: r["score"] for r in langid.identify(docs, model).collect()}
+    middle = sorted(score.values())[30]
+    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", middle)
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, str(tmp_path)).collect()}
+    assert kept == {i for i, s in score.items() if s >= middle}
+
+
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert len(corpus_pipeline.STAGES) == 5 and secrets.KINDS[:3] == ("assign", "access", "hex")
