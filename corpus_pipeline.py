@@ -22,10 +22,13 @@ def known_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language, lang being the prediction; those without a letter (und) or below LEAST_SCORE go.
 
     Rows of a language that the model did not learn (langid.LANGUAGES) keep their lang.
+    Where nothing could be learned, only letterless rows go, and lang stays as it is.
     """
     model = langid.fit(docs, F.lit(True))
+    if model is None:
+        return docs.where(langid.has_letter("text"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    learned = [k for codes in model.members.values() for k in codes] if model else []
+    learned = [k for codes in model.members.values() for k in codes]
     judged = F.col("id.lang").isNull() | F.col("id.lang").isin(learned)
     found = langid.identify(packed, model, id_col="row").where((F.col("lang_pred") != langid.UNKNOWN) & (~judged | (F.col("score") >= LEAST_SCORE)))
     return found.select(*[F.when(judged, F.col("lang_pred")).otherwise(F.col("id.lang")).alias(c) if c == "lang" else F.col(f"id.`{c}`") for c in docs.columns])

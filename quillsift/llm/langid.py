@@ -131,6 +131,16 @@ def fit(docs: DataFrame, learn, sample: int = SAMPLE) -> Model | None:
     return Model(np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in kept]), [r["lang"] for r in kept])
 
 
+def has_letter(text_col: str) -> F.Column:
+    """Whether the text is not null and has a letter, as identify() sees it."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([t is not None and NO_LETTER.search(t) is not None for t in texts], dtype=bool)
+
+    return run(text_col)
+
+
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row, from its whole text alone.
 

@@ -68,6 +68,13 @@ def test_language_decisions_take_effect(spark, tmp_path, monkeypatch):
     assert kept == {i for i, s in score.items() if s >= middle}
 
 
+def test_an_unlabelled_corpus_is_kept(spark, tmp_path):
+    docs = corpus(spark, [(i, t, None, s) for i, t, _, s in rows()])
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.known_language(spark, docs, str(tmp_path)).collect()}
+    assert set(got) == set(range(60)) - {8, 9} and set(got.values()) == {None}
+    assert corpus_pipeline.known_language(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert len(corpus_pipeline.STAGES) == 5 and secrets.KINDS[:3] == ("assign", "access", "hex")
