@@ -50,7 +50,7 @@ def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text's best segmentation, beside the other columns."""
+    """The ids of every text's best segmentation and whether they decode to the text, beside the other columns."""
     out = pieces.with_ids(docs)
     return out.withColumn("n_pieces", F.size("ids").cast("long"))
 

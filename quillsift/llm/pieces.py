@@ -381,8 +381,9 @@ def encoded_digests(docs: DataFrame, model: str = MODEL, n: int = N_BEST, id_col
 
 
 def with_ids(docs: DataFrame, model: str = MODEL, text_col: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with the ids of the best segmentation (array of int) in place of the text.
+    """``docs`` with the ids of the best segmentation (array of int) in place of the text, and ``exact``.
 
+    ``exact`` says whether the ids decode to exactly the text (null counts as empty).
     Texts go through in slices of TEXTS, in and out, so that a worker never
     holds the ids of a whole Arrow batch.
     """
@@ -395,12 +396,14 @@ def with_ids(docs: DataFrame, model: str = MODEL, text_col: str = "text", into:
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
-                ids = [best[0][1] for best in shared.value.encode_many(part.column(text_col).to_pylist())]
+                texts = part.column(text_col).to_pylist()
+                ids = [best[0][1] for best in shared.value.encode_many(texts)]
+                exact = pa.array([shared.value.decode(i) == (t or "") for t, i in zip(texts, ids)], pa.bool_())
                 ends = np.cumsum([0] + [len(i) // 4 for i in ids]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], column], names=[*[f.name for f in kept], into])
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], column, exact], names=[*[f.name for f in kept], into, "exact"])
 
-    schema = T.StructType([*kept, T.StructField(into, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*kept, T.StructField(into, T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -75,6 +75,24 @@ def test_an_unlabelled_corpus_is_kept(spark, tmp_path):
     assert corpus_pipeline.known_language(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_encoding_checks_the_round_trip(spark, monkeypatch):
+    texts = ["The  solar cells.\n", " a\u2581b \u4e2d\u6587 \U0001f600", "", None]
+    docs = corpus(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r for r in corpus_pipeline.encoded(spark, docs, "").collect()}
+    assert all(r["exact"] for r in got.values()) and got[2]["n_pieces"] == got[3]["n_pieces"] == 0
+
+    load = pieces.Vocabulary.load
+
+    def lossy(path):
+        v = load(path)
+        v.raw = [b.replace(b"s", b"z") for b in v.raw]
+        return v
+
+    monkeypatch.setattr(pieces.Vocabulary, "load", lossy)
+    got = {r["doc_id"]: r["exact"] for r in corpus_pipeline.encoded(spark, docs, "").collect()}
+    assert got == {0: False, 1: True, 2: True, 3: True}
+
+
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert len(corpus_pipeline.STAGES) == 5 and secrets.KINDS[:3] == ("assign", "access", "hex")
