@@ -1,7 +1,7 @@
 """Document fingerprints by I-Match with several randomised lexicons, as SQL expressions.
 
-Terms are the lower-cased words of the whole text, cut at ASCII characters
-that are no letters or digits.  The lexicon keeps terms
+Terms are the lower-cased words of the whole text, cut at characters that are
+no letters, digits or combining marks.  The lexicon keeps terms
 within a band of inverse document frequency, ln(N / df).  A text's terms in
 the lexicon, distinct and sorted by their hash, are hashed as a whole, and so
 are their intersections with random subsets of the lexicon: each of DRAWS
@@ -30,13 +30,17 @@ BITS = 21
 IDF_BAND = (0.9, 7.6)
 DRAWS = 8
 LEVELS = 4
-WORD_BREAK = r"[\\x00-/:-@\\[-`{-\\x7F]+"
+WORD_BREAK = r"[^\\p{L}\\p{M}\\p{N}]+"
+#: The same in texts that hold none of OTHER_BREAK, and faster.
+ASCII_BREAK = r"[\\x00-/:-@\\[-`{-\\x7F]+"
+OTHER_BREAK = r"[^\\x00-\\x7F\\p{L}\\p{M}\\p{N}]"
 NONE = "........"
 
 
 def term_hashes(text: str) -> str:
     """SQL: sorted distinct hashes of a text's terms."""
-    return f"sort_array(array_distinct(transform(array_remove(split(lower({text}), '{WORD_BREAK}', -1), ''), w -> xxhash64(w))))"
+    words = f"IF({text} RLIKE '{OTHER_BREAK}', split(lower({text}), '{WORD_BREAK}', -1), split(lower({text}), '{ASCII_BREAK}', -1))"
+    return f"sort_array(array_distinct(transform(array_remove({words}, ''), w -> xxhash64(w))))"
 
 
 def bucket(h: str) -> str:

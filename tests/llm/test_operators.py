@@ -212,6 +212,15 @@ def test_fingerprints_of_awkward_rows(spark):
     assert one["next_id"] == 2 and one["n_chars"] == 0
 
 
+def test_terms_end_at_any_mark_or_space(spark):
+    count = lambda t: len(one(spark, t, imatch.term_hashes("x")))
+    one = lambda s, t, sql: s.createDataFrame([(t,)], "x string").select(F.expr(sql)).first()[0]
+    assert count("\u4eca\u5929\u5f88\u597d\u3002\u660e\u5929\u4e5f\u597d\uff0c\u540e\u5929\u4e0d\u597d\u3002") == 3
+    assert count("a\u00a0b\u3000c \u201cd\u201d e\u2014f") == 6
+    assert count("cafe\u0301 \u0915\u093f") == 2  # combining marks belong to their letter
+    assert one(spark, "Plain, text\u00e9 1", imatch.term_hashes("x")) == one(spark, "Plain\u2014text\u00e9\u00a01", imatch.term_hashes("x"))
+
+
 def test_long_edited_documents_keep_a_deep_subset(spark, tmp_path):
     rows = [(i, words(6000, i, 1500 * (i % 2) + 1500), None, None) for i in range(6)]
     rows += [(100 + i, "other words", None, None) for i in range(12)]
