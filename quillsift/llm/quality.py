@@ -10,10 +10,13 @@ fields; the score is the logistic function of y.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .features import BLOCK, char_class, code_points, word_hashes
@@ -27,13 +30,18 @@ STRUCTURE = (
     "log_chars", "log_words", "mean_word", "letters", "digits", "upper", "spaces", "marks", "other",
     "distinct_words", "top_word", "repeat_next", "lines", "distinct_lines", "mean_line", "long_words", "end_marks", "words_with_letter", "entropy",
 )
-METADATA = 8
-DIMS = WORDS + len(STRUCTURE) + METADATA
+#: Metadata: numeric fields have a feature each (by place), other values are hashed with their place.
+NUMBERS = 16
+METADATA = 64
+DIMS = WORDS + len(STRUCTURE) + NUMBERS + METADATA
 THRESHOLD = 0.3
 
 
 def features(text: str | None, metadata=()) -> np.ndarray:
-    """A text's vector; null counts as empty.  ``metadata`` are values, hashed with their place."""
+    """A text's vector; null counts as empty.  ``metadata`` are the fields' values, None where there is none.
+
+    Numbers are scaled (signed logarithm), other values hashed with their place.
+    """
     x = np.zeros(DIMS, dtype=np.float32)
     text = text or ""
     words = np.zeros(0, dtype=np.uint64)
@@ -59,8 +67,14 @@ def features(text: str | None, metadata=()) -> np.ndarray:
             np.log1p(n / max(1, len(lines))) / 8, min(1, (n - totals[3]) / m / 20), min(1, (text.count(".") + text.count("!") + text.count("?")) / m), with_letter / m, float(-(share * np.log(share)).sum()) / 8,
         )
         x[WORDS : WORDS + len(STRUCTURE)] = stats
+    first = WORDS + len(STRUCTURE)
     for i, value in enumerate(metadata):
-        x[WORDS + len(STRUCTURE) + (i * 3 + len(str(value))) % METADATA] += 1
+        if pd.isna(value):
+            continue
+        if isinstance(value, (int, float, np.number)):
+            x[first + i % NUMBERS] += np.clip(np.sign(value) * np.log1p(abs(float(value))) / 10, -5, 5)
+        else:
+            x[first + NUMBERS + zlib.crc32(f"{i}:{value}".encode("utf-8", "surrogatepass")) % METADATA] += 1
     return x
 
 
@@ -101,11 +115,12 @@ class FactorisationMachine:
 
 def _vectors(batch: pd.DataFrame) -> list[np.ndarray]:
     meta = [c for c in batch.columns if c.startswith("meta")]
-    return [features(t, [v for v in row if not pd.isna(v)]) for t, *row in zip(batch["text"], *[batch[c] for c in meta])]
+    return [features(t, row) for t, *row in zip(batch["text"], *[batch[c] for c in meta])]
 
 
 def _picked(docs: DataFrame, text_col: str, metadata) -> list:
-    return [F.col(text_col).alias("text"), *[F.col(c).cast("string").alias(f"meta{i}") for i, c in enumerate(metadata)]]
+    number = {f.name for f in docs.schema.fields if isinstance(f.dataType, T.NumericType)}
+    return [F.col(text_col).alias("text"), *[F.col(c).cast("double" if c in number else "string").alias(f"meta{i}") for i, c in enumerate(metadata)]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE, text_col: str = "text", metadata=("n_chars",)) -> FactorisationMachine | None:

@@ -142,6 +142,12 @@ def test_quality_on_held_out_rows(spark):
     assert quality.score(docs.limit(0), None).count() == 0
 
 
+def test_metadata_values_are_features_of_their_own():
+    meta = lambda *values: quality.features("", values)
+    assert (meta(1000) != meta(9999)).any() and (meta("anna") != meta("bert")).any() and (meta("anna", None) != meta(None, "anna")).any()
+    assert (meta(None, 5) == meta(float("nan"), 5)).all() and np.isfinite(meta(float("inf"))).all()
+
+
 # --- 4 fingerprints -----------------------------------------------------------
 
 
