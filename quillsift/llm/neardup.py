@@ -9,13 +9,17 @@ sets with similarity s meets in a table with probability
 
 1. Equal sets form a class, of which the smallest id goes on.
 2. Keys of a collection that only one class has cannot meet; the others are paired to table keys.
-3. Every table's members are tied to its smallest member.  The components of
-   these ties hold all candidate pairs, without any list of pairs.
-4. Components are checked in tiles of bounded size on full sets: pairs whose
-   minhashes agree too little are passed over, pairs that are already
-   connected need no check, and only the links of a spanning forest leave a
-   tile.  Large components are cut by set size (similar sets have similar
-   sizes) and by hash, and every pair of cuts that can hold a link is a tile.
+3. Every table's members are tied to its smallest member, each tie once.  The
+   components of these ties hold all candidate pairs, without any list of pairs.
+4. Components are checked in tiles of bounded size on full sets.  A pair is
+   passed over only if it is connected already, or if its sizes or the counts
+   of its shingles in 256 hash buckets prove it to be below the threshold; all
+   others are compared in full, and only the links of a spanning forest leave
+   a tile.  A component that is too large for a tile is checked in two rounds:
+   first every member with the table head that it shares most tables with, in
+   slots of bounded size, which settles a large group of copies in linear
+   work; then what is not in the component's largest linked group, with
+   itself and with that group, in slots again.
 5. Components of the confirmed links, joined back through the classes.
 """
 
@@ -30,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side, table
+from .common import discard, materialize, small_batches, small_side, table, text_hash60, text_slices
 from .components import connected_components, contract
 from .features import mix64, word_hashes
 
@@ -38,10 +42,9 @@ M = 16
 R = 3
 HASHES = 2 * M * R
 THRESHOLD_PERCENT = 80
-#: Pairs whose share of equal minhashes is below this are passed over: for similarity 0.8 that is 5 standard deviations off.
-LEAST_AGREEMENT = 0.6
-#: Shingles in a tile's half.
-TILE = 1_000_000
+#: Weight of a tile's half, and of a document beside its shingles (so a half has at most TILE / ROW documents).
+TILE = 500_000
+ROW = 256
 #: Class members up to which a counted side is broadcast (16 bytes each).
 MEMBERS = 500_000
 BLOCK = 1 << 20
@@ -107,11 +110,15 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n, h, sig): set size, digest of the set, minhashes."""
 
     def run(batches):
-        for b in batches:
-            sets = [shingle_set(t, k) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "h": [_digest(s) for s in sets], "sig": [minhashes(s).tobytes() for s in sets]})
+        import pyarrow as pa
+
+        for batch in batches:
+            for part, texts in text_slices(batch, "text"):
+                out = [(len(s), _digest(s), minhashes(s).tobytes()) for s in (shingle_set(t, k) for t in texts)]
+                n, h, sig = zip(*out)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n", "h", "sig"])
 
-    return docs.mapInPandas(run, "doc_id long, n long, h binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h binary, sig binary")
 
 
 def _slot_keys(reps: DataFrame) -> DataFrame:
@@ -134,7 +141,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def candidate_ties(reps: DataFrame) -> DataFrame:
-    """(a, b): every member of a table tied to the table's smallest member."""
+    """(a, b, c): every member a of a table and the table's smallest member b, once, with the number of their tables."""
     slots = materialize(_shared(_slot_keys(reps)), "slots")
     sides = slots.groupBy("rep").agg(
         F.collect_list(F.when(F.col("slot") < M, F.col("key"))).alias("a"),  # at most M keys each
@@ -143,81 +150,98 @@ def candidate_ties(reps: DataFrame) -> DataFrame:
     tables = sides.select("rep", F.explode("a").alias("a"), "b").select("rep", "a", F.explode("b").alias("b")).select("rep", F.xxhash64("a", "b").alias("key"))
     tables = materialize(tables, "tables")
     heads = tables.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("c")).where(F.col("c") > 1).select("key", "head")
-    return tables.join(heads, "key").where(F.col("rep") != F.col("head")).select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    ties = tables.join(heads, "key").where(F.col("rep") != F.col("head")).groupBy(F.col("rep").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("c"))
+    out = materialize(ties, "ties")
+    discard(slots, tables)
+    return out
 
 
-def tiles(members: DataFrame) -> DataFrame:
-    """members(rep, comp, n) -> (rep, tile, side): tiles that together hold every pair that can be linked.
+def _slot(count) -> F.Column:
+    return F.pmod(F.xxhash64("rep"), count).cast("int")
 
-    A component of up to 2 TILE shingles is one tile.  A larger one is cut by
-    size class (sizes of linked sets are at most one class apart) and within
-    it by hash into slots of about TILE shingles; each pair of slots of equal
-    or neighbouring classes is a tile with two sides.
+
+def first_tiles(members: DataFrame, large: DataFrame, ties: DataFrame) -> DataFrame:
+    """members(rep, h, comp, n, w) -> (rep, h, label, tile, side): small components, and the slots of large ones' heads.
+
+    A component that is not in ``large`` (rep, h, comp, n, w) is one tile.  In
+    a large one each member goes with the head it shares most tables with, into
+    one of that head's slots; the head is in all of them.
+    """
+    row = lambda tile: ("rep", "h", F.col("rep").alias("label"), tile.alias("tile"), F.lit(0).alias("side"))
+    if large.isEmpty():
+        return members.select(*row(F.col("comp").cast("string")))
+    comps = small_side(large.select("comp").distinct())
+    small = members.join(comps, "comp", "left_anti").select(*row(F.col("comp").cast("string")))
+    best = ties.join(large.select(F.col("rep").alias("a"), "h", "w"), "a").groupBy("a", "h", "w").agg(F.max(F.struct("c", (-F.col("b")).alias("b")))["b"].alias("head"))
+    best = materialize(best.select(F.col("a").alias("rep"), "h", "w", (-F.col("head")).alias("head")), "best")
+    slots = materialize(best.groupBy("head").agg(F.ceil(F.sum("w") / TILE).cast("int").alias("slots")), "slots")
+    name = lambda head, slot: F.concat_ws(":", head, slot)
+    under = best.join(small_side(slots), "head").select(*row(name(F.col("head"), _slot(F.col("slots")))))
+    every = slots.join(large.select(F.col("rep").alias("head"), "h"), "head").select(F.col("head").alias("rep"), "h", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    return small.unionByName(under).unionByName(every.select(*row(name(F.col("rep"), F.col("slot")))))
+
+
+def second_tiles(large: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs of large components that the first tiles left open, as (rep, h, label, tile, side).
+
+    ``links`` are those of the first tiles.  Of each component the linked group
+    with most weight is the core; all others are the rest.  Both are cut by set
+    size (sizes of linked sets are at most one class apart) and by hash into
+    slots of about TILE; every two slots of equal or neighbouring size classes
+    are a tile with two sides, but for two slots of the core.
     """
-    total = members.groupBy("comp").agg(F.sum("n").alias("total"))
-    sized = members.join(total, "comp")
-    small = sized.where(F.col("total") <= 2 * TILE).select("rep", F.concat_ws(":", "comp").alias("tile"), F.lit(0).alias("side"))
-    large = materialize(sized.where(F.col("total") > 2 * TILE).select("rep", "comp", "n", F.floor(F.log("n") / math.log(100 / THRESHOLD_PERCENT + 0.01)).cast("int").alias("c")), "large")
-    slots = large.groupBy("comp", "c").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("slots"))
-    placed = large.join(small_side(slots), ["comp", "c"]).withColumn("s", F.pmod(F.xxhash64("rep"), F.col("slots")).cast("int"))
-    at = lambda name, shift: slots.select("comp", (F.col("c") + shift).alias("c"), F.col("slots").alias(name))
-    around = placed.join(small_side(at("above", -1)), ["comp", "c"], "left").join(small_side(at("below", 1)), ["comp", "c"], "left")
-    row = lambda c1, s1, c2, s2, side: F.struct(F.concat_ws(":", F.col("comp"), c1, s1, c2, s2).alias("tile"), side.cast("int").alias("side"))
-    c, s = F.col("c"), F.col("s")
-    many = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    own = F.transform(many(F.col("slots")), lambda t: row(c, F.least(s, t), c, F.greatest(s, t), F.when(s == t, 0).when(s < t, 1).otherwise(2)))
-    up = F.transform(many(F.col("above")), lambda t: row(c, s, c + 1, t, F.lit(1)))
-    down = F.transform(many(F.col("below")), lambda t: row(c - 1, t, c, s, F.lit(2)))
-    cut = around.select("rep", F.explode(F.concat(own, up, down)).alias("x")).select("rep", "x.tile", "x.side")
-    return small.unionByName(cut)
-
-
-def spanning_links(ids, sides, sigs: np.ndarray, sets: list[np.ndarray], percent: int = THRESHOLD_PERCENT) -> list[tuple[int, int]]:
-    """Confirmed links that connect what the pairs of a tile connect.
-
-    All pairs are compared (with two sides: those across), by minhashes first.
-    Those with most neighbours go first, so that most other pairs are
-    connected by the time they come up.
+    labels = connected_components(links.select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    found = materialize(large.join(small_side(labels, MEMBERS), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labels")
+    groups = found.groupBy("comp", "label").agg(F.sum("w").alias("w"))
+    core = groups.groupBy("comp").agg(F.max(F.struct("w", "label"))["label"].alias("core"), F.count("*").alias("groups")).where("groups > 1").select("comp", "core")
+    cut = F.floor(F.log("n") / math.log(100 / THRESHOLD_PERCENT + 0.01)).cast("int")
+    rows = materialize(found.join(small_side(core), "comp").select("rep", "h", "label", "comp", "w", (F.col("label") == F.col("core")).alias("core"), cut.alias("c")), "open")
+    slots = materialize(rows.groupBy("comp", "core", "c").agg(F.ceil(F.sum("w") / TILE).cast("int").alias("slots")), "slots")
+    placed = rows.join(small_side(slots), ["comp", "core", "c"]).withColumn("s", _slot(F.col("slots"))).drop("slots")
+    other = small_side(slots.select("comp", F.col("core").alias("core2"), F.col("c").alias("c2"), "slots"))
+    met = placed.join(other, "comp").where("abs(c - c2) <= 1 AND NOT (core AND core2)").withColumn("s2", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    here, there = F.concat_ws("/", "core", "c", "s"), F.concat_ws("/", "core2", "c2", "s2")
+    return met.select("rep", "h", "label", F.concat_ws(":", "comp", F.least(here, there), F.greatest(here, there)).alias("tile"), F.when(here == there, 0).when(here < there, 1).otherwise(2).alias("side"))
+
+
+def spanning_links(ids, sides, labels, sets: list[np.ndarray], percent: int = THRESHOLD_PERCENT) -> list[tuple[int, int]]:
+    """Confirmed links that connect what the pairs of a tile connect; equal labels are connected already.
+
+    All pairs are looked at (with two sides: those across), those with most
+    neighbours first, so that most other pairs are connected by the time they
+    come up.  |A and B| is at most the sum of the smaller counts over hash
+    buckets, which rules out most unlike pairs without a look at their sets.
     """
     n = len(ids)
-    root = list(range(n))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     size = np.array([len(s) for s in sets])
     sides = np.asarray(sides)
-
-    def near(i, js):
-        agree = (sigs[js] == sigs[i]).mean(axis=1)
-        ok = (agree >= LEAST_AGREEMENT) & (100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i]))
-        return js[ok], agree[ok]
-
-    every = np.arange(n)
-    facing = {side: every if side == 0 else every[sides != side] for side in set(sides.tolist())}
-    if n > 2:  # the most central first: by agreement with an even choice of the others
-        some = every[:: max(1, n // 64)]
-        rank = np.array([(sigs[some] == sigs[i]).mean() for i in range(n)])
-        order = np.argsort(-rank, kind="stable")
-    else:
-        order = every
-    links, left = [], n
-    for i in order.tolist():
+    counts = np.stack([np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) for s in sets]).astype(np.int32)
+    names, root = np.unique(np.asarray(labels), return_inverse=True)
+    left = len(names)
+    at_most = lambda i, js: np.minimum(counts[js], counts[i]).sum(axis=1, dtype=np.int32)
+    some = np.arange(0, n, max(1, n // 64))
+    central = np.array([at_most(i, some).sum() / max(1, size[i]) for i in range(n)])
+    todo = np.ones(n, dtype=bool)
+    links = []
+    for i in np.argsort(-central, kind="stable").tolist():
         if left == 1:
             break
-        js, agree = near(i, facing[sides[i]])
-        js = js[np.argsort(-agree, kind="stable")].tolist()
+        todo[i] = False
+        js = np.flatnonzero(todo & (root != root[i]) & ((sides != sides[i]) if sides[i] else True))
+        js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
+        if not len(js):
+            continue
+        most = np.concatenate([at_most(i, js[at : at + 1024]) for at in range(0, len(js), 1024)]).astype(np.int64)
+        ok = 100 * most >= percent * (size[js] + size[i] - most)
+        js = js[ok][np.argsort(-most[ok], kind="stable")].tolist()
         for at in range(0, len(js), 32):
-            open_js = [j for j in js[at : at + 32] if j != i and find(j) != find(i)]
+            open_js = [j for j in js[at : at + 32] if root[j] != root[i]]
             if not open_js:
                 continue
             for j, common in zip(open_js, common_counts(sets[i], [sets[j] for j in open_js])):
-                if 100 * common >= percent * (size[i] + size[j] - common) and find(j) != find(i):
+                if 100 * common >= percent * (size[i] + size[j] - common) and root[j] != root[i]:
                     links.append((ids[i], ids[j]))
-                    root[find(j)] = find(i)
+                    root[root == root[j]] = root[i]
                     left -= 1
     return links
 
@@ -229,42 +253,47 @@ def common_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((one[place] == every).astype(np.int64), np.cumsum([0] + [len(o) for o in others[:-1]]))
 
 
-def confirmed_links(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """docs(doc_id, text), members(rep, comp, n, h) -> (a, b, alone), checked on full sets.
+def confirmed_links(docs: DataFrame, dealt: DataFrame, k: int) -> DataFrame:
+    """docs(doc_id, text), dealt(rep, h, label, tile, side) -> (a, b, alone), checked on full sets.
 
     ``alone`` marks the links of a tile that holds a whole component: they are stars to the smallest id already.
     """
-    wanted = small_side(members.select(F.col("rep").alias("doc_id"), F.col("h").alias("want")), MEMBERS)
+    dealt = materialize(dealt, "tiles")
+    wanted = small_side(dealt.select(F.col("rep").alias("doc_id"), F.col("h").alias("want")).distinct(), MEMBERS)
 
     def full(batches):
-        for b in batches:
-            sets = [shingle_set(t, k) for t in b["text"]]
-            keep = [_digest(s) == bytes(w) for s, w in zip(sets, b["want"])]
-            yield pd.DataFrame({"rep": b["doc_id"][keep], "grams": [s.tobytes() for s, ok in zip(sets, keep) if ok]})
+        import pyarrow as pa
+
+        for batch in batches:
+            for part, texts in text_slices(batch, "text"):
+                rows = [(i, w, s.tobytes()) for i, w, s in zip(part.column("doc_id").to_pylist(), part.column("want").to_pylist(), (shingle_set(t, k) for t in texts)) if _digest(s) == w]
+                if rows:
+                    rep, h, grams = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(h, pa.binary()), pa.array(grams, pa.binary())], names=["rep", "h", "grams"])
 
-    grams = docs.join(wanted, "doc_id").mapInPandas(full, "rep long, grams binary")
-    dealt = grams.join(small_side(tiles(members), MEMBERS), "rep").repartition("tile").sortWithinPartitions("tile", "rep")
+    grams = docs.join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(full, "rep long, h binary, grams binary")
+    placed = grams.join(small_side(dealt, MEMBERS), ["rep", "h"]).repartition("tile").sortWithinPartitions("tile", "rep")
 
     def check(batches):
         tile, held = None, []
 
         def close():
             if len(held) > 1:
-                sets = [np.frombuffer(g, dtype=np.uint64) for _, _, g in held]
-                found = spanning_links([r for r, _, _ in held], [s for _, s, _ in held], np.stack([minhashes(s) for s in sets]), sets)
+                ids, sides, labels, raw = zip(*held)
+                found = spanning_links(ids, sides, labels, [np.frombuffer(g, dtype=np.uint64) for g in raw])
                 if found:
                     a, b = np.array(found, dtype=np.int64).T
-                    yield pd.DataFrame(dict(zip("ab", contract(a, b))) | {"alone": tile.count(":") == 0})
+                    yield pd.DataFrame(dict(zip("ab", contract(a, b))) | {"alone": ":" not in tile})
 
-        for b in batches:
-            for t, rep, side, g in zip(b["tile"], b["rep"], b["side"], b["grams"]):
+        for batch in batches:
+            for t, *row in zip(*[batch[c] for c in ("tile", "rep", "side", "label", "grams")]):
                 if t != tile:
                     yield from close()
                     tile, held = t, []
-                held.append((rep, side, g))
+                held.append(row)
         yield from close()
 
-    return dealt.select("tile", "rep", "side", "grams").mapInPandas(check, "a long, b long, alone boolean")
+    return placed.select("tile", "rep", "side", "label", "grams").mapInPandas(check, "a long, b long, alone boolean")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,16 +308,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     kept, with null component_id.  Repeated rows are equal documents; one id
     with several texts counts as linked to itself.  Other columns are not read.
     """
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = given.where(F.col("doc_id").isNotNull())
     sk = materialize(sketches(known, k), "sketches")
     classes = sk.where(F.col("n") > 0).groupBy("h").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x"), F.count("*").alias("c"))
     reps = materialize(classes.select(F.col("x.doc_id").alias("rep"), "h", F.col("x.n").alias("n"), F.col("x.sig").alias("sig"), "c"), "reps")
-    comps = connected_components(candidate_ties(reps))
-    members = materialize(reps.select("rep", "h", "n").join(small_side(comps.select(F.col("node").alias("rep"), F.col("component").alias("comp")), MEMBERS), "rep"), "members")
-    links = materialize(confirmed_links(known, members, k), "links")
+    ties = candidate_ties(reps)
+    comps = connected_components(ties)
+    members = materialize(reps.select("rep", "h", "n", (F.col("n") + ROW).alias("w")).join(small_side(comps.select(F.col("node").alias("rep"), F.col("component").alias("comp")), MEMBERS), "rep"), "members")
+    heavy = members.groupBy("comp").agg(F.sum("w").alias("total")).where(F.col("total") > 2 * TILE).select("comp")
+    large = materialize(members.join(small_side(heavy), "comp"), "large")
+    links = materialize(confirmed_links(known, first_tiles(members, large, ties), k), "links")
     stars = links.where("alone").select("a", "b")
-    linked = connected_components(links.where("NOT alone").select("a", "b")).unionByName(stars.select(F.col("a").alias("node"), F.col("b").alias("component")))
+    links = links.where("NOT alone").select("a", "b")
+    if not large.isEmpty():
+        links = links.unionByName(materialize(confirmed_links(known, second_tiles(large, links), k), "links").select("a", "b"))
+    linked = connected_components(links).unionByName(stars.select(F.col("a").alias("node"), F.col("b").alias("component")))
+    discard(ties, members, large)
     several = small_side(reps.where("c > 1").select("h", "rep"), MEMBERS)
     reach = small_side(linked.select(F.col("node").alias("rep"), "component"), MEMBERS)
     out = (
@@ -305,13 +342,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
 def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
     """documents without all but one of each group of near duplicates (the smallest id stays).
 
-    Of repeated rows of one id one stays.  Only ids that go, or come more than
-    once, are joined, and texts move only where those are too many to broadcast.
+    Rows of one id are documents of their own where their texts differ, so an
+    unlike text stays; of rows with equal id and text (null: empty) one stays.  Rows of a
+    null id stay.  Only ids that go, or come more than once, are joined, and
+    texts move only where those are too many to broadcast.
     """
-    found = materialize(near_duplicates(docs, k).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("c")).where("NOT kept OR c > 1"), "removed")
-    once = docs.join(small_side(found.select("doc_id"), MEMBERS), "doc_id", "left_anti")
-    more = docs.join(small_side(found.where("kept").select("doc_id"), MEMBERS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more).select(*docs.columns)
+    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    ids = materialize(ids, "repeated")
+    if ids.isEmpty():
+        gone = materialize(near_duplicates(docs, k).where("NOT kept").select("doc_id"), "removed")
+        return docs.join(small_side(gone, MEMBERS), "doc_id", "left_anti").select(*docs.columns)
+    # Each text of a repeated id gets a number of its own below all ids (60 bits of a hash); equal ones share it.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    again = small_side(ids.select("doc_id", F.lit(True).alias("again")), MEMBERS)
+    own = packed.join(again, "doc_id", "left").withColumn("own", F.when(F.col("again"), -1 - text_hash60(F.col("doc_id"), F.col("text"))).otherwise(F.col("doc_id")))
+    numbered = materialize(own.select("own", "row", "text", F.coalesce("again", F.lit(False)).alias("again")), "numbered")
+    found = near_duplicates(numbered, k, "own").where(F.col("doc_id").isNotNull() & ~F.col("kept"))
+    gone = materialize(found.select(F.col("doc_id").alias("own")).distinct(), "removed")
+    stay = numbered.join(small_side(gone, MEMBERS), "own", "left_anti")
+    return stay.where("NOT again").select("row.*").unionByName(stay.where("again").dropDuplicates(["own"]).select("row.*"))
 
 
 def _sizes(batches, k):

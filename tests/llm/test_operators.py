@@ -445,6 +445,33 @@ def test_near_duplicates_in_small_tiles(spark, monkeypatch):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute_groups(rows, 4)
 
 
+def test_one_id_with_unlike_texts_loses_none(spark):
+    """Texts of one id are documents of their own; equal and near ones still go."""
+    base = words(60, 1)
+    rows = [(1, words(40, 2)), (1, words(40, 3)), (1, words(40, 3)), (2, words(40, 2)), (3, base), (3, base + " tail"), (4, None), (4, ""), (5, "alone")]
+    docs = documents(spark, [(i, t, None, None) for i, t in rows])
+    got = sorted((r["doc_id"], r["text"] or "") for r in neardup.keep_one(docs).collect())
+    assert [(i, t) for i, t in got if i in (4, 5)] == [(4, ""), (5, "alone")]
+    assert {t for i, t in got if i in (1, 2)} == {words(40, 2), words(40, 3)} and len([1 for i, _ in got if i in (1, 2)]) == 2
+    assert len([1 for i, _ in got if i == 3]) == 1
+
+
+def test_a_large_group_of_copies_takes_linear_tiles(spark, monkeypatch):
+    """Members go with one head each, and a second round has only what the first left open."""
+    monkeypatch.setattr(neardup, "TILE", 4000)
+    r = random.Random(2)
+    base = [f"w{r.randrange(3000)}" for _ in range(150)]
+    rows = [(i, " ".join([*base[: i % 140], f"x{i}", *base[i % 140 + 1 :]])) for i in range(300)]
+    rows += [(1000 + i, " ".join([*base[:80], *(f"y{i}z{j}" for j in range(70))])) for i in range(3)]  # meet the group in tables, but are unlike
+    docs = documents(spark, [(i, t, None, None) for i, t in rows])
+    dealt = []
+    seen = neardup.confirmed_links
+    monkeypatch.setattr(neardup, "confirmed_links", lambda d, tiles, k: (dealt.append(tiles.count()), seen(d, tiles, k))[1])
+    got = neardup.near_duplicates(docs, 4).collect()
+    assert {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in got} == brute_groups(rows, 4)
+    assert all(n < 3 * len(rows) for n in dealt)
+
+
 def test_near_duplicates_of_nothing(spark):
     docs = documents(spark, [(1, "a b c d e", None, None)])
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
@@ -464,6 +491,19 @@ def test_components(spark):
             root[y] = x
     got = components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()
     assert {tuple(x) for x in got} == {(i, find(i)) for i in list(root)}
+    assert components.connected_components(spark.createDataFrame([(None, 1), (2, 2)], "a long, b long")).count() == 0
+
+
+def test_components_over_many_partitions(spark, monkeypatch):
+    """Beyond what a task contracts, star steps join the partitions; nodes with many edges are broadcast."""
+    monkeypatch.setattr(components, "HOT", 20)
+    monkeypatch.setattr(components, "contract_locally", lambda edges, parts: edges.coalesce(parts))
+    monkeypatch.setattr(components, "LOCAL", 50)
+    edges = [(i + 1, i) for i in range(40)] + [(500 + i, 7) for i in range(60)] + [(2000 + i, 3000 + i % 3) for i in range(30)]
+    got = {tuple(x) for x in components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
+    want = {(i, 0) for i in [*range(41), *range(500, 560)]}
+    want |= {(n, 2000 + k) for k in range(3) for n in [3000 + k, *range(2000 + k, 2030, 3)]}
+    assert got == want
 
 
 def test_words_do_not_depend_on_blocks(monkeypatch):
