@@ -529,13 +529,52 @@ def test_n_best_equals_brute_force(text):
     assert all(v.decode(ids) == text for _, ids in got)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_a_star_equals_brute_force_on_random_texts(seed):
+    """Lockstep (many parts of one length) and single searches give the same best, and the frontier's rest is the second best."""
+    r = random.Random(seed)
+    v = pieces.Vocabulary(TINY)
+    texts = ["".join(r.choices("ab. ", k=r.randrange(1, 8))) for _ in range(60)]
+    for text, got in zip(texts, v.encode_many(texts, 3)):
+        want = pieces.brute_force(v, text)
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in want[:3]])
+        assert got[0][1] == pieces.Vocabulary(TINY).encode(text)[0][1]
+    for part, place in v.place.items():
+        found, rest = v.search(part, 1)
+        want = pieces.brute_force(v, part.replace(pieces.MARK, " ")[1:]) if part[0] == pieces.MARK and len(part) > 1 else []
+        assert found[0][1] == v.ids[place] and found[0][0] - rest == pytest.approx(v.losses[place])
+        if want:
+            assert found[0][0] == pytest.approx(want[0][0]) and (rest == pytest.approx(want[1][0]) if len(want) > 1 else rest == -math.inf)
+
+
 def test_a_star_on_the_public_model():
     v = pieces.Vocabulary.load(pieces.MODEL)
-    for part in ("▁internationalisation", "▁thereof", "éàü"):
-        want = pieces.brute_force(v, part[1:] if part[0] == "▁" else part)
-        if part[0] == "▁":
-            assert [s for s, _ in v.n_best(part, 5)] == pytest.approx([s for s, _ in want[:5]])
-        assert v.best_path(part)[1] == pytest.approx(v.n_best(part, 1)[0][0])
+    for part in ("▁internationalisation", "▁thereof", "▁éàü"):
+        want = pieces.brute_force(v, part[1:])
+        found, rest = v.search(part, 5)
+        assert [s for s, _ in found] == pytest.approx([s for s, _ in want[:5]]) and rest == pytest.approx(want[5][0] if len(want) > 5 else -math.inf)
+        assert len({ids for _, ids in found}) == min(5, len(want))
+
+
+def test_a_million_characters_without_a_space():
+    """A frontier of n entries and a score for each place are all that is held."""
+    import tracemalloc
+
+    v = pieces.Vocabulary.load(pieces.MODEL)
+    text = "ab" * 500_000
+    tracemalloc.start()
+    found = v.encode(text, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert v.decode(found[0][1]) == v.decode(found[1][1]) == text and found[0][0] >= found[1][0]
+    assert most < 150e6
+
+
+def test_the_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 5000)
+    v = pieces.Vocabulary(TINY)
+    list(v.encode_many([f"{'ab' * i} ba" for i in range(900)]))
+    assert v.held < 300 * (250 + 6 * 1800) and v.encode("abab")[0][1]
 
 
 def test_encoding_round_trip(spark):
@@ -548,4 +587,13 @@ def test_encoding_round_trip(spark):
     assert all(r["text"] == texts[r["id"]] for r in second) and len(second) >= 5
     digests = {r["doc_id"]: r for r in pieces.encoded_digests(docs).collect()}
     assert digests[4]["text_sha256"] == hashlib.sha256(texts[4].encode()).hexdigest() and digests[1]["n_pieces"] == 0
-    assert pieces.encode(docs.limit(0)).count() == 0
+    assert pieces.encode(docs.limit(0)).count() == 0 and pieces.decode(coded.limit(0)).count() == 0
+
+
+def test_ids_beside_the_other_columns(spark):
+    docs = documents(spark, [(0, "The cat sat.", "en", "s"), (0, "The cat sat.", "en", "s"), (1, None, None, None), (None, "", None, None)]).withColumn("ids", F.lit("clash")).withColumn("c0", F.lit(7))
+    got = pieces.with_ids(docs).orderBy("doc_id").collect()
+    assert got[0].asDict().keys() == {*(c for c in docs.columns if c not in ("text", "ids")), "ids", "exact"}
+    assert [r["doc_id"] for r in got] == [None, 0, 0, 1] and all(r["exact"] and r["c0"] == 7 and r["h"] == "h" for r in got)
+    assert got[1]["ids"] == got[2]["ids"] and got[1]["ids"] and got[0]["ids"] == got[3]["ids"] == []
+    assert pieces.with_ids(docs.limit(0)).count() == 0
