@@ -47,21 +47,46 @@ def letter_grams(text: str, dims: int, n: int = 3) -> np.ndarray:
     return out
 
 
-def word_hashes(c: np.ndarray, space: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words among code points (or bytes) ``c``, where ``space`` marks separators."""
-    inside = ~space
-    start = inside & np.append(True, space[:-1])
-    at = np.flatnonzero(start)
-    if not len(at):
-        return np.zeros(0, dtype=np.uint64)
-    word = np.cumsum(start) - 1
-    place = np.arange(len(c)) - at[np.maximum(word, 0)]
+_PRIME = 0x100000001B3
+
+
+def word_hashes(blocks):
+    """Arrays of 64-bit hashes of the words of a text that comes in blocks: (code points or bytes, where they are separators).
+
+    A word may reach over any number of blocks.
+    """
+    before, length = np.uint64(0), 0  # of the word that the last block left open
     with np.errstate(over="ignore"):
-        most = int(place[inside].max()) + 1
-        power = np.ones(most, dtype=np.uint64)
-        power[1:] = np.cumprod(np.full(most - 1, 0x100000001B3, dtype=np.uint64))
-        v = np.where(inside, (c.astype(np.uint64) + np.uint64(1)) * power[np.where(inside, place, 0)], np.uint64(0))
-        return mix64(np.add.reduceat(v, at))
+        for c, space in blocks:
+            if not len(c):
+                continue
+            inside = ~space
+            start = inside & np.append(True, space[:-1])
+            at = np.flatnonzero(start)
+            if length and space[0]:
+                yield mix64(np.array([before]))
+                length = 0
+            if not len(at):
+                continue
+            word = np.cumsum(start) - 1
+            place = np.where(inside, np.arange(len(c)) - at[np.maximum(word, 0)], 0)
+            power = np.ones(int(place.max()) + 1, dtype=np.uint64)
+            power[1:] = np.cumprod(np.full(len(power) - 1, _PRIME, dtype=np.uint64))
+            sums = np.add.reduceat(np.where(inside, (c.astype(np.uint64) + np.uint64(1)) * power[place], np.uint64(0)), at)
+            carried = length if start[0] else 0
+            if carried:
+                sums[0] = before + sums[0] * np.uint64(pow(_PRIME, carried, 2**64))
+            length = 0
+            if inside[-1]:
+                before, length = sums[-1], len(c) - int(at[-1]) + (carried if len(at) == 1 else 0)
+                sums = sums[:-1]
+            yield mix64(sums)
+        if length:
+            yield mix64(np.array([before]))
+
+
+def joined(arrays) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *arrays])
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -10,22 +10,20 @@ relative frequencies (unit length).
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .features import letter_grams
 
 DIMS = 4096
-#: Bound of the sample that the machines learn from: documents of each language, in the mean of a hash draw.
+#: Bounds of the sample that the machines learn from: documents of each language, and of all (but LEAST of each language).
 SAMPLE = 500
-#: Languages with fewer labelled documents are learned from all of them.
-LANGUAGES = 200
-NO_LETTER = re.compile(r"[^\W\d_]")
+TOTAL = 10_000
+LEAST = 20
 UNKNOWN = "und"
 
 # Families of common language codes; others form a family of their own.
@@ -46,6 +44,10 @@ def features(text: str) -> np.ndarray:
     return (counts / (np.sqrt((counts**2).sum()) or 1.0)).astype(np.float32)
 
 
+def letters_in(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 150) -> np.ndarray:
     """Weights (last: bias) of a linear machine with squared hinge loss, by accelerated gradient steps; y is +1 or -1."""
     x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)]).astype(np.float32)
@@ -101,34 +103,42 @@ class Model:
         return best, float(1 / (1 + np.exp(-4 * np.clip(margin, -8, 8))))
 
 
-def fit(docs: DataFrame, learn, sample: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, learn, sample: int = SAMPLE, total: int = TOTAL) -> Model | None:
     """Learn from rows where the condition ``learn`` holds and lang is not null; None if there are none.
 
     The rows are drawn by a hash of the text, about ``sample`` for each
-    language (all, where there are fewer), and at most LANGUAGES languages
-    (those with most rows).  Only their features come to the driver.
+    language (all, where there are fewer), and fewer of each where there are so
+    many languages that these would be more than ``total``; no language is left
+    out.  Equal texts count once.  Only the features of these rows come to the driver, as the numbers
+    that are not zero.  Texts without a letter teach nothing.
     """
+    small_batches(docs.sparkSession)
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy("lang").collect()  # a row for each language
     if not counts:
         return None
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample / r["count"]))) for r in counts])
-    drawn = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6 < share)
+    sample = min(sample, max(LEAST, total // len(counts)))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]))])
+    drawn = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6 < share[F.col("lang")])
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"lang": b["lang"], "x": [features(t).tobytes() for t in b["text"]]})
+            xs = [features(t) for t in b["text"]]
+            at = [np.flatnonzero(x).astype(np.uint16) for x in xs]
+            yield pd.DataFrame({"lang": b["lang"], "at": [i.tobytes() for i in at], "x": [x[i].tobytes() for x, i in zip(xs, at)]})[[len(i) > 0 for i in at]]
 
-    rows = drawn.mapInPandas(run, "lang string, x binary").collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], r["x"]))
+    rows = sorted({(r["lang"], bytes(r["at"]), bytes(r["x"])) for r in drawn.mapInPandas(run, "lang string, at binary, x binary").collect()})
     kept, seen = [], {}
-    for r in rows:
-        seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] <= 2 * sample:  # copies of one text are drawn together
+    for r in rows:  # the draw's mean is the sample's size
+        seen[r[0]] = seen.get(r[0], 0) + 1
+        if seen[r[0]] <= 2 * sample:
             kept.append(r)
     if not kept:
         return None
-    return Model(np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in kept]), [r["lang"] for r in kept])
+    x = np.zeros((len(kept), DIMS), dtype=np.float32)
+    for row, (_, at, values) in zip(x, kept):
+        row[np.frombuffer(at, dtype=np.uint16)] = np.frombuffer(values, dtype=np.float32)
+    return Model(x, [r[0] for r in kept])
 
 
 def has_letter(text_col: str) -> F.Column:
@@ -136,7 +146,7 @@ def has_letter(text_col: str) -> F.Column:
 
     @F.pandas_udf("boolean")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([t is not None and NO_LETTER.search(t) is not None for t in texts], dtype=bool)
+        return pd.Series([letters_in(t) for t in texts], dtype=bool)
 
     return run(text_col)
 
@@ -149,13 +159,14 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     Repeated rows are predicted each; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         model = shared.value
-        out = [model.predict(features(t)) if model is not None and t is not None and NO_LETTER.search(t) else (UNKNOWN, 0.0) for t in texts]
+        out = [model.predict(features(t)) if model is not None and letters_in(t) else (UNKNOWN, 0.0) for t in texts]
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     return picked.withColumn("p", predict("text")).select("id", "p.lang_pred", "p.score")

@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, small_batches, small_side, table, text_hash60, text_slices
 from .components import connected_components, contract
-from .features import mix64, word_hashes
+from .features import joined, mix64, word_hashes
 
 M = 16
 R = 3
@@ -49,7 +48,6 @@ ROW = 256
 MEMBERS = 500_000
 BLOCK = 1 << 20
 
-_WS = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -61,16 +59,10 @@ _SLOTS = _rng.integers(0, 2**63, (2 * M, R + 1), dtype=np.uint64) * np.uint64(2)
 
 
 def words_of(text: str) -> np.ndarray:
-    """Hashes of the words, A-Z lower-cased, block by block (blocks end at white space)."""
+    """Hashes of the words, A-Z lower-cased, block by block."""
     data = text.encode("utf-8", "surrogatepass")
-    parts, at = [], 0
-    while at < len(data):
-        cut = _WS.search(data, at + BLOCK) if at + BLOCK < len(data) else None
-        end = cut.start() if cut else len(data)
-        c = _LOWER[np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)]
-        parts.append(word_hashes(c, _SPACE[c]))
-        at = end
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+    cut = (_LOWER[np.frombuffer(data, dtype=np.uint8, count=min(BLOCK, len(data) - at), offset=at)] for at in range(0, len(data), BLOCK))
+    return joined(word_hashes((c, _SPACE[c]) for c in cut))
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:

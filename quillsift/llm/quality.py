@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
-from .features import BLOCK, char_class, code_points, word_hashes
+from .common import small_batches, small_side, table
+from .features import BLOCK, char_class, code_points, joined, word_hashes
 from .langid import held_out
 
 WORDS = 2048
@@ -44,16 +44,20 @@ def features(text: str | None, metadata=()) -> np.ndarray:
     """
     x = np.zeros(DIMS, dtype=np.float32)
     text = text or ""
-    words = np.zeros(0, dtype=np.uint64)
-    totals = np.zeros(6)
-    with_letter = 0
-    for at in range(0, len(text), BLOCK):  # a word across two blocks counts as two
-        c = code_points(text[at : at + BLOCK])
-        kinds = [char_class(k)[c] for k in ("isalpha", "isdigit", "isupper", "isspace")]
-        marks = (c < 128) & ~kinds[0] & ~kinds[1] & ~kinds[3]
-        totals += [*(k.sum() for k in kinds), marks.sum(), len(c)]
-        with_letter += int((kinds[0] & np.append(True, kinds[3][:-1])).sum())
-        words = np.concatenate([words, word_hashes(c, kinds[3])])
+    totals = np.zeros(7)
+
+    def blocks():
+        first = True  # whether a word may start at the next character
+        for at in range(0, len(text), BLOCK):
+            c = code_points(text[at : at + BLOCK])
+            kinds = [char_class(k)[c] for k in ("isalpha", "isdigit", "isupper", "isspace")]
+            marks = (c < 128) & ~kinds[0] & ~kinds[1] & ~kinds[3]
+            totals[:] += [*(k.sum() for k in kinds), marks.sum(), len(c), (kinds[0] & np.append(first, kinds[3][:-1])).sum()]
+            first = kinds[3][-1]
+            yield c, kinds[3]
+
+    words = joined(word_hashes(blocks()))
+    with_letter = totals[6]
     n, m = totals[5], len(words)
     if m:
         counts = np.bincount((words >> np.uint64(20)).astype(np.int64) % WORDS, minlength=WORDS)
@@ -128,16 +132,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE, text_co
 
     The documents are drawn by a hash of their id, about ``sample`` in all;
     only their features come to the driver.  Null labels, and labels without a
-    document, count nowhere; a document labelled twice is learned twice.  None
-    if nothing is labelled.
+    document, count nowhere; equal labels of a document count once, unlike
+    ones each.  Extra columns are not read.  None if nothing is labelled.
     """
-    known = labels.where(F.col("quality").isNotNull() & learn).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    small_batches(docs.sparkSession)
+    known = labels.where(F.col("quality").isNotNull() & learn).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     total = known.count()
     if not total:
         return None
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6 < min(1.0, sample / total))
-    # At most about ``sample`` rows, so the side is broadcast by a proven bound.
-    rows = docs.select(F.col("doc_id"), *_picked(docs, text_col, metadata)).join(F.broadcast(drawn), "doc_id")
+    rows = docs.select(F.col("doc_id"), *_picked(docs, text_col, metadata)).join(small_side(drawn), "doc_id")
 
     def run(batches):
         for b in batches:
@@ -156,6 +160,7 @@ def score(docs: DataFrame, model: FactorisationMachine | None, id_col: str = "do
     Null and empty texts have scores too; repeated rows are scored each; an
     empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -106,6 +107,50 @@ def test_language_on_held_out_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(docs.limit(3), None).collect()} == {"und"}
 
 
+def plain_language(text, model):
+    """The decision from trigram counts in a dictionary, one machine at a time."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und"
+    spaced = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f"  {text.lower()} "))
+    spaced = " " + spaced if not spaced.startswith(" ") else spaced
+    counts: dict = {}
+    for i in range(len(spaced) - 2):
+        h = 0
+        for c in spaced[i : i + 3]:
+            h = (h * 0x100000001B3 % 2**64) ^ ord(c)
+        place = (h * 0x9E3779B97F4A7C15 % 2**64 >> 40) % langid.DIMS
+        counts[place] = counts.get(place, 0) + 1
+    length = math.sqrt(sum(counts.values()))
+    margin = lambda w: sum(float(w[i]) * math.sqrt(n) for i, n in counts.items()) / length + float(w[-1])
+    tops = [margin(model.top[:, i]) for i in range(len(model.families))] if model.top is not None else [0]
+    codes = model.members[model.families[tops.index(max(tops))]]
+    duels = {pair: margin(w) for pair, w in model.pairs.items() if pair[0] in codes}
+    votes = {k: (sum((m >= 0) == (k == a) for (a, b), m in duels.items() if k in (a, b)), sum(m if k == a else -m for (a, b), m in duels.items() if k in (a, b))) for k in codes}
+    return max(codes, key=votes.get)
+
+
+def test_language_query_equals_brute_force(spark, tmp_path):
+    r = random.Random(7)
+    rows = language_rows() + [(500 + i, t, "nl", "s") for i, t in enumerate(" ".join(r.choices("de het een van en in is dat op te".split(), k=25)) for _ in range(40))]
+    rows += [(900, None, "en", "s"), (901, "", "en", "s"), (902, "½ ② Ⅷ ² 12", "en", "s"), (903, "ñ", None, None), (904, "der the le el " * 3000, None, None), (904, "der the le el " * 3000, None, None), (None, "der die und von", "de", "s")]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    model = langid.fit(documents(spark, rows), ~langid.held_out(4, 2))
+    got = langid.op2_language_id(spark, str(tmp_path)).collect()
+    given = {i: t for i, t, *_ in rows}
+    assert len(got) == len(rows)
+    for x in got:
+        assert x["lang_pred"] == plain_language(given[x["doc_id"]], model) and 0 <= x["score"] <= 1
+        assert x["held_out"] == (x["doc_id"] is not None and zlib.crc32(str(x["doc_id"]).encode()) % 4 == 2)
+    assert {x["doc_id"] for x in got if x["lang_pred"] == "und"} == {900, 901, 902}
+
+
+def test_every_language_is_learned(spark):
+    """However many there are, and however few rows of each."""
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 5, f"x{i % 230}", "s") for i in range(460)]
+    model = langid.fit(documents(spark, rows), F.lit(True), total=100)
+    assert sum(map(len, model.members.values())) == 230
+
+
 def test_letter_grams_do_not_depend_on_blocks(monkeypatch):
     text = "Ab c,  d\n" * 50
     whole = langid.features(text)
@@ -142,6 +187,36 @@ def test_quality_on_held_out_rows(spark):
     assert quality.score(docs.limit(0), None).count() == 0
 
 
+def test_quality_features_do_not_depend_on_blocks(monkeypatch):
+    text = words(300, 4) + " " + "long" * 40 + "\n\t é  Z.  " + words(20, 2)
+    whole = quality.features(text)
+    for block in (1, 7, 64):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        assert np.array_equal(quality.features(text), whole)
+
+
+def test_quality_query_equals_plain_scores(spark, tmp_path):
+    """Every row's score is the pairwise sum over its features, whatever is repeated, null or long."""
+    good, bad = [words(80, i) + "." for i in range(40)], ["spam " * 40, "%% $$ " * 30] * 20
+    rows = [(i, t, "en", "s") for i, t in enumerate(x for pair in zip(good, bad) for x in pair)] + [(500, None, None, None), (501, "", None, None), (502, words(30_000), None, None), (7, "spam", "en", "s"), (7, "spam", "en", "s")]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(80)] + [(0, 1, 0)] * 50 + [(500, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    model = quality.fit(docs, labels, ~langid.held_out(5, 0))
+    got = quality.op3_quality(spark, str(tmp_path)).collect()
+    want: dict = {}
+    for i, t, *_ in rows:
+        x = quality.features(t, (None if t is None else float(len(t)),)).astype(float)
+        on = np.flatnonzero(x)
+        pairs = sum(float(model.v[a] @ model.v[b]) * x[a] * x[b] for a, b in itertools.combinations(on, 2)) if len(on) < 300 else None
+        if pairs is not None:
+            want.setdefault(i, []).append(1 / (1 + math.exp(-(float(model.b) + float(x @ model.w) + pairs))))
+    for i, scores in want.items():
+        assert sorted(r["score"] for r in got if r["doc_id"] == i) == pytest.approx(sorted(scores), abs=1e-4)
+    assert len(got) == len(rows) and all(r["predicted"] == (r["score"] >= 0.3) for r in got)
+
+
 def test_metadata_values_are_features_of_their_own():
     meta = lambda *values: quality.features("", values)
     assert (meta(1000) != meta(9999)).any() and (meta("anna") != meta("bert")).any() and (meta("anna", None) != meta(None, "anna")).any()
