@@ -1,16 +1,19 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
 The dimensions are cut into BLOCKS nodes, each of which knows its own part of
-every score; a score is the sum of its parts.
+every score; a score is the sum of its parts.  Rows are taken in chunks.
 
-1. Every node gathers its local list, the k candidates with the highest parts
-   (in each partition of rows).  What those candidates score in full gives a
-   lower bound t of the k-th best score, for each query.
+1. Every chunk gathers the local list of one node (in turn): the k candidates
+   with the highest parts there.  What those candidates score in full gives a
+   lower bound t of the k-th best score, for each query.  So this phase takes
+   1 / BLOCKS of all parts.
 2. A candidate that scores t or more has a part of t / BLOCKS or more on some
-   node, whatever the signs.  This cutoff is broadcast, and every node collects
-   its entries at or above it; an entry whose bound (known parts, and the
-   cutoff for unknown ones) is below t is dropped.
-3. The remaining candidates get their exact scores; the best k stay.
+   node, whatever the signs.  This cutoff is broadcast.  Node by node, a chunk
+   adds up parts and goes on with the entries that can still be sufficient:
+   a part has reached the cutoff or a node to come can reach it, and the sum so
+   far and the largest possible rest (products of lengths, by Cauchy-Schwarz)
+   reach t.  Once few are left their parts are taken one by one.
+3. What is left has its exact score; the best k stay.
 
 Queries are taken in blocks of bounded size, which is what is broadcast; the
 candidates stay where they are, and only k entries for each query and
@@ -24,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small_batches, table
 
 K = 5
 SCALE = 256
@@ -32,6 +35,8 @@ BLOCKS = 4
 #: Queries that are broadcast at a time.
 QUERY_BLOCK = 8192
 ROW_CHUNK = 256
+#: Share of a chunk's entries below which parts are taken entry by entry.
+FEW = 0.02
 
 
 def quantize(vector) -> F.Column:
@@ -57,12 +62,15 @@ def _dtype(queries: np.ndarray, rows: np.ndarray):
     return np.float32 if top < 2**24 else np.float64
 
 
-def _parts(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """(nodes, rows, queries): every node's part of every score."""
-    kind = _dtype(queries, rows)
-    q, r = queries.astype(kind), rows.astype(kind)
-    cuts = np.array_split(np.arange(rows.shape[1]), BLOCKS)
-    return np.stack([r[:, c] @ q[:, c].T for c in cuts])
+def _nodes(width: int) -> list[slice]:
+    """The dimensions of each node."""
+    cuts = np.linspace(0, width, BLOCKS + 1).astype(int)
+    return [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+
+
+def _lengths(rows: np.ndarray) -> np.ndarray:
+    """(nodes, rows): the length of every row's part, rounded up."""
+    return np.stack([np.sqrt((rows[:, d] ** 2).sum(axis=1)) for d in _nodes(rows.shape[1])]) * (1 + 1e-9)
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -78,7 +86,7 @@ def _chunks(batches, width: int):
             yield part["vec_id"].to_numpy(dtype=np.int64), _matrix(part["v"].to_list(), width)
 
 
-def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", counts=None) -> DataFrame:
     """Each query's k highest scores: (query_id, rank, vec_id, score), ties to smaller vec_id.
 
     ``is_query`` is a condition on the column vec_id.  Candidates of a query
@@ -86,9 +94,11 @@ def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec
     vector holds null or non-finite components, take no part; a shorter vector
     counts as filled up with zeros; a repeated query row counts once and
     repeated candidates each.  With fewer than k candidates all are returned.
-    Other columns are not read.
+    Other columns are not read.  ``counts``, two accumulators of whole numbers,
+    get the number of scores that were added up in full in phase 2 and of all.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     sound = materialize(vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantize(F.col(vector_col)).alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()), "vectors")
     picked = sound.where(is_query).dropDuplicates(["vec_id"])
     n, width = sound.agg(F.count(F.when(is_query, 1)), F.max(F.size("v"))).first()
@@ -98,7 +108,7 @@ def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec
         rows = picked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").collect()  # QUERY_BLOCK in the mean
         if rows:
             ids = np.array([r["vec_id"] for r in rows], dtype=np.int64)
-            found.append(_search_block(spark, sound, ids, _matrix([r["v"] for r in rows], width), k))
+            found.append(_search_block(spark, sound, ids, _matrix([r["v"] for r in rows], width), k, counts))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     best = found[0]
@@ -108,9 +118,9 @@ def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _search_block(spark, sound: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+def _search_block(spark, sound: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, counts=None) -> DataFrame:
     width = queries.shape[1]
-    shared = spark.sparkContext.broadcast((ids, queries))
+    shared = spark.sparkContext.broadcast((ids, queries, _lengths(queries)))
 
     def merged(top, seen, scores):
         """The k best of two lists of columns, by score and then id."""
@@ -127,20 +137,23 @@ def _search_block(spark, sound: DataFrame, ids: np.ndarray, queries: np.ndarray,
         q = np.broadcast_to(shared.value[0], s.shape)
         yield pd.DataFrame({"query_id": q[keep], "vec_id": v[keep], "score": s[keep].astype(np.int64)})
 
+    def exact(rows, queries, r, q):
+        """Scores of single entries, without a copy of more than 2^16 of them."""
+        return np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", rows[r[at : at + 65536]], queries[q[at : at + 65536]]) for at in range(0, len(r), 65536)]])
+
     def local_lists(batches):
-        ids, queries = shared.value
+        ids, queries, _ = shared.value
         top = None
-        for row_ids, rows in _chunks(batches, width):
-            parts = _parts(queries, rows)
-            own = row_ids[:, None] == ids[None, :]
-            total = parts.sum(axis=0, dtype=np.float64)
-            total[own] = -np.inf
-            listed = np.zeros(total.shape, dtype=bool)
-            for part in parts:
-                np.put_along_axis(listed, _best(np.where(own, -np.inf, part), k), True, axis=0)
-            total[~listed] = -np.inf
-            pick = _best(total, k)
-            top = merged(top, row_ids[pick], np.take_along_axis(total, pick, 0))
+        for turn, (row_ids, rows) in enumerate(_chunks(batches, width)):
+            d = _nodes(width)[turn % BLOCKS]
+            kind = _dtype(queries, rows)
+            part = (rows[:, d].astype(kind) @ queries[:, d].astype(kind).T).astype(np.float64)
+            part[row_ids[:, None] == ids[None, :]] = -np.inf
+            pick = _best(part, k)
+            q = np.broadcast_to(np.arange(len(ids)), pick.shape)
+            score = exact(rows, queries, pick.ravel(), q.ravel()).reshape(pick.shape)
+            score[np.isneginf(np.take_along_axis(part, pick, 0))] = -np.inf
+            top = merged(top, row_ids[pick], score)
         yield from entries(top)
 
     listed = sound.mapInPandas(local_lists, "query_id long, vec_id long, score long")
@@ -151,27 +164,51 @@ def _search_block(spark, sound: DataFrame, ids: np.ndarray, queries: np.ndarray,
     cutoff = spark.sparkContext.broadcast(floor)
 
     def sufficient(batches):
-        ids, queries = shared.value
+        ids, queries, query_lengths = shared.value
         floor = cutoff.value
-        uniform = floor / BLOCKS
+        uniform = np.where(np.isfinite(floor), floor / BLOCKS, -np.inf)
+        nodes = _nodes(width)
         top = None
         for row_ids, rows in _chunks(batches, width):
-            parts = _parts(queries, rows)
-            own = row_ids[:, None] == ids[None, :]
-            known = parts >= uniform[None, None, :]
-            upper = np.where(known, parts, np.where(np.isfinite(uniform), uniform, 0)[None, None, :]).sum(axis=0, dtype=np.float64)
-            r, q = np.nonzero(known.any(axis=0) & (upper >= floor[None, :]) & ~own)
-            exact = np.einsum("ij,ij->i", rows[r], queries[q])
-            keep = exact >= floor[q]
-            r, q, exact = r[keep], q[keep], exact[keep]
+            kind = _dtype(queries, rows)
+            lengths = _lengths(rows)
+            most = [lengths[n][:, None] * query_lengths[n][None, :] for n in range(BLOCKS)]  # of each part
+            total = np.zeros((len(rows), len(ids)))
+            reached = np.zeros(total.shape, dtype=bool)
+            open_ = row_ids[:, None] != ids[None, :]
+            r = q = None
+            for n, d in enumerate(nodes):
+                if r is None:
+                    part = (rows[:, d].astype(kind) @ queries[:, d].astype(kind).T).astype(np.float64)
+                    total += part
+                    reached |= part >= uniform
+                    later = most[n + 1 :]
+                    if later:
+                        open_ &= (reached | (np.max(later, axis=0) >= uniform)) & (total + np.sum(later, axis=0) >= floor)
+                    else:
+                        open_ &= reached & (total >= floor)
+                    if not later or np.count_nonzero(open_) <= FEW * open_.size:
+                        r, q = np.nonzero(open_)
+                        score, hit = total[r, q], reached[r, q]
+                else:
+                    part = exact(rows[:, d], queries[:, d], r, q)
+                    score, hit = score + part, hit | (part >= uniform[q])
+                    later = [m[r, q] for m in most[n + 1 :]]
+                    rest = sum(later) if later else 0
+                    keep = (hit | (np.max(later, axis=0) >= uniform[q] if later else False)) & (score + rest >= floor[q])
+                    r, q, score, hit = r[keep], q[keep], score[keep], hit[keep]
+            if counts is not None:
+                counts[0].add(len(r))
+                counts[1].add(total.size)
+            score = np.rint(score)
             if len(r):
-                order = np.lexsort((row_ids[r], -exact, q))
-                r, q, exact = r[order], q[order], exact[order]
+                order = np.lexsort((row_ids[r], -score, q))
+                r, q, score = r[order], q[order], score[order]
                 place = np.arange(len(q)) - np.searchsorted(q, q)
-                r, q, exact, place = (x[place < k] for x in (r, q, exact, place))
+                r, q, score, place = (x[place < k] for x in (r, q, score, place))
                 s = np.full((k, len(ids)), -np.inf)
                 v = np.zeros((k, len(ids)), dtype=np.int64)
-                s[place, q], v[place, q] = exact, row_ids[r]
+                s[place, q], v[place, q] = score, row_ids[r]
                 top = merged(top, v, s)
         yield from entries(top)
 
