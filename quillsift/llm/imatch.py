@@ -11,11 +11,13 @@ hash survives exactly the edits that touch none of its terms, so small subsets
 tell related long texts apart from unrelated ones and large ones do for short
 texts.
 
-A term stands for its hash bucket, one of 2^BITS; document frequencies are
-counted by bucket over all documents, and the lexicon is one bit for each
-bucket (256 KB at any corpus size), so testing a text's terms needs no join.
-A band is a share of N, and a bucket's rare terms add little to the share of a
-common one, so collisions do not change the band as the corpus grows.
+Document frequencies are counted for each term (its 64-bit hash) over all
+documents.  A band is a share of N, and the frequencies add up to N times the
+mean number T of distinct terms of a document, so at most T * exp(greatest idf)
+terms are in it, at any size of the corpus and of its vocabulary.  The lexicon
+is held as two arrays of 2^BITS bits (512 KB), by two parts of the hash: testing
+a text's terms needs no join.  A term out of the band passes both by chance with
+probability (L / 2^BITS)^2 for a lexicon of L terms.
 """
 
 from __future__ import annotations
@@ -43,36 +45,40 @@ def term_hashes(text: str) -> str:
     return f"sort_array(array_distinct(transform(array_remove({words}, ''), w -> xxhash64(w))))"
 
 
-def bucket(h: str) -> str:
-    return f"CAST({h} & {2**BITS - 1} AS INT)"
+def bucket(h: str, half: int) -> str:
+    """SQL: the place of a term's hash in the first or second array of bits."""
+    return f"CAST(shiftrightunsigned({h}, {BITS * half}) & {2**BITS - 1} AS INT)"
 
 
-def lexicon(terms: DataFrame, band=IDF_BAND) -> str:
-    """terms(terms array) of all documents -> SQL of the lexicon's bits, 64 to an element of an array.
+def in_band(terms: DataFrame, band=IDF_BAND) -> DataFrame:
+    """terms(terms array, distinct) of all documents -> (h), the terms whose idf is in the band; documents without terms do not count."""
+    # A null for each document with terms counts the documents along with the terms.
+    df = materialize(terms.where(F.size("terms") > 0).select(F.explode(F.concat(F.array(F.lit(None).cast("long")), "terms")).alias("h")).groupBy("h").agg(F.count("*").alias("df")), "df")
+    docs = df.where("h IS NULL").agg(F.max("df")).first()[0] or 1
+    return df.where(F.col("h").isNotNull() & F.log(F.lit(float(docs)) / F.col("df")).between(*band)).select("h")
 
-    Counts are summed by bucket (of which there are at most 2^BITS, however
-    many documents there are); the 2^BITS / 64 words of bits come to the driver
-    and go into the expressions as a constant.
+
+def lexicon(terms: DataFrame, band=IDF_BAND) -> tuple[str, str]:
+    """terms(terms array, distinct) of all documents -> SQL of the lexicon's two arrays of bits, 64 to an element.
+
+    The 2^BITS / 64 words of each come to the driver and go into the
+    expressions as constants.
     """
-    # A row of bucket -1 for each document with terms counts the documents along with the buckets.
-    buckets = F.expr(f"array_distinct(transform(terms, h -> {bucket('h')}))")
-    df = materialize(terms.where(F.size("terms") > 0).select(F.explode(F.concat(F.array(F.lit(-1)), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df")), "df")
-    docs = df.where("bucket = -1").agg(F.max("df")).first()[0] or 1
-    inside = df.where((F.col("bucket") >= 0) & F.log(F.lit(float(docs)) / F.col("df")).between(*band))
-    words = inside.groupBy(F.expr("bucket DIV 64").cast("int").alias("i")).agg(F.expr("bit_or(shiftleft(1L, CAST(bucket % 64 AS INT)))").alias("word"))
-    bits = [0] * (2**BITS // 64)
+    places = in_band(terms, band).select(F.explode(F.array(*[F.struct(F.lit(half).alias("half"), F.expr(bucket("h", half)).alias("bucket")) for half in (0, 1)])).alias("x")).select("x.*")
+    words = places.groupBy("half", F.expr("bucket DIV 64").cast("int").alias("i")).agg(F.expr("bit_or(shiftleft(1L, CAST(bucket % 64 AS INT)))").alias("word"))
+    bits = [[0] * (2**BITS // 64) for _ in (0, 1)]
     for r in words.collect():
-        bits[r["i"]] = r["word"]
-    return f"from_json('[{','.join(map(str, bits))}]', 'array<bigint>')"
+        bits[r["half"]][r["i"]] = r["word"]
+    return tuple(f"from_json('[{','.join(map(str, x))}]', 'array<bigint>')" for x in bits)
 
 
-def signature(terms: str, bits: str) -> str:
+def signature(terms: str, bits: tuple[str, str]) -> str:
     """SQL: the array of subset hashes (8 hex digits each, NONE for an empty subset) of sorted term hashes.
 
     The hash of all comes first, then LEVELS nested subsets and the deepest one for each draw.
     Without a term in the lexicon the text is known by all its terms.
     """
-    known = f"filter({terms}, h -> ({bits}[CAST({bucket('h')} DIV 64 AS INT)] & shiftleft(1L, CAST(({bucket('h')}) % 64 AS INT))) != 0)"
+    known = f"filter({terms}, h -> " + " AND ".join(f"({x}[CAST({bucket('h', half)} DIV 64 AS INT)] & shiftleft(1L, CAST(({bucket('h', half)}) % 64 AS INT))) != 0" for half, x in enumerate(bits)) + ")"
     short = lambda a: f"IF(size({a}) = 0, '{NONE}', lower(substring(lpad(hex(xxhash64({a})), 16, '0'), 9)))"
     # A draw has 2 * LEVELS bits of a term's hash of its own; level l holds the terms whose low 2 * l of them are 0.
     # All 64 bits are then dealt, so the deepest level takes two bits for each draw from a second hash.
@@ -101,7 +107,7 @@ def _parts(signature: str) -> tuple[F.Column, F.Column]:
     return F.expr(f"filter({signature}, (x, i) -> NOT ({deepest}))"), F.expr(f"filter({signature}, (x, i) -> {deepest})")
 
 
-def fingerprints(docs: DataFrame, bits: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, bits: tuple[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, signature, deepest) of every row, by a lexicon; null text counts as empty, equal texts have equal signatures."""
     terms = docs.select(F.col(id_col).alias("id"), F.expr(term_hashes(f"coalesce(`{text_col}`, '')")).alias("terms"))
     signed = terms.select("id", F.expr(signature("terms", bits)).alias("all"))
