@@ -1,7 +1,7 @@
 """Chat formatting by schema fingerprints.
 
 A record is a JSON object in any of several layouts.  Its nested field paths
-(array positions left out), sorted and hashed, are its schema fingerprint.  The
+(array positions left out; an empty array is a path too), sorted and hashed, are its schema fingerprint.  The
 fingerprint selects a declarative mapping, a list of rules that say which paths
 become which turns.  Turns are then written with one template:
 
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 # The template's control strings, then those of other templates that must not leak through.
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -31,10 +31,15 @@ CONTROLS = (START, SEP, END, "<|endoftext|>", "<|system|>", "<|user|>", "<|assis
 
 #: name -> (required paths, optional paths, rules).  A rule is (role, path) for a single field, or
 #: (role path, text path, array) for each element of an array.  Elements of arrays are written "[]".
+#: A role path starts with "@"; with "@@" the role is translated by ROLES, else it stays as it is.
 LAYOUTS = {
     "message": (("content", "role"), (), (("@role", "content"),)),
     "messages": (("messages[].content", "messages[].role"), (), (("@role", "content", "messages"),)),
-    "sharegpt": (("conversations[].from", "conversations[].value"), (), (("@from", "value", "conversations"),)),
+    "message_parts": (("content[].text", "content[].type", "role"), (), (("@role", "content"),)),
+    "messages_parts": (("messages[].content[].text", "messages[].content[].type", "messages[].role"), ("messages[].content",), (("@role", "content", "messages"),)),
+    "no_messages": (("messages[]",), (), (("@role", "content", "messages"),)),
+    "sharegpt": (("conversations[].from", "conversations[].value"), ("system",), (("system", "system"), ("@@from", "value", "conversations"))),
+    "no_conversations": (("conversations[]",), (), (("@@from", "value", "conversations"),)),
     "instruction": (("instruction", "output"), ("input", "system"), (("system", "system"), ("user", "instruction", "input"), ("assistant", "output"))),
     "prompt": (("completion", "prompt"), ("system",), (("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
     "question": (("answer", "question"), ("context",), (("user", "question", "context"), ("assistant", "answer"))),
@@ -55,11 +60,11 @@ def unescape(text: str) -> str:
 
 
 def field_paths(value, at: str = "") -> set[str]:
-    """Paths of a record's leaves; null fields and empty containers count as absent."""
+    """Paths of a record's leaves; null fields and empty objects count as absent."""
     if isinstance(value, dict):
         return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
     if isinstance(value, list):
-        return set().union(*(field_paths(v, f"{at}[]") for v in value))
+        return set().union(*(field_paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
     return {at} if value is not None else set()
 
 
@@ -77,6 +82,15 @@ def mappings(layouts=LAYOUTS) -> dict[str, tuple[str, tuple]]:
     }
 
 
+def written_text(value) -> str:
+    """A field's text: null is empty, an array the texts of its parts one after the other, numbers and booleans as JSON has them."""
+    if value is None:
+        return ""
+    if isinstance(value, list):
+        return "".join(written_text(part.get("text") if isinstance(part, dict) else part) for part in value)
+    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
 def canonical(record, known) -> tuple[str | None, list[tuple[str, str]]]:
     """(layout, turns) of a parsed record; (None, []) if no mapping has its fingerprint."""
     layout, rules = known.get(fingerprint(field_paths(record)), (None, ()))
@@ -84,9 +98,9 @@ def canonical(record, known) -> tuple[str | None, list[tuple[str, str]]]:
     for first, *rest in rules:
         if first.startswith("@"):
             for part in record.get(rest[1]) or [] if len(rest) > 1 else [record]:
-                role = str(part.get(first[1:]) or "")
-                turns.append((ROLES.get(role, role), str(part.get(rest[0]) or "")))
-        elif texts := [str(record[k]) for k in rest if record.get(k) is not None]:
+                role = written_text(part.get(first.lstrip("@")))
+                turns.append((ROLES.get(role, role) if first.startswith("@@") else role, written_text(part.get(rest[0]))))
+        elif texts := [written_text(record[k]) for k in rest if record.get(k) is not None]:
             turns.append((first, "\n\n".join(texts)))
     return layout, turns
 
@@ -110,7 +124,9 @@ def format_records(records: DataFrame, layouts=LAYOUTS) -> DataFrame:
     record), so that a conversation of any length is never held as one string;
     its formatted text is ``written`` joined in order.  A record that is null,
     not a JSON object or of unknown layout gives one row with null ``layout``
-    and ``written``: nothing is lost silently.  Repeated rows stay repeated.
+    and ``written``, and one without turns a row of its layout with null
+    ``written``: nothing is lost silently.  Repeated rows stay repeated; an
+    empty table gives an empty result; other columns are not read.
     """
     known = mappings(layouts)
 
@@ -123,9 +139,10 @@ def format_records(records: DataFrame, layouts=LAYOUTS) -> DataFrame:
                 except ValueError:
                     parsed = None
                 layout, turns = canonical(parsed, known) if isinstance(parsed, dict) else (None, [])
-                out += [(conv, turn, i, layout, *format_turn(*t)) for i, t in enumerate(turns)] or [(conv, turn, 0, None, None, 0, 0)]
+                out += [(conv, turn, i, layout, *format_turn(*t)) for i, t in enumerate(turns)] or [(conv, turn, 0, layout, None, 0, 0)]
             yield pd.DataFrame(out, columns=["conv_id", "turn", "part", "layout", "written", "loss_start", "loss_end"]).astype({"conv_id": "Int64", "turn": "Int64"})
 
+    small_batches(records.sparkSession)
     picked = records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("record").alias("record"))
     return _nullable(picked).mapInPandas(run, "conv_id long, turn long, part int, layout string, written string, loss_start int, loss_end int")
 
@@ -144,11 +161,16 @@ def turn_records(conversations: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of every conversation, from its written turns: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    Rows are dealt by conversation and sorted by turn; each is read as it
-    passes by, so a task holds digests in progress and no conversation.
-    Rows of unknown layout add nothing.  A null conv_id is a conversation of its own.
+    Rows are dealt by conversation and sorted by turn (null last) and part,
+    ties by role and then text; each is read as it passes by, so a task holds
+    digests in progress and no conversation.  Rows of unknown layout add
+    nothing.  A null conv_id is a conversation of its own.
     """
-    ordered = formatted.where(F.col("written").isNotNull()).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "part", "written")
+    small_batches(formatted.sparkSession)
+    # These two are looked at in ties only.
+    role, text = (F.regexp_replace(F.regexp_extract("written", rf"(?s)\A\Q{START}\E(.*?)\Q{SEP}\E(.*)\Q{END}\E\z", i), r"(?s)\\(.)", "$1") for i in (1, 2))
+    order = (F.col("turn").asc_nulls_last(), "part", role, text)
+    ordered = formatted.where(F.col("written").isNotNull()).repartition("conv_id").sortWithinPartitions("conv_id", *order)
     rows = ordered.select(F.col("conv_id").cast("string").alias("conv_id"), "written", "loss_start", "loss_end")
 
     def run(batches):

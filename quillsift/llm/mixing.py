@@ -20,6 +20,8 @@ from .common import materialize, small_side, table, text_hash60
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BUCKET_BITS = 16
+#: Buckets are cut in two steps, so that no task takes more than 2^8 of a source's.
+COARSE_BITS = 8
 
 
 def word_count(text) -> F.Column:
@@ -64,22 +66,26 @@ def _plan(sized: DataFrame, budget_ratio: float, max_epochs: float, weights) ->
 
     ``cross`` is that bucket, ``before`` the words in earlier ones.
     """
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    buckets = materialize(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     targets = water_fill(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), budget_ratio, max_epochs, weights)
     plan = targets.withColumn("whole", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")).withColumn(
         "more", F.col("target") - F.col("whole") * F.col("source_size")
     )
-    so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # at most 2^BUCKET_BITS rows
-    crossing = (
-        buckets.withColumn("after", F.sum("words").over(so_far))
-        .alias("b")
-        .join(small_side(plan).alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
-        .where(F.col("after") > F.col("more"))
-        .groupBy("b.source")
-        .agg(F.min(F.struct("bucket", (F.col("after") - F.col("words")).alias("before"))).alias("cross"))
-        .select("source", F.col("cross.bucket").alias("cross"), "cross.before")
-    )
-    return materialize(plan.alias("p").join(crossing.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.*", "c.cross", "c.before"), "mix-plan")
+    known = small_side(plan).alias("p")
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+
+    def crossing(rows: DataFrame, key: str) -> DataFrame:
+        """(source, at, before): the first bucket after which the words are more than ``more``; rows also have ``base``, the words in front."""
+        so_far = Window.partitionBy("source").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)  # at most 2^8 rows
+        summed = rows.withColumn("after", F.col("base") + F.sum("words").over(so_far)).alias("b").join(known, same("b", "p")).where(F.col("after") > F.col("more"))
+        first = summed.groupBy("b.source").agg(F.min(F.struct(F.col(key), (F.col("after") - F.col("words")).alias("before"))).alias("x"))
+        return first.select("source", F.col(f"x.{key}").alias("at"), "x.before")
+
+    parts = buckets.withColumn("coarse", F.shiftright("bucket", BUCKET_BITS - COARSE_BITS))
+    coarse = crossing(parts.groupBy("source", "coarse").agg(F.sum("words").alias("words")).withColumn("base", F.lit(0).cast("long")), "coarse")
+    inside = parts.alias("b").join(small_side(coarse).alias("c"), same("b", "c") & (F.col("b.coarse") == F.col("c.at"))).select("b.source", "bucket", "words", F.col("before").alias("base"))
+    cross = crossing(inside, "bucket").select("source", F.col("at").alias("cross"), "before").alias("c")
+    return materialize(plan.alias("p").join(cross, same("p", "c"), "left").select("p.*", "c.cross", "c.before"), "mix-plan")
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -88,13 +94,13 @@ def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 ON_CROSS = "coalesce(bucket = cross, false)"
-BELOW_CROSS = "CAST(coalesce(bucket < cross, false) AS BIGINT)"
+BELOW_CROSS = "CAST(coalesce(more > 0 AND bucket < cross, false) AS BIGINT)"
 
 
 def _inside(joined: DataFrame) -> DataFrame:
     """The rows of crossing buckets, with ``extra``: 1 if the fractional epoch takes them."""
     earlier = Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return joined.where(ON_CROSS).withColumn("extra", (F.col("before") + F.coalesce(F.sum("size").over(earlier), F.lit(0)) + F.col("size") / 2 <= F.col("more")).cast("long"))
+    return joined.where(ON_CROSS).withColumn("extra", ((F.col("more") > 0) & (F.col("before") + F.coalesce(F.sum("size").over(earlier), F.lit(0)) + F.col("size") / 2 <= F.col("more"))).cast("long"))
 
 
 def _sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -129,7 +135,9 @@ def repeat_documents(docs: DataFrame, budget_ratio: float = 1.5, max_epochs: flo
     """documents with every row as often as ``mix`` has it; rows of 0 repeats go.
 
     The texts stay where they are: only the rows of crossing buckets are looked
-    up by id.  Rows of one id in one crossing bucket share a decision.
+    up by id.  Rows of one id in one crossing bucket share a decision.  Null
+    ids, texts and sources are as in ``mix``; empty documents come no more often
+    than others of their source; an empty table gives an empty result.
     """
     sized = _sized(docs, seed, "doc_id", "text", "source")
     plan = _plan(sized, budget_ratio, max_epochs, weights)
@@ -164,7 +172,7 @@ d AS (SELECT sized.doc_id, sized.size, p.source_size, p.target, p.whole, p.targe
              coalesce(sum(sized.size) OVER (PARTITION BY sized.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM sized JOIN p ON sized.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
-       whole + (CASE WHEN before + size / 2 <= more THEN 1 ELSE 0 END)::BIGINT AS repeats,
-       ((whole + (CASE WHEN before + size / 2 <= more THEN 1 ELSE 0 END)) * size)::BIGINT AS taken
+       whole + (CASE WHEN more > 0 AND before + size / 2 <= more THEN 1 ELSE 0 END)::BIGINT AS repeats,
+       ((whole + (CASE WHEN more > 0 AND before + size / 2 <= more THEN 1 ELSE 0 END)) * size)::BIGINT AS taken
 FROM d
 """

@@ -20,8 +20,11 @@ from .common import materialize, small_side, table
 
 # The rules of the contract (host, path, verdict).
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+# Public suffixes of two labels (others have one), a parameter of the operators.
+SUFFIXES = tuple("co.uk org.uk ac.uk gov.uk me.uk net.uk com.au net.au org.au edu.au gov.au co.nz org.nz co.jp ne.jp or.jp ac.jp co.kr or.kr co.in net.in org.in com.br org.br net.br com.cn net.cn org.cn com.tw com.hk com.sg com.mx com.ar com.tr co.za co.il com.ua com.pl".split())
 Z = 1.645
 LIMIT = 0.5
+BESIDE_HOST = r"^.*@|:[0-9]*$"
 #: Bounds of a prior's strength in trials, which also hold where rates do not spread at all.
 STRENGTH = (2.0, 1000.0)
 
@@ -34,13 +37,21 @@ def url_parts(url) -> tuple[F.Column, F.Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def domain_of(host) -> F.Column:
-    """The registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
+def bare_host(host) -> F.Column:
+    """The host without user info and port, for the hierarchy alone."""
+    return F.regexp_replace(host, BESIDE_HOST, "")
 
 
-def suffix_of(host) -> F.Column:
-    return F.substring_index(host, ".", -1)
+def domain_of(host, suffixes=SUFFIXES) -> F.Column:
+    """The registered domain: the public suffix and one label more."""
+    two = F.substring_index(bare_host(host), ".", -2)
+    return F.when(two.isin(*suffixes), F.substring_index(bare_host(host), ".", -3)).otherwise(two)
+
+
+def suffix_of(host, suffixes=SUFFIXES) -> F.Column:
+    """The public suffix: two labels if ``suffixes`` has them, else the last label."""
+    two = F.substring_index(bare_host(host), ".", -2)
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(bare_host(host), ".", -1))
 
 
 def rule_match(host, path, rules=RULES) -> F.Column:
@@ -61,26 +72,19 @@ def _strength(n: str, k: str, mean: str) -> F.Column:
     return F.when(extra <= 0, F.lit(STRENGTH[1])).otherwise(F.least(F.greatest(F.coalesce(s, F.lit(STRENGTH[1])), F.lit(STRENGTH[0])), F.lit(STRENGTH[1])))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """outcomes(host, bad) of labelled pages -> (host, n, k, bound): posterior lower bound of the bad rate.
-
-    Also returns suffix and domain priors, by ``reputation_tables``; see there.
-    """
-    return reputation_tables(outcomes)["host"]
-
-
-def reputation_tables(outcomes: DataFrame) -> dict[str, DataFrame]:
+def reputation_tables(outcomes: DataFrame, suffixes=SUFFIXES) -> dict[str, DataFrame]:
     """Posterior tables by level, each (key, n, k, mean, bound).
 
     Counts are summed by host first (with partial sums on the map side, so a
     host with most of the pages is no hot task) and all further levels are
     sums of those.  Rows with a null host or label count nowhere.  No labelled
-    page at all gives empty tables.
+    page at all gives empty tables.  ``suffixes`` lists the public suffixes of
+    two labels.
     """
     hosts = materialize(outcomes.where(F.col("host").isNotNull() & F.col("bad").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").cast("long").alias("k")), "hosts")
     levels = {
-        "suffix": hosts.groupBy(suffix_of(F.col("host")).alias("key")).agg(F.sum("n").alias("n"), F.sum("k").alias("k")),
-        "domain": hosts.groupBy(domain_of(F.col("host")).alias("key")).agg(F.sum("n").alias("n"), F.sum("k").alias("k")),
+        "suffix": hosts.groupBy(suffix_of(F.col("host"), suffixes).alias("key")).agg(F.sum("n").alias("n"), F.sum("k").alias("k")),
+        "domain": hosts.groupBy(domain_of(F.col("host"), suffixes).alias("key")).agg(F.sum("n").alias("n"), F.sum("k").alias("k")),
         "host": hosts.withColumnRenamed("host", "key"),
     }
     above = hosts.agg(((F.sum("k") + 0.5) / (F.sum("n") + 1.0)).alias("mean"))
@@ -90,7 +94,7 @@ def reputation_tables(outcomes: DataFrame) -> dict[str, DataFrame]:
             prior = F.broadcast(above)  # one row
             based = counts.join(prior)
         else:
-            up = suffix_of(F.col("key")) if level == "domain" else domain_of(F.col("key"))
+            up = suffix_of(F.col("key"), suffixes) if level == "domain" else domain_of(F.col("key"), suffixes)
             based = counts.withColumn("up", up).alias("c").join(small_side(found["suffix" if level == "domain" else "domain"].select(F.col("key").alias("up"), "mean")).alias("p"), "up").drop("up")
         based = materialize(based.withColumn("n", F.col("n").cast("long")).withColumn("k", F.col("k").cast("long")), f"rep-{level}")
         strength = F.broadcast(based.agg(_strength("n", "k", "mean").alias("strength")))  # one row
@@ -101,7 +105,7 @@ def reputation_tables(outcomes: DataFrame) -> dict[str, DataFrame]:
     return found
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, id_col: str = "page_id", url_col: str = "url", suffixes=SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict, bound) for every page.
 
     outcomes(page_id, bad): 1 for a labelled bad page, 0 for a good one; ids
@@ -117,8 +121,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
     host, path = url_parts(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     labelled = outcomes.select(F.col(id_col).alias("page_id"), F.col("bad").cast("long").alias("bad"))
-    tables = reputation_tables(parsed.join(labelled, "page_id").select("host", "bad"))
-    out = parsed.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    tables = reputation_tables(parsed.join(labelled, "page_id").select("host", "bad"), suffixes)
+    out = parsed.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes))
     for level, key in (("host", "host"), ("domain", "domain"), ("suffix", "suffix")):
         side = small_side(tables[level].select(F.col("key").alias("_key"), F.col("bound").alias(f"_{level}")))
         out = out.join(side, out[key] == side["_key"], "left").drop("_key")
@@ -153,7 +157,10 @@ def _sql() -> str:
     ordered = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
     fits = lambda v: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v(h, p, w)}'" for h, p, w in ordered) + " END"
     up = "SELECT c.key, c.n::DOUBLE AS n, c.k::DOUBLE AS k, p.mean FROM ({{counts}}) c JOIN {0}_t p ON p.key = {1}"
-    last = lambda n: f"array_to_string(list_slice(string_split({{0}}, '.'), -{n}, -1), '.')"
+    bare = f"regexp_replace({{0}}, '{BESIDE_HOST}', '', 'g')"
+    tail = lambda n: f"array_to_string(list_slice(string_split({bare}, '.'), -{n}, -1), '.')"
+    double = f"{tail(2)} IN ({', '.join(repr(x) for x in SUFFIXES)})"
+    last = lambda n: f"CASE WHEN {double} THEN {tail(n + 1)} ELSE {tail(n)} END"
     return rf"""
 WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
 g AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
