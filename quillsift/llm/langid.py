@@ -163,13 +163,14 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     shared = spark.sparkContext.broadcast(model)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
+    # A filter on the result would else be pushed below and the texts judged twice, by twice as many workers.
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         model = shared.value
         out = [model.predict(features(t)) if model is not None and letters_in(t) else (UNKNOWN, 0.0) for t in texts]
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return picked.withColumn("p", predict("text")).select("id", "p.lang_pred", "p.score")
+    return picked.withColumn("p", predict.asNondeterministic()("text")).select("id", "p.lang_pred", "p.score")
 
 
 def held_out(modulus: int, rest: int, id_col: str = "doc_id") -> F.Column:
