@@ -23,6 +23,12 @@ def pack(rows: DataFrame, order: list, limit: int = LIMIT, separator: int = 1, i
     return best.withColumn("used", used).withColumn("place", F.row_number().over(Window.orderBy(*order))).where(F.col("used") <= limit)
 
 
+def pack_keys(keys: DataFrame, texts: DataFrame, on: list[str], order: list, limit: int = LIMIT, **how) -> DataFrame:
+    """``pack`` of rows whose text stands in another table: the limit + 2 best keys are looked up in ``texts`` by a broadcast."""
+    best = keys.orderBy(*order).limit(limit + 2)
+    return pack(texts.join(F.broadcast(best), on), order, limit, **how)
+
+
 def prompt(packed: DataFrame, question: str, header: str = HEADER, text_col: str = "sentence", separator: str = " ") -> DataFrame:
     """One row (prompt): header, context, question.  ``packed`` is bounded by its budget."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("place", text_col))), lambda x: x[text_col])

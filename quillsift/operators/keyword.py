@@ -12,11 +12,49 @@ COVERAGE, HITS = 0.8, 0.05
 K1, B = 1.2, 0.75
 
 
+#: Terms of a question; its tables are broadcast.
+MOST_TERMS = 10_000
+
+
 def keyword_table(spark: SparkSession, words, raw: bool = False) -> DataFrame:
-    """(term, ord, times): distinct terms, by default as lemmas like the index, with how often the list has them."""
+    """(term, ord, times): distinct terms, by default as lemmas like the index, with how often the list has them.
+
+    The list is a question's, of at most MOST_TERMS words (more raise), so what
+    is broadcast has that bound.
+    """
+    words = list(words)
+    if len(words) > MOST_TERMS:
+        raise ValueError(f"a question has at most {MOST_TERMS} keywords")
     rows = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "term string, ord int")
     term = F.lower(F.col("term")) if raw else lemma(F.lower(F.col("term")))
-    return rows.groupBy(term.alias("term")).agg(F.min("ord").alias("ord"), F.count("*").alias("times"))
+    found = rows.groupBy(term.alias("term")).agg(F.min("ord").alias("ord"), F.count("*").alias("times")).collect()
+    return spark.createDataFrame(found, "term string, ord int, times long")
+
+
+def known_terms(keywords: DataFrame) -> list[tuple[str, int, int]]:
+    """The rows (term, ord, times) of a question's keyword table, in order; they are what the question lists."""
+    return [(r["term"], r["ord"], r["times"]) for r in keywords.orderBy("ord").collect()]
+
+
+def matched(terms: Column, known: list[tuple[str, int, int]]) -> Column:
+    """Sum of the times of the known terms that an array of terms has, within the row."""
+    return sum((F.when(F.array_contains(terms, t), n).otherwise(0) for t, _, n in known), F.lit(0)).cast("long")
+
+
+def with_terms(sents: DataFrame) -> DataFrame:
+    """Sentences with their distinct index tokens, like those of a stored index."""
+    return sents.withColumn("terms", F.array_distinct(token_array(F.col("sentence"))))
+
+
+def sentence_hits(sents: DataFrame, known: list[tuple[str, int, int]]) -> DataFrame:
+    """sents(doc_id, sent_id, sentence, terms) with ``hits``, those with any; a projection of the scan."""
+    return sents.withColumn("hits", matched(F.col("terms"), known)).where("hits > 0")
+
+
+def scores_of_postings(posts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``doc_scores`` of stored postings(doc_id, term, sent_ids)."""
+    rows = posts.select("doc_id", "term", F.size("sent_ids").cast("long").alias("sentences")).join(F.broadcast(keywords), "term")
+    return _scored(rows)
 
 
 def sentence_tokens(sents: DataFrame) -> DataFrame:
@@ -37,8 +75,8 @@ def postings(sents: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
 
 
 def inverted_index(posts: DataFrame) -> DataFrame:
-    """(doc_id, term, postings): ascending sentence ids of one document's term."""
-    return posts.groupBy("doc_id", "term").agg(F.sort_array(F.collect_set("sent_id")).alias("postings"))
+    """posts, distinct -> (doc_id, term, postings): ascending sentence ids of one document's term."""
+    return posts.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("sent_id")).alias("postings"))
 
 
 def merge_postings(indexes: DataFrame) -> DataFrame:
@@ -50,13 +88,16 @@ def term_sentence_freq(posts: DataFrame) -> DataFrame:
     return posts.groupBy("doc_id", "term").agg(F.count("*").alias("sentences"))
 
 
-def doc_scores(posts: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(doc_id, coverage, total, points, score) of documents with a hit; score is 0.8 coverage + 0.05 total, points is 20 times that."""
-    lengths = term_sentence_freq(posts).join(F.broadcast(keywords), "term")
+def _scored(lengths: DataFrame) -> DataFrame:
     out = lengths.groupBy("doc_id").agg(F.count("*").alias("coverage"), F.sum(F.col("sentences") * F.col("times")).alias("total"))
     return out.withColumn("points", 16 * F.col("coverage") + F.col("total")).withColumn("score", F.col("points") / 20.0)
 
 
+def doc_scores(posts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(doc_id, coverage, total, points, score) of documents with a hit; score is 0.8 coverage + 0.05 total, points is 20 times that."""
+    return _scored(term_sentence_freq(posts).join(F.broadcast(keywords), "term"))
+
+
 def with_all_documents(docs: DataFrame, scores: DataFrame) -> DataFrame:
     """Documents without a hit get zeros."""
     return docs.select("doc_id").join(scores, "doc_id", "left").fillna(0, ["coverage", "total", "points", "score"])

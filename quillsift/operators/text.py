@@ -107,9 +107,20 @@ def sentence_array(text: Column, min_words: int = MIN_WORDS) -> Column:
     return F.aggregate(pieces, start, step, finish)
 
 
-def sentences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """documents(doc_id, text) -> (doc_id, sent_id, sentence); ids are document-wide and start at 0."""
-    return docs.select("doc_id", F.posexplode(sentence_array(lemmatize(F.col("text")), min_words)).alias("sent_id", "sentence"))
+def sentences(docs: DataFrame, min_words: int = MIN_WORDS, lemmatizer=lemmatize, splitter=None) -> DataFrame:
+    """documents(doc_id, text) -> (doc_id, sent_id, sentence); ids are document-wide and start at 0.
+
+    ``lemmatizer`` (of texts) and ``splitter`` (of lemmatised texts into arrays
+    of sentences) may be plug-ins, see ``functions.plugins``.
+    """
+    split = splitter or (lambda c: sentence_array(c, min_words))
+    return docs.select("doc_id", F.posexplode(split(lemmatizer(F.col("text")))).alias("sent_id", "sentence"))
+
+
+def assemble(blocks: DataFrame) -> DataFrame:
+    """blocks(doc_id, page, line_no, line) -> (doc_id, text): a document's lines in order of its pages."""
+    ordered = F.sort_array(F.collect_list(F.struct("page", "line_no", "line")))  # of one document
+    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 
 
 def token_array(text: Column) -> Column:

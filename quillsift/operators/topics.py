@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import exists, materialize, small_side
+
 # Common English function words, left out of topics.
 STOP_WORDS = tuple("a an and are as at be by for from has have he her his i in is it its of on or she that the their them they this to was we were which will with you your".split())
 TERM = r"[\p{L}\p{N}_]{2,}"
@@ -24,15 +26,45 @@ def vocabulary(units: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def weighted(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """(key, term, w) of unit length for each key."""
-    raw = counts.join(vocab, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return raw.join(length, key).select(key, "term", (F.col("w") / F.col("length")).alias("w"))
+    """(key, term, w) of unit length for each key; the terms of one key meet once."""
+    raw = counts.join(vocab, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    whole = raw.groupBy(key).agg(F.collect_list(F.struct("term", "w")).alias("ws"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    return whole.select(key, "length", F.explode("ws").alias("x")).select(key, "x.term", (F.col("x.w") / F.col("length")).alias("w"))
+
+
+def weights(units: DataFrame, key: str, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, weights); term counts and vocabulary are written, so the texts are read once.
+
+    A vocabulary that is counted to be small is broadcast; beyond that the
+    join shuffles, and Spark splits what a frequent term has.
+    """
+    counts = materialize(unit_terms(units, key, text_col), "term-counts")
+    vocab = materialize(vocabulary(units, counts), "vocabulary")
+    return vocab, weighted(counts, small_side(vocab), key)
 
 
 def tfidf(units: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    counts = unit_terms(units, key, text_col)
-    return weighted(counts, vocabulary(units, counts), key)
+    return weights(units, key, text_col)[1]
+
+
+def build(units: DataFrame, assigned: DataFrame, key: str, path: str, text_col: str = "text") -> dict[str, DataFrame]:
+    """Topic tables under ``path``: vocabulary(term, idf), members(key, topic) and centroids(topic, term, w)."""
+    spark = units.sparkSession
+    vocab, ws = weights(units, key, text_col)
+    assigned.select(key, "topic").write.mode("overwrite").parquet(f"{path}/members")
+    members = spark.read.parquet(f"{path}/members")
+    vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    centroids(ws, members, key).write.mode("overwrite").parquet(f"{path}/centroids")
+    return load(spark, path)
+
+
+def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The topic tables; raises FileNotFoundError where one was not written to its end."""
+    names = ("vocabulary", "members", "centroids")
+    for name in names:
+        if not exists(spark, f"{path}/{name}/_SUCCESS"):
+            raise FileNotFoundError(f"no table {name} under {path}")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
 
 
 def centroids(weights: DataFrame, assigned: DataFrame, key: str) -> DataFrame:
@@ -66,10 +98,18 @@ def clusters(units: DataFrame, key: str, k: int, text_col: str = "text", feature
     return Pipeline(stages=stages).fit(units).transform(units).select(key, "topic")
 
 
-def embed(units: DataFrame, key: str, text_col: str = "text", dims: int = 64) -> DataFrame:
-    """(key, i, x): hashed bag of words of unit length; a stand-in for a neural embedder, deterministic."""
+def embed(units: DataFrame, *keys: str, text_col: str = "text", dims: int = 64, embedder=None) -> DataFrame:
+    """(keys, vector) within the row: by default a hashed bag of words of unit length, a deterministic stand-in for a neural embedder.
+
+    ``embedder`` may be a plug-in (see ``functions.plugins``), a function of the
+    text column.  A text without terms has a zero vector.
+    """
+    if embedder is not None:
+        return units.select(*keys, embedder(F.col(text_col)).alias("vector"))
     terms = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0))
-    rows = units.select(key, F.explode(terms).alias("term")).select(key, (F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("long") % dims).cast("int").alias("i"))
-    counts = rows.groupBy(key, "i").agg(F.count("*").alias("c"))
-    length = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("length"))
-    return counts.join(length, key).select(key, "i", (F.col("c") / F.col("length")).alias("x"))
+    place = lambda t: (F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("long") % dims).cast("int")
+    placed = units.select(*keys, F.transform(terms, place).alias("at")).withColumn("d", F.array_distinct("at"))
+    each = placed.select(*keys, "d", F.expr("transform(d, x -> size(filter(at, y -> y = x)))").alias("n"))
+    counts = each.select(*keys, F.expr(f"transform(sequence(0, {dims - 1}), i -> coalesce(get(n, CAST(array_position(d, i) AS INT) - 1), 0))").alias("c"))
+    length = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))
+    return counts.withColumn("length", length).select(*keys, F.transform("c", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0)).alias("vector"))

@@ -8,13 +8,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import exists, materialize, small_side
+
 VARIANCE = 0.99
 MAX_DIM, MAX_K = 10, 10
-#: Rows of one document that are clustered in one task; a larger document's representative is its mean, which is equal.
+#: Rows of one document that are clustered in one task; those of a larger document are clustered where they are, in jobs.
 GROUP_ROWS = 50_000
+STEPS = 25
+#: Questions that are broadcast at a time.
+QUESTIONS = 1000
+#: Bytes of moments that a task holds, and tasks over which a document's partial moments are dealt first.
+MOMENT_BYTES, SALTS = 64_000_000, 32
 
 
 def doubles(v: Column) -> Column:
@@ -52,40 +59,66 @@ def rep_mean(vectors: DataFrame) -> DataFrame:
 
 
 def _moments(vectors: DataFrame) -> DataFrame:
-    """(doc, n, total, square): partial moments of each batch; a document's are added up from as many rows as there were batches."""
+    """(doc, n, total, square): count, sum and sum of outer products of each document.
+
+    A task adds up what comes together, within MOMENT_BYTES; a document's
+    partial moments are added in two levels, so no task takes them all.
+    """
 
     def run(batches):
+        held: dict = {}
+
+        def rows():
+            return pd.DataFrame([(doc, n, t.tobytes(), s.tobytes()) for doc, (n, t, s) in held.items()], columns=["doc", "n", "total", "square"]).astype({"doc": "Int64"})
+
         for b in batches:
-            rows = []
             for doc, part in b.groupby("doc", dropna=False):
                 x = np.array(part["vector"].to_list(), dtype=np.float64)
-                rows.append((doc, len(x), x.sum(axis=0).tobytes(), (x.T @ x).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc", "n", "total", "square"])
+                n, t, s = held.get(doc, (0, 0.0, 0.0))
+                held[doc] = (n + len(x), t + x.sum(axis=0), s + x.T @ x)
+                if 8 * x.shape[1] ** 2 * len(held) > MOMENT_BYTES:
+                    yield rows()
+                    held.clear()
+        if held:
+            yield rows()
+
+    def add(key, part):
+        total, square = (sum(np.frombuffer(v) for v in part[c]).tobytes() for c in ("total", "square"))
+        return pd.DataFrame([(key[0], part["n"].sum(), total, square)], columns=["doc", "n", "total", "square"])
+
+    schema = "doc long, n long, total binary, square binary"
+    parts = vectors.select(F.col("doc").cast("long").alias("doc"), doubles(F.col("vector")).alias("vector")).mapInPandas(run, schema)
+    salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).groupBy("doc", "salt").applyInPandas(add, schema)
+    return salted.groupBy("doc").applyInPandas(add, schema)
 
-    return vectors.select(F.col("doc").cast("long").alias("doc"), doubles(F.col("vector")).alias("vector")).mapInPandas(run, "doc long, n long, total binary, square binary")
+
+def _principal(n: int, total: bytes, square: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, variances from the largest, axes as columns) of a document's moments."""
+    mean = np.frombuffer(total) / n
+    d = len(mean)
+    values, axes = np.linalg.eigh(np.frombuffer(square).reshape(d, d) / n - np.outer(mean, mean))
+    return mean, np.maximum(values[::-1], 0), axes[:, ::-1]
 
 
 def rep_adaptive_pca(vectors: DataFrame, variance: float = VARIANCE) -> DataFrame:
-    """(doc, dim, rep): the mean of the PCA scores, transformed back.
+    """(doc, dim, rep): ``dim`` is the smallest number of principal components that hold the share ``variance``.
 
-    ``dim`` is the smallest number of components that holds the share
-    ``variance``.  Components come from the covariance, which partial sums
-    give, so no document has to fit into one task.
+    ``rep`` is the mean of the PCA scores, transformed back; centred scores
+    have mean zero, so it is the mean vector.  Components come from partial
+    moments, so no document has to fit into one task.
     """
 
-    def finish(key, part: pd.DataFrame) -> pd.DataFrame:
-        n = part["n"].sum()
-        mean = sum(np.frombuffer(t) for t in part["total"]) / n
-        d = len(mean)
-        cov = sum(np.frombuffer(s).reshape(d, d) for s in part["square"]) / n - np.outer(mean, mean)
-        values, axes = np.linalg.eigh(cov)
-        values, axes = np.maximum(values[::-1], 0), axes[:, ::-1]
-        total = values.sum()
-        dim = int(min(np.searchsorted(np.cumsum(values) / total, variance) + 1, d)) if total > 1e-12 and n > 1 else 1
-        scores = (mean - mean) @ axes[:, :dim]  # the mean of centred scores
-        return pd.DataFrame([(key[0], dim, (mean + axes[:, :dim] @ scores).tolist())], columns=["doc", "dim", "rep"])
+    def finish(batches):
+        for b in batches:
+            rows = []
+            for doc, n, total, square in b.itertuples(index=False):
+                mean, values, _ = _principal(n, total, square)
+                whole = values.sum()
+                dim = int(min(np.searchsorted(np.cumsum(values) / whole, variance) + 1, len(mean))) if whole > 1e-12 and n > 1 else 1
+                rows.append((doc, dim, mean.tolist()))
+            yield pd.DataFrame(rows, columns=["doc", "dim", "rep"])
 
-    return _moments(vectors).groupBy("doc").applyInPandas(finish, "doc long, dim int, rep array<double>")
+    return _moments(vectors).mapInPandas(finish, "doc long, dim int, rep array<double>")
 
 
 def elbow(sse: list[float], first: int = 2) -> int:
@@ -93,7 +126,7 @@ def elbow(sse: list[float], first: int = 2) -> int:
     return first if len(sse) < 2 else first + 1 + int(np.argmin(np.diff(sse)))
 
 
-def kmeans(x: np.ndarray, k: int, steps: int = 25) -> tuple[np.ndarray, np.ndarray, float]:
+def kmeans(x: np.ndarray, k: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float]:
     """Lloyd's steps from evenly spaced rows in order of the first component: (labels, centres, error)."""
     centres = x[np.argsort(x[:, 0], kind="stable")[np.linspace(0, len(x) - 1, k).astype(int)]]
     for _ in range(steps):
@@ -107,32 +140,91 @@ def kmeans(x: np.ndarray, k: int, steps: int = 25) -> tuple[np.ndarray, np.ndarr
     return far.argmin(axis=1), centres, float(far.min(axis=1).sum())
 
 
+def _candidates(n: int) -> range:
+    """Numbers of clusters that are tried for n rows; the elbow chooses."""
+    most = min(MAX_K, n) - 1
+    return range(1, 2) if most < 2 else range(2, most + 1)
+
+
 def rep_pca_kmeans(vectors: DataFrame) -> DataFrame:
     """(doc, k, rep): cluster centres of the PCA scores, weighted by size and transformed back.
 
-    The weighted centre is the mean of the scores, so documents of over
-    GROUP_ROWS sentences take their mean (k 0) and never fill one task.
+    Documents of up to GROUP_ROWS sentences are clustered in a task each, the
+    others by the same steps as jobs over all their rows (``_spread_clusters``).
+    Rows with a null document or vector take no part.
     """
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key, part):
         x = np.array(part["vector"].to_list(), dtype=np.float64)
         mean = x.mean(axis=0)
         _, _, axes = np.linalg.svd(x - mean, full_matrices=False)
         axes = axes[: min(MAX_DIM, *x.shape)]
         scores = (x - mean) @ axes.T
-        most = min(MAX_K, len(x)) - 1
-        k = 1 if most < 2 else 2 if most == 2 else elbow([kmeans(scores, c)[2] for c in range(2, most + 1)])
+        tried = _candidates(len(x))
+        k = tried[0] if len(tried) == 1 else elbow([kmeans(scores, c)[2] for c in tried])
         labels, _, _ = kmeans(scores, k)
         sizes = np.bincount(labels, minlength=k)
         centres = np.stack([scores[labels == i].mean(axis=0) if sizes[i] else np.zeros(scores.shape[1]) for i in range(k)])
         return pd.DataFrame([(key[0], k, (mean + np.average(centres, axis=0, weights=sizes) @ axes).tolist())], columns=["doc", "k", "rep"])
 
-    rows = vectors.select(F.col("doc").cast("long").alias("doc"), doubles(F.col("vector")).alias("vector"))
-    sizes = rows.groupBy("doc").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > GROUP_ROWS).select("doc")
-    fits = rows.join(large, "doc", "left_anti").groupBy("doc").applyInPandas(run, "doc long, k int, rep array<double>")
-    rest = rep_mean(rows.join(large, "doc", "left_semi")).select("doc", F.lit(0).alias("k"), "rep")
-    return fits.unionByName(rest)
+    rows = vectors.select(F.col("doc").cast("long").alias("doc"), doubles(F.col("vector")).alias("vector")).where("doc IS NOT NULL AND vector IS NOT NULL")
+    large = rows.groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS)
+    schema = "doc long, k int, rep array<double>"
+    if large.isEmpty():
+        return rows.groupBy("doc").applyInPandas(run, schema)
+    large = materialize(large, "large-docs")
+    ids = small_side(large.select("doc"))
+    fits = rows.join(ids, "doc", "left_anti").groupBy("doc").applyInPandas(run, schema)
+    return fits.unionByName(_spread_clusters(rows.join(ids, "doc", "left_semi"), large))
+
+
+def _spread_clusters(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc, k, rep) of large documents(doc, vector), sizes(doc, n): Lloyd's steps in SQL for all candidates at once.
+
+    A document's centres, at most MAX_K squared of MAX_DIM numbers, are one
+    row, which its rows are joined with; sums by cluster are partial on the map
+    side.  The first centres are rows at even places in order of the first
+    component, found by ranges.
+    """
+
+    def axes_of(batches):
+        for b in batches:
+            out = []
+            for doc, n, total, square in b.itertuples(index=False):
+                mean, _, axes = _principal(n, total, square)
+                out.append((doc, mean.tolist(), axes[:, : min(MAX_DIM, n)].T.tolist()))
+            yield pd.DataFrame(out, columns=["doc", "mean", "axes"])
+
+    axes = materialize(_moments(rows).mapInPandas(axes_of, "doc long, mean array<double>, axes array<array<double>>"), "axes")
+    centred = F.zip_with("vector", "mean", lambda x, m: x - m)
+    scores = rows.join(small_side(axes), "doc").select("doc", centred.alias("v"), "axes").select("doc", F.transform("axes", lambda a: dot(F.col("v"), a)).alias("s"))
+    ordered = materialize(scores.repartitionByRange("doc", F.col("s")[0]).withColumn("part", F.spark_partition_id()), "scores")
+    parts = ordered.groupBy("doc", "part").agg(F.count("*").alias("c"))
+    start = F.coalesce(F.sum("c").over(Window.partitionBy("doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begin = parts.withColumn("start", start).drop("c")
+    place = F.row_number().over(Window.partitionBy("doc", "part").orderBy(F.col("s")[0])) - 1 + F.col("start")
+    tried = [k for k in range(1, MAX_K)]
+    at = sizes.select("doc", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.floor(F.lit(i) * (F.col("n") - 1) / max(1, k - 1)).cast("long").alias("at")) for k in tried if k > 1 for i in range(k)])).alias("x")).select("doc", "x.*")
+    wanted = ordered.join(small_side(begin), ["doc", "part"]).withColumn("at", place).join(small_side(at), ["doc", "at"]).select("doc", "k", "i", "s")
+    nest = lambda df: df.groupBy("doc", "k").agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("cs")).groupBy("doc").agg(F.collect_list(F.struct("k", F.transform("cs", lambda c: c["s"]).alias("cs"))).alias("ks"))
+    centres = materialize(nest(wanted), "centres")
+    far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+    nearest_of = lambda s, cs: F.array_min(F.transform(cs, lambda c, i: F.struct(far(s, c).alias("d"), i.alias("i"))))
+
+    def labelled(now: DataFrame) -> DataFrame:
+        row = ordered.join(small_side(now), "doc").select("doc", "s", F.explode("ks").alias("x"))
+        return row.select("doc", "s", F.col("x.k").alias("k"), nearest_of(F.col("s"), F.col("x.cs")).alias("m"))
+
+    for _ in range(STEPS):
+        sums = labelled(centres).select("doc", "k", F.col("m.i").alias("i"), F.posexplode("s").alias("j", "y")).groupBy("doc", "k", "i", "j").agg(F.avg("y").alias("y"))
+        moved = sums.groupBy("doc", "k", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "y"))), lambda p: p["y"]).alias("t"))
+        old = centres.select("doc", F.explode("ks").alias("x")).select("doc", "x.k", F.posexplode("x.cs").alias("i", "s"))
+        both = materialize(old.join(moved, ["doc", "k", "i"], "left").select("doc", "k", "i", F.coalesce("t", "s").alias("s"), F.coalesce(F.col("t") != F.col("s"), F.lit(False)).alias("moved")), "moved")
+        centres = materialize(nest(both), "centres")
+        if both.where("moved").isEmpty():
+            break
+    errors = labelled(centres).groupBy("doc", "k").agg(F.sum("m.d").alias("sse"))
+    return elbow_k(errors).select("doc", F.col("best_k").cast("int").alias("k")).join(rep_mean(rows), "doc")  # the weighted centre is the mean
 
 
 def elbow_k(sse: DataFrame) -> DataFrame:
@@ -151,24 +243,72 @@ def rep_append(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.unionByName(new).groupBy("doc").agg(F.max(F.struct("version", "rep")).alias("x")).select("doc", "x.version", "x.rep")
 
 
-def nearest(vectors: DataFrame, query: DataFrame, k: int, by=cosine, ascending: bool = False, key: str = "id") -> DataFrame:
-    """(query_id, key, score) of the k nearest rows for each query.
+def in_blocks(query: DataFrame, ask) -> DataFrame:
+    """``ask`` of every block of at most about QUESTIONS rows of a query set (query_id, q), one after the other."""
+    blocks = max(1, -(-query.count() // QUESTIONS))
+    if blocks == 1:
+        return ask(F.broadcast(query))
+    out = None
+    for block in range(blocks):
+        part = ask(F.broadcast(query.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)))
+        out = part if out is None else out.unionByName(part)
+    return out
 
-    ``query`` (query_id, q) holds the questions of one call, which are few and
-    are broadcast; each task keeps its k best before anything is shuffled.
-    """
-    scored = vectors.select(key, F.col("vector").alias("v")).join(F.broadcast(query)).select("query_id", key, by(doubles(F.col("v")), F.col("q")).alias("score"))
+
+def _ranked(scored: DataFrame, k: int, key: str, ascending: bool = False) -> DataFrame:
     order = F.col("score").asc() if ascending else F.col("score").desc()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest(vectors: DataFrame, query: DataFrame, k: int, by=cosine, ascending: bool = False, key: str = "id") -> DataFrame:
+    """(query_id, key, score, rank) of the k nearest rows for each query.
+
+    ``query`` (query_id, q) is counted and broadcast in blocks; each task keeps
+    its k best before anything is shuffled.
+    """
+
+    def ask(part: DataFrame) -> DataFrame:
+        return _ranked(vectors.select(key, F.col("vector").alias("v")).join(part).select("query_id", key, by(doubles(F.col("v")), F.col("q")).alias("score")), k, key, ascending)
+
+    return in_blocks(query, ask)
+
+
 def two_stage(vectors: DataFrame, reps: DataFrame, query: DataFrame, docs: int, sentences: int) -> DataFrame:
-    """The best sentences of the best documents: (query_id, doc, id, rank, score).
+    """The best sentences of every question's best documents: (query_id, doc, id, rank, score).
 
-    ``query`` has one question.  The document ids, at most ``docs``, are
-    broadcast as a semi join, which reaches the scan of the sentences.
+    A block's documents, at most QUESTIONS * docs, are broadcast, which cuts
+    the sentences where they are scanned.
     """
-    best = nearest(reps.select(F.col("doc").alias("id"), F.col("rep").alias("vector")), query, docs).select(F.col("id").alias("doc"))
-    chosen = vectors.join(F.broadcast(best), "doc", "left_semi")
-    return nearest(chosen, query, sentences).join(chosen.select("id", "doc"), "id").select("query_id", "doc", "id", "rank", "score")
+
+    def ask(part: DataFrame) -> DataFrame:
+        best = nearest(reps.select(F.col("doc").alias("id"), F.col("rep").alias("vector")), part, docs).select("query_id", F.col("id").alias("doc"))
+        chosen = vectors.join(F.broadcast(best), "doc").join(part, "query_id")
+        return _ranked(chosen.select("query_id", "doc", "id", cosine(doubles(F.col("vector")), F.col("q")).alias("score")), sentences, "id")
+
+    return in_blocks(query, ask).select("query_id", "doc", "id", "rank", "score")
+
+
+def write_reps(reps: dict[str, DataFrame], path: str) -> None:
+    """method -> (doc, rep): the table reps(doc, rep) by method; a method's rows replace what it had."""
+    for method, df in reps.items():
+        df.select("doc", "rep").write.mode("overwrite").parquet(f"{path}/method={method}")
+
+
+def load_reps(spark: SparkSession, path: str, method: str) -> DataFrame:
+    """(doc, rep) of a method; raises FileNotFoundError where it was not written to its end."""
+    if not exists(spark, f"{path}/method={method}/_SUCCESS"):
+        raise FileNotFoundError(f"no representatives of {method} under {path}")
+    return spark.read.parquet(f"{path}/method={method}")
+
+
+def write_flat(vectors: DataFrame, path: str) -> None:
+    """(id, vector) -> a flat index: vectors of unit length, by range of id."""
+    vectors.select("id", normalized(doubles(F.col("vector"))).alias("vector")).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(path)
+
+
+def load_flat(spark: SparkSession, path: str) -> DataFrame:
+    """(id, vector) of a flat index; raises FileNotFoundError where it was not written to its end."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        raise FileNotFoundError(f"no flat index under {path}")
+    return spark.read.parquet(path)

@@ -109,6 +109,11 @@ s AS (SELECT vecs.doc, id, {COS.format('vecs.v', 'q.v')} AS score FROM vecs JOIN
 SELECT rank::INT AS rank, doc, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= {sentences}"""
 
 
+def two_stage_context(docs: int) -> str:
+    return f"""WITH found AS ({two_stage(docs, 100)}), texts AS (SELECT found.rank, found.id, substr(text, 1, 80) AS sentence FROM found JOIN documents ON doc_id = id)
+{PACKED.format(sep=1, initial=0, order="rank", rows="texts")} SELECT place::INT AS place, id, used::BIGINT AS used, sentence FROM packed"""
+
+
 STOPS = ", ".join(f"'{w}'" for w in topics.STOP_WORDS)
 TFIDF = rf"""{DOCS}, words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{topics.TERM}')) AS term FROM docs),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term NOT IN ({STOPS}) GROUP BY ALL),
@@ -121,6 +126,9 @@ MATCH = rf"""{TFIDF}, qtf AS (SELECT term, count(*) AS tf FROM (SELECT unnest(re
 qraw AS (SELECT term, tf * idf AS w FROM qtf JOIN vocab USING (term)), q AS (SELECT term, w / sqrt(sum(w * w) OVER ()) AS qw FROM qraw),
 lengths AS (SELECT topic, sqrt(sum(w * w)) AS length FROM cents GROUP BY topic),
 sims AS (SELECT topic, round(sum(w * qw) / any_value(length), 6) AS sim FROM cents JOIN q USING (term) JOIN lengths USING (topic) GROUP BY topic)"""
+EMBEDDED = rf"""w AS (SELECT doc_id, sent_id, unnest(regexp_extract_all(lower(sentence), '{topics.TERM}')) AS t FROM sents),
+b AS (SELECT doc_id, sent_id, (('0x' || substr(md5(t), 1, 6))::INT % 64)::INT AS i, count(*) AS c FROM w GROUP BY ALL),
+emb AS (SELECT doc_id, sent_id, i, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id, sent_id)), 6) AS x FROM b)"""
 WHOLE_WORDS = r"len(list_filter(string_split_regex(sentence, '[^\p{L}\p{N}_]+'), lambda t: t IN (%s)))"
 
 ORACLES = {
@@ -135,9 +143,15 @@ ORACLES = {
     "file_number": r"SELECT stem, coalesce(try_cast(nullif(regexp_extract(stem, '\d+'), '') AS BIGINT), 9223372036854775807) AS number FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'embeddings' || doc_id WHEN doc_id % 3 = 1 THEN 'pdf_' || doc_id || '_v2' ELSE 'sentences' END AS stem FROM documents)",
     "inverted_index": f"WITH RECURSIVE {SENTENCES}, {POSTS} SELECT doc_id, term, list(sent_id ORDER BY sent_id) AS postings FROM posts GROUP BY ALL",
     "merge_postings": f"WITH RECURSIVE {SENTENCES}, {POSTS} SELECT doc_id, term, list(sent_id ORDER BY sent_id) AS postings FROM posts GROUP BY ALL",
+    "stored_index": f"WITH RECURSIVE {SENTENCES}, {POSTS} SELECT doc_id, term, list(sent_id ORDER BY sent_id) AS postings FROM posts GROUP BY ALL",
+    "index_json": f"WITH RECURSIVE {SENTENCES}, {POSTS} SELECT doc_id, term, list(sent_id ORDER BY sent_id) AS postings FROM posts GROUP BY ALL",
+    "raw_texts": "SELECT doc_id, text FROM documents WHERE trim(text) <> ''",
+    "page_files": positions("pages", "page_id", HTML_LINES, ("line_no", "line")),
+    "assemble_pages": f"SELECT page_id % 50 AS doc_id, string_agg(line, chr(10) ORDER BY page_id, line_no) AS text FROM ({positions('pages', 'page_id', HTML_LINES, ('line_no', 'line'))}) GROUP BY ALL",
+    "unpaired_documents": "(SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) UNION ALL (SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))",
     "term_sentence_freq": f"WITH RECURSIVE {SENTENCES}, {POSTS} SELECT doc_id, term, count(*)::BIGINT AS sentences FROM posts GROUP BY ALL",
     "keyword_doc_score": f"WITH RECURSIVE {SCORES} SELECT doc_id, coalesce(coverage, 0)::BIGINT AS coverage, coalesce(total, 0)::BIGINT AS total, round(coalesce(points, 0) / 20.0::DOUBLE, 6) AS score FROM docs LEFT JOIN scores USING (doc_id)",
-    "keyword_doc_rank": f"WITH RECURSIVE {SCORES} SELECT (row_number() OVER (ORDER BY points DESC, doc_id))::INT AS rank, doc_id, round(points / 20.0::DOUBLE, 6) AS score FROM scores ORDER BY rank LIMIT 20",
+    "keyword_doc_rank": f"WITH RECURSIVE {SCORES}, ranked AS MATERIALIZED (SELECT doc_id, points, row_number() OVER (ORDER BY points DESC, doc_id) AS rank FROM scores) SELECT rank::INT AS rank, doc_id, round(points / 20.0::DOUBLE, 6) AS score FROM ranked WHERE rank <= 20",
     "keyword_doc_share": f"WITH RECURSIVE {SCORES} SELECT doc_id, round(100.0::DOUBLE * points / nullif((SELECT sum(points) FROM scores), 0)::BIGINT, 6) AS share FROM scores",
     "keyword_sentence_count": f"WITH RECURSIVE {COUNTS} SELECT * FROM counts",
     "keyword_global_count": f"WITH RECURSIVE {COUNTS} SELECT sentence, sum(hits)::BIGINT AS hits FROM counts JOIN sents USING (doc_id, sent_id) GROUP BY sentence",
@@ -166,6 +180,11 @@ ORACLES = {
     "two_stage_mean": two_stage(3, 3),
     "two_stage_adaptive": two_stage(2, 100),
     "two_stage_kmeans": two_stage(3, 100),
+    "two_stage_adaptive_context": two_stage_context(2),
+    "two_stage_kmeans_context": two_stage_context(3),
+    "stored_reps": f"WITH {REPS}, m AS (SELECT unnest(['mean', 'adaptive']) AS method) SELECT method, doc, (i - 1)::INT AS i, round(x, 6) AS x FROM means, m",
+    "topic_members": f"WITH {DOCS} SELECT doc_id, source AS topic FROM docs",
+    "topic_vocabulary": f"WITH {TFIDF} SELECT term, round(idf, 6) AS idf FROM vocab",
     "tfidf": f"WITH {TFIDF} SELECT doc_id, term, round(w, 6) AS w FROM weights",
     "topic_centroids": f"WITH {TFIDF} SELECT topic, term, round(w, 6) AS w FROM cents",
     "topic_match": f"WITH {MATCH} SELECT * FROM sims",
@@ -176,6 +195,16 @@ ORACLES = {
     + f", best AS MATERIALIZED (SELECT topic FROM sims ORDER BY sim DESC, topic LIMIT 1), chosen AS (SELECT sents.*, {WHOLE_WORDS % chr(39).join(['', 'the', ', ', 'que', ''])} AS hits FROM sents JOIN docs USING (doc_id) WHERE source IN (SELECT topic FROM best)), ranked AS (SELECT * FROM chosen WHERE hits > 0)"
     + PACKED.format(sep=0, initial=len(context.HEADER), order="hits DESC, doc_id, sent_id", rows="ranked")
     + " SELECT place::INT AS place, doc_id, sent_id, sentence FROM packed",
-    "embed_sentences": rf"WITH {DOCS}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{topics.TERM}')) AS t FROM docs), b AS (SELECT doc_id, (('0x' || substr(md5(t), 1, 6))::INT % 64)::INT AS i, count(*) AS c FROM w GROUP BY ALL) SELECT doc_id, i, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS x FROM b",
+    "embed_sentences": f"WITH RECURSIVE {SENTENCES}, {EMBEDDED} SELECT doc_id, sent_id, i, x FROM emb",
+    "two_stage_question": f"""WITH RECURSIVE {SENTENCES}, {EMBEDDED}, n AS (SELECT doc_id, count(*) AS n FROM sents GROUP BY doc_id),
+raw AS (SELECT b.doc_id, i, c / sqrt(sum(c * c) OVER (PARTITION BY b.doc_id, sent_id)) AS x FROM b),
+reps AS MATERIALIZED (SELECT doc_id, i, round(sum(x) / any_value(n), 6) AS x FROM raw JOIN n USING (doc_id) GROUP BY doc_id, i),
+qb AS (SELECT ('0x' || substr(md5(t), 1, 6))::INT % 64 AS i, count(*) AS c FROM (SELECT unnest(regexp_extract_all(lower('{QUESTION}'), '{topics.TERM}')) AS t) GROUP BY ALL),
+q AS MATERIALIZED (SELECT i::INT AS i, c / sqrt(sum(c * c) OVER ()) AS x FROM qb),
+sim AS (SELECT doc_id, coalesce(sum(r.x * q.x), 0) / sqrt(sum(r.x * r.x)) AS s FROM reps r LEFT JOIN q USING (i) GROUP BY doc_id),
+best AS MATERIALIZED (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM sim) WHERE r <= 3),
+each AS (SELECT doc_id, sent_id, coalesce(sum(e.x * q.x), 0) / sqrt(sum(e.x * e.x)) AS s FROM (SELECT * FROM emb WHERE doc_id IN (SELECT doc_id FROM best)) e LEFT JOIN q USING (i) GROUP BY ALL)
+SELECT rank::INT AS rank, doc_id, sent_id, round(s, 4) AS score FROM (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id, sent_id) AS rank FROM each) WHERE rank <= 3""",
     "streaming_ingest": REP_ROWS,
 }
+ORACLES["flat_index"] = ORACLES["knn_cosine"]

@@ -1,17 +1,18 @@
 """Registered queries of the core engine and their DuckDB equivalents.
 
 ``documents`` stand for cleaned documents, ``pages`` for raw pages, and
-``embeddings`` for sentence vectors (label: document, vec_id: sentence).
+``embeddings`` for sentence vectors (label: document, vec_id: sentence, whose
+text is the beginning of the document of that number).  Questions read the
+stored index and topic tables, which are built once for a state of the table.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import context, keyword, text, topics, vectors
+from ..sources import files, index
+from ..sources.shared import kept, new_path
 from ..streaming import ingest
 
 KEYWORDS = ["tion", "the", "of", "bles", "zeta", "the", "que"]
@@ -27,6 +28,16 @@ def documents(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", "text").where("trim(text) <> ''")
 
 
+def stored(spark, sf_dir):
+    """The index of the documents: tables sentences and postings."""
+    return kept(spark, f"{sf_dir}/documents.parquet", "index", lambda: index.build(documents(spark, sf_dir), new_path(spark, "index")))
+
+
+def stored_topics(spark, sf_dir):
+    """The topic tables of the documents: vocabulary, members and centroids."""
+    return kept(spark, f"{sf_dir}/documents.parquet", "topics", lambda: topics.build(documents(spark, sf_dir), assigned(spark, sf_dir), "doc_id", new_path(spark, "topics")))
+
+
 def given_sentences(spark, sf_dir):
     return text.sentences(documents(spark, sf_dir))
 
@@ -35,8 +46,30 @@ def given_keywords(spark):
     return keyword.keyword_table(spark, KEYWORDS)
 
 
+def question(spark):
+    """(keyword table, its rows)."""
+    table = given_keywords(spark)
+    return table, keyword.known_terms(table)
+
+
 def hits(spark, sf_dir):
-    return keyword.postings(given_sentences(spark, sf_dir), given_keywords(spark))
+    """(doc_id, term, sent_ids) of the question's terms, from the stored postings."""
+    return index.postings(stored(spark, sf_dir), [t for t, _, _ in question(spark)[1]])
+
+
+def matched_sentences(spark, sf_dir):
+    """Stored sentences with the question's hits, by a projection of one scan."""
+    return keyword.sentence_hits(stored(spark, sf_dir)["sentences"], question(spark)[1])
+
+
+def scores(spark, sf_dir):
+    return keyword.scores_of_postings(hits(spark, sf_dir), given_keywords(spark))
+
+
+def counts_by_sentence(spark, sf_dir):
+    """(doc_id, sent_id, hits) from the postings, without a text."""
+    each = hits(spark, sf_dir).join(F.broadcast(given_keywords(spark)), "term").select("doc_id", "times", F.explode("sent_ids").alias("sent_id"))
+    return each.groupBy("doc_id", "sent_id").agg(F.sum("times").alias("hits"))
 
 
 def sentence_vectors(spark, sf_dir):
@@ -115,41 +148,80 @@ def term_sentence_freq(spark, sf_dir):
     return keyword.term_sentence_freq(keyword.postings(given_sentences(spark, sf_dir)))
 
 
+def stored_index(spark, sf_dir):
+    """The postings as a stored index gives them."""
+    return stored(spark, sf_dir)["postings"].select("doc_id", "term", F.col("sent_ids").alias("postings"))
+
+
+def index_json(spark, sf_dir):
+    """The postings written as a JSON file for each document, and read again."""
+    path = new_path(spark, "index-json")
+    posts = stored(spark, sf_dir)["postings"].select("doc_id", "term", F.col("sent_ids").alias("postings"))
+    files.write_named(files.index_json(posts).select(F.concat(F.lit("index_"), "doc_id").alias("name"), F.col("json").alias("text")), path)
+    return files.read_index_json(spark, path)
+
+
+def raw_texts(spark, sf_dir):
+    """The documents written as text files of a folder, and the folder scanned."""
+    path = new_path(spark, "texts")
+    files.write_named(documents(spark, sf_dir).select(F.concat(F.lit("pdf_"), "doc_id").alias("name"), "text"), path)
+    return files.read_texts(spark, path).select("doc_id", F.regexp_replace("text", "\n\\z", "").alias("text"))
+
+
+def page_files(spark, sf_dir):
+    """The pages written as HTML files of a folder, scanned, and cut into blocks."""
+    path = new_path(spark, "pages")
+    files.write_named(read(spark, sf_dir, "pages").select(F.concat(F.lit("page_"), "page_id").alias("name"), F.col("html").alias("text")), path)
+    return files.read_pages(spark, path).select(F.col("doc_id").alias("page_id"), "line_no", "line")
+
+
+def assemble_pages(spark, sf_dir):
+    """Pages as those of 50 documents, in order."""
+    blocks = text.page_blocks(read(spark, sf_dir, "pages")).select((F.col("page_id") % 50).alias("doc_id"), F.col("page_id").alias("page"), "line_no", "line")
+    return text.assemble(blocks)
+
+
+def unpaired_documents(spark, sf_dir):
+    return files.unpaired(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 # --- keywords -------------------------------------------------------------
 
 
 def keyword_doc_score(spark, sf_dir):
-    scores = keyword.doc_scores(hits(spark, sf_dir), given_keywords(spark))
-    return keyword.with_all_documents(documents(spark, sf_dir), scores).select("doc_id", "coverage", "total", F.round("score", 6).alias("score"))
+    return keyword.with_all_documents(documents(spark, sf_dir), scores(spark, sf_dir)).select("doc_id", "coverage", "total", F.round("score", 6).alias("score"))
 
 
 def keyword_doc_rank(spark, sf_dir):
-    return keyword.top_documents(keyword.doc_scores(hits(spark, sf_dir), given_keywords(spark)), 20).select("rank", "doc_id", F.round("score", 6).alias("score"))
+    return keyword.top_documents(scores(spark, sf_dir), 20).select("rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def keyword_doc_share(spark, sf_dir):
-    scores = keyword.doc_scores(hits(spark, sf_dir), given_keywords(spark))
-    total = scores.agg(F.sum("points").alias("all"))  # one row
-    return scores.join(F.broadcast(total)).select("doc_id", F.round(100.0 * F.col("points") / F.nullif(F.col("all"), F.lit(0)), 6).alias("share"))
+    found = scores(spark, sf_dir)
+    total = found.agg(F.sum("points").alias("all"))  # one row
+    return found.join(F.broadcast(total)).select("doc_id", F.round(100.0 * F.col("points") / F.nullif(F.col("all"), F.lit(0)), 6).alias("share"))
 
 
 def keyword_sentence_count(spark, sf_dir):
-    return keyword.sentence_counts(hits(spark, sf_dir), given_keywords(spark))
+    return counts_by_sentence(spark, sf_dir)
 
 
 def keyword_global_count(spark, sf_dir):
-    counts = keyword.sentence_counts(hits(spark, sf_dir), given_keywords(spark))
-    return counts.join(given_sentences(spark, sf_dir), ["doc_id", "sent_id"]).groupBy("sentence").agg(F.sum("hits").alias("hits"))
+    return matched_sentences(spark, sf_dir).groupBy("sentence").agg(F.sum("hits").alias("hits"))
 
 
 def keyword_intersection(spark, sf_dir):
-    both = keyword.intersection(hits(spark, sf_dir))
-    return both.join(given_sentences(spark, sf_dir), ["doc_id", "sent_id"]).groupBy("sentence").agg(F.count("*").alias("n"))
+    """Sentences with every keyword that their document has."""
+    _, known = question(spark)
+    n = sum((F.array_contains("terms", t).cast("int") for t, _, _ in known), F.lit(0))
+    per_doc = hits(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("wanted"))
+    return matched_sentences(spark, sf_dir).select("doc_id", "sentence", n.alias("n")).join(per_doc, "doc_id").where("n = wanted").groupBy("sentence").agg(F.count("*").alias("n"))
 
 
 def keyword_concat(spark, sf_dir):
-    rows = hits(spark, sf_dir).join(F.broadcast(given_keywords(spark)), "term")
-    return rows.join(given_sentences(spark, sf_dir), ["doc_id", "sent_id"]).select("ord", "doc_id", "sent_id", "sentence")
+    _, known = question(spark)
+    has = F.filter(F.array(*[F.when(F.array_contains("terms", t), o) for t, o, _ in known]), lambda x: x.isNotNull())
+    return stored(spark, sf_dir)["sentences"].select(F.explode(has).alias("ord"), "doc_id", "sent_id", "sentence")
 
 
 def missing_keywords(spark, sf_dir):
@@ -167,27 +239,25 @@ def parse_keyword_reply(spark, sf_dir):
 
 
 def regex_keyword_count(spark, sf_dir):
-    counted = given_sentences(spark, sf_dir).select("doc_id", "sent_id", keyword.regex_count(F.col("sentence"), ["the", "que", "The"]).cast("long").alias("hits"))
+    counted = stored(spark, sf_dir)["sentences"].select("doc_id", "sent_id", keyword.regex_count(F.col("sentence"), ["the", "que", "The"]).cast("long").alias("hits"))
     return counted.where("hits > 0")
 
 
 # --- context --------------------------------------------------------------
 
 
-def ranked_sentences(spark, sf_dir):
-    counts = keyword.sentence_counts(hits(spark, sf_dir), given_keywords(spark))
-    return counts.join(given_sentences(spark, sf_dir), ["doc_id", "sent_id"])
-
-
 def pack_context(spark, sf_dir):
-    return context.pack(ranked_sentences(spark, sf_dir), [F.col("hits").desc(), F.col("doc_id"), F.col("sent_id")]).select("place", "doc_id", "sent_id", "used", "sentence")
+    order = [F.col("hits").desc(), F.col("doc_id"), F.col("sent_id")]
+    sents = stored(spark, sf_dir)["sentences"].select("doc_id", "sent_id", "sentence")
+    return context.pack_keys(counts_by_sentence(spark, sf_dir), sents, ["doc_id", "sent_id"], order).select("place", "doc_id", "sent_id", "used", "sentence")
 
 
 def packed_by_document(spark, sf_dir):
     limit = context.LIMIT + 2
-    best = keyword.top_documents(keyword.doc_scores(hits(spark, sf_dir), given_keywords(spark)), limit)  # each has a hit, so more cannot fit
-    rows = ranked_sentences(spark, sf_dir).join(F.broadcast(best.select("doc_id", "rank")), "doc_id")
-    return context.pack(rows, [F.col("rank"), F.col("hits").desc(), F.col("sent_id")])
+    best = keyword.top_documents(scores(spark, sf_dir), limit)  # each has a hit, so more cannot fit
+    counts = counts_by_sentence(spark, sf_dir).join(F.broadcast(best.select("doc_id", "rank")), "doc_id")
+    sents = stored(spark, sf_dir)["sentences"].select("doc_id", "sent_id", "sentence")
+    return context.pack_keys(counts, sents, ["doc_id", "sent_id"], [F.col("rank"), F.col("hits").desc(), F.col("sent_id")])
 
 
 def keyword_context(spark, sf_dir):
@@ -263,8 +333,8 @@ def knn_l2(spark, sf_dir):
 
 
 def sentences_for_docs(spark, sf_dir):
-    best = keyword.top_documents(keyword.doc_scores(hits(spark, sf_dir), given_keywords(spark)), 3)
-    return given_sentences(spark, sf_dir).join(F.broadcast(best), "doc_id", "left_semi")
+    best = keyword.top_documents(scores(spark, sf_dir), 3)
+    return stored(spark, sf_dir)["sentences"].select("doc_id", "sent_id", "sentence").join(F.broadcast(best), "doc_id", "left_semi")
 
 
 def _two_stage(spark, sf_dir, reps, docs, sents):
@@ -284,14 +354,42 @@ def two_stage_kmeans(spark, sf_dir):
     return _two_stage(spark, sf_dir, vectors.rep_pca_kmeans(sentence_vectors(spark, sf_dir)), 3, 100)
 
 
-# --- topics ---------------------------------------------------------------
+def sentence_texts(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("sentence"))
+
+
+def _two_stage_context(spark, sf_dir, reps, docs):
+    """The best sentences of the best documents, packed."""
+    found = vectors.two_stage(sentence_vectors(spark, sf_dir), reps, query_vector(spark, sf_dir), docs, 100).select("id", "rank")
+    return context.pack_keys(found, sentence_texts(spark, sf_dir), ["id"], [F.col("rank")]).select("place", "id", "used", "sentence")
+
+
+def two_stage_adaptive_context(spark, sf_dir):
+    return _two_stage_context(spark, sf_dir, vectors.rep_adaptive_pca(sentence_vectors(spark, sf_dir)), 2)
+
+
+def two_stage_kmeans_context(spark, sf_dir):
+    return _two_stage_context(spark, sf_dir, vectors.rep_pca_kmeans(sentence_vectors(spark, sf_dir)), 3)
 
 
-def topic_weights(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    counts = topics.unit_terms(docs, "doc_id")
-    vocab = topics.vocabulary(docs, counts)
-    return vocab, topics.weighted(counts, vocab, "doc_id")
+def stored_reps(spark, sf_dir):
+    """Representatives of two methods, written and read again."""
+    path = new_path(spark, "reps")
+    rows = sentence_vectors(spark, sf_dir)
+    vectors.write_reps({"mean": vectors.rep_mean(rows), "adaptive": vectors.rep_adaptive_pca(rows)}, path)
+    of = lambda method: vectors.load_reps(spark, path, method).select(F.lit(method).alias("method"), F.col("doc").cast("int").alias("doc"), F.posexplode(rounded(F.col("rep"))).alias("i", "x"))
+    return of("mean").unionByName(of("adaptive"))
+
+
+def flat_index(spark, sf_dir):
+    """A written flat index of unit vectors, read again and asked for the highest inner products."""
+    path = new_path(spark, "flat")
+    vectors.write_flat(sentence_vectors(spark, sf_dir), path)
+    query = query_vector(spark, sf_dir, (0, 1, 2)).select("query_id", vectors.normalized(F.col("q")).alias("q"))
+    return vectors.nearest(vectors.load_flat(spark, path), query, 10, vectors.dot).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+# --- topics ---------------------------------------------------------------
 
 
 def assigned(spark, sf_dir):
@@ -299,24 +397,36 @@ def assigned(spark, sf_dir):
 
 
 def tfidf(spark, sf_dir):
-    return topic_weights(spark, sf_dir)[1].select("doc_id", "term", F.round("w", 6).alias("w"))
+    return topics.tfidf(documents(spark, sf_dir), "doc_id").select("doc_id", "term", F.round("w", 6).alias("w"))
+
+
+def topic_members(spark, sf_dir):
+    return stored_topics(spark, sf_dir)["members"]
+
+
+def topic_vocabulary(spark, sf_dir):
+    return stored_topics(spark, sf_dir)["vocabulary"].select("term", F.round("idf", 6).alias("idf"))
 
 
 def topic_centroids(spark, sf_dir):
-    return topics.centroids(topic_weights(spark, sf_dir)[1], assigned(spark, sf_dir), "doc_id").select("topic", "term", F.round("w", 6).alias("w"))
+    return stored_topics(spark, sf_dir)["centroids"].select("topic", "term", F.round("w", 6).alias("w"))
 
 
 def topic_match(spark, sf_dir):
-    vocab, weights = topic_weights(spark, sf_dir)
-    question = spark.createDataFrame([(0, QUESTION)], "query_id int, text string")
-    return topics.match(question, vocab, topics.centroids(weights, assigned(spark, sf_dir), "doc_id"))
+    tables = stored_topics(spark, sf_dir)
+    asked = spark.createDataFrame([(0, QUESTION)], "query_id int, text string")
+    return topics.match(asked, tables["vocabulary"], tables["centroids"])
 
 
 def topic_context(spark, sf_dir):
     """Sentences of the best topic's documents by whole-word matches, packed behind the header."""
     best = topic_match(spark, sf_dir).orderBy(F.col("sim").desc(), "topic").limit(1)
-    chosen = read(spark, sf_dir, "documents").join(F.broadcast(best), F.col("source") == F.col("topic"), "left_semi").select("doc_id", "text").where("trim(text) <> ''")
-    counted = text.sentences(chosen).withColumn("hits", keyword.regex_count(F.col("sentence"), ["the", "que"])).where("hits > 0")
+    chosen = topic_members(spark, sf_dir).join(F.broadcast(best), "topic", "left_semi").select("doc_id")
+    hit = F.lit(False)
+    for word in ("the", "que"):  # a whole word is a term only if it stands alone, so the scan goes by text
+        hit = hit | F.contains("sentence", F.lit(word))
+    sents = stored(spark, sf_dir)["sentences"].select("doc_id", "sent_id", "sentence").where(hit)
+    counted = sents.withColumn("hits", keyword.regex_count(F.col("sentence"), ["the", "que"])).where("hits > 0").join(chosen, "doc_id", "left_semi")
     return context.pack(counted, [F.col("hits").desc(), F.col("doc_id"), F.col("sent_id")], separator=0, initial=len(context.HEADER)).select("place", "doc_id", "sent_id", "sentence")
 
 
@@ -325,13 +435,22 @@ def topic_clusters(spark, sf_dir):
 
 
 def embed_sentences(spark, sf_dir):
-    return topics.embed(documents(spark, sf_dir), "doc_id").select("doc_id", "i", F.round("x", 6).alias("x"))
+    found = topics.embed(stored(spark, sf_dir)["sentences"], "doc_id", "sent_id", text_col="sentence")
+    return found.select("doc_id", "sent_id", F.posexplode(rounded(F.col("vector"))).alias("i", "x")).where("x <> 0")
+
+
+def two_stage_question(spark, sf_dir):
+    """A question embedded like the sentences: mean vectors of the documents, the best three, and their three best sentences."""
+    rows = topics.embed(stored(spark, sf_dir)["sentences"], "doc_id", "sent_id", text_col="sentence").select(F.col("doc_id").alias("doc"), F.struct("doc_id", "sent_id").alias("id"), "vector")
+    asked = topics.embed(spark.createDataFrame([(0, QUESTION)], "query_id int, text string"), "query_id").select("query_id", F.col("vector").alias("q"))
+    reps = vectors.rep_mean(rows).select("doc", rounded(F.col("rep")).alias("rep"))
+    found = vectors.two_stage(rows.withColumn("vector", rounded(F.col("vector"))), reps, asked, 3, 3)
+    return found.select("rank", F.col("id.doc_id").alias("doc_id"), F.col("id.sent_id").alias("sent_id"), F.round("score", 4).alias("score"))
 
 
 def streaming_ingest(spark, sf_dir):
     """The embeddings as a stream of files (a pattern, as a stream's path is a folder or a pattern): representatives from the ingested tables."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillsift-stream-")
-    out = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    out = new_path(spark, "ingest")
     given = read(spark, sf_dir, "embeddings")
     stream = ingest.stream_files(spark, f"{sf_dir}/embeddings.parque[t]", given.schema).select(F.col("label").alias("doc"), F.col("embedding").alias("vector"))
     ingest.ingest_representatives(stream, out, f"{out}/checkpoint").awaitTermination()
@@ -342,13 +461,14 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_blocks, clean_lines, clean_text, lemma_tokens, split_sentences, valid_tokens, chunk_text, dedup_sentences, file_number,
-        inverted_index, merge_postings, term_sentence_freq,
+        inverted_index, merge_postings, term_sentence_freq, stored_index, index_json, raw_texts, page_files, assemble_pages, unpaired_documents,
         keyword_doc_score, keyword_doc_rank, keyword_doc_share, keyword_sentence_count, keyword_global_count, keyword_intersection, keyword_concat,
         missing_keywords, extract_keywords, parse_keyword_reply, regex_keyword_count,
         pack_context, keyword_context, build_prompt, bm25_doc_score, bm25_sentence_score,
         normalize_vectors, rep_mean, rep_adaptive_pca, rep_pca_kmeans, pca_dim, elbow_k, cluster_weights, rep_append,
         doc_similarity_topk, knn_cosine, knn_l2, sentences_for_docs, two_stage_mean, two_stage_adaptive, two_stage_kmeans,
-        tfidf, topic_centroids, topic_match, topic_context, topic_clusters, embed_sentences, streaming_ingest,
+        two_stage_adaptive_context, two_stage_kmeans_context, stored_reps, flat_index,
+        tfidf, topic_members, topic_vocabulary, topic_centroids, topic_match, topic_context, topic_clusters, embed_sentences, two_stage_question, streaming_ingest,
     )
 }
 

@@ -15,10 +15,19 @@ from pyspark.sql import functions as F
 from ..operators.text import file_number, html_lines
 
 STEM = r"([^/]+?)(\.[^./]*)?$"
+#: Files that write_named made have their name in their folder's.
+NAMED = r"/name=([^/]+)/[^/]*$"
 
 
 def stem(path) -> F.Column:
-    return F.regexp_extract(path, STEM, 1)
+    """A file's name without its ending, or the name that write_named gave it."""
+    named = F.regexp_extract(path, NAMED, 1)
+    return F.when(named != "", named).otherwise(F.regexp_extract(path, STEM, 1))
+
+
+def write_named(df: DataFrame, path: str) -> None:
+    """(name, text) -> a file for each name under ``path`` (in a folder name=...), which ends in a line end."""
+    df.select("name", "text").repartition("name").sortWithinPartitions("name").write.mode("overwrite").partitionBy("name").text(path)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -36,8 +45,17 @@ def read_pages(spark: SparkSession, path: str, parse: Callable[[bytes], list[str
     files = spark.read.format("binaryFile").load(path).select(file_number(stem(F.col("path"))).alias("doc_id"), "content")
     if parse is None:
         return files.select("doc_id", F.lit(0).alias("page"), F.posexplode(html_lines(F.col("content").cast("string"))).alias("line_no", "line"))
-    pages = F.udf(lambda raw: parse(bytes(raw)), "array<string>")
-    rows = files.select("doc_id", F.posexplode(pages("content")).alias("page", "text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):  # a file at a time
+                raw = batch.column("content")[i].as_py()
+                texts = parse(raw) if raw is not None else []
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("doc_id")[i].as_py()] * len(texts), pa.int64()), pa.array(range(len(texts)), pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "page", "text"])
+
+    rows = files.mapInArrow(run, "doc_id long, page int, text string")
     lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
     return rows.select("doc_id", "page", F.posexplode(lines).alias("line_no", "line"))
 

@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillsift.functions.plugins import embedder_plugin, text_plugin, validator_plugin
+from quillsift.functions.plugins import embedder_plugin, splitter_plugin, text_plugin, validator_plugin
 from quillsift.operators import context, keyword, text, topics, vectors
 from quillsift.plans import oracles, registry
-from quillsift.sources import files
+from quillsift.sources import files, index
 from quillsift.streaming import ingest
 
 
@@ -219,3 +219,118 @@ def test_keywords_reach_the_scan_side(spark):
     kw = keyword.keyword_table(spark, ["the"])
     plan = keyword.doc_scores(keyword.postings(text.sentences(docs), kw), kw)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("LeftSemi")
+
+
+def test_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "The cats sat here. The dog sat too."), (2, "A cat ran far away."), (3, None), (4, "")], "doc_id long, text string")
+    with pytest.raises(FileNotFoundError):
+        index.load(spark, str(tmp_path / "none"))
+    tables = index.build(docs, str(tmp_path / "index"))
+    kw = keyword.keyword_table(spark, ["cats", "sat"])
+    known = keyword.known_terms(kw)
+    posts = index.postings(tables, [t for t, _, _ in known])
+    assert rows(posts, "doc_id", "term") == [(1, "cat", [0]), (1, "sat", [0, 1]), (2, "cat", [0])]
+    assert "PushedFilters: [In(term" in posts._jdf.queryExecution().explainString(posts._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    plain = keyword.postings(text.sentences(docs), kw)
+    assert rows(keyword.scores_of_postings(posts, kw), "doc_id") == rows(keyword.doc_scores(plain, kw), "doc_id")
+    in_row = keyword.sentence_hits(tables["sentences"], known).select("doc_id", "sent_id", "hits")
+    assert rows(in_row, "doc_id", "sent_id") == rows(keyword.sentence_counts(plain, kw), "doc_id", "sent_id")
+    with pytest.raises(ValueError):
+        keyword.keyword_table(spark, ["w"] * (keyword.MOST_TERMS + 1))
+
+
+def test_questions_read_the_index_once(spark):
+    """A question's plan has one scan of a stored table for its texts, and none of the documents."""
+    for name in ("keyword_global_count", "keyword_concat", "pack_context", "keyword_context"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "documents.parquet" not in plan and plan.count("sentences]") <= 1 and plan.count("/sentences") <= 1
+
+
+def test_tables_are_rebuilt_when_the_source_changes(spark, tmp_path):
+    frame = lambda t: spark.createDataFrame([(1, t)], "doc_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    frame("The first text is here.")
+    assert registry.stored(spark, str(tmp_path))["sentences"].first()["sentence"] == "The first text is here ."
+    frame("Another text is here, and it is longer.")
+    assert registry.stored(spark, str(tmp_path))["sentences"].first()["sentence"].startswith("Another text")
+
+
+def test_topic_tables(spark, tmp_path):
+    docs = spark.createDataFrame([(0, "red apple red"), (1, "blue sky")], "doc_id long, text string")
+    members = spark.createDataFrame([(0, "a"), (1, "b")], "doc_id long, topic string")
+    tables = topics.build(docs, members, "doc_id", str(tmp_path / "topics"))
+    assert rows(tables["members"], "doc_id") == [(0, "a"), (1, "b")] and tables["vocabulary"].count() == 4
+    sims = topics.match(spark.createDataFrame([(0, "an apple")], "query_id int, text string"), tables["vocabulary"], tables["centroids"])
+    assert [r["topic"] for r in sims.collect()] == ["a"]
+    with pytest.raises(FileNotFoundError):
+        topics.load(spark, str(tmp_path / "none"))
+
+
+def test_plugins_as_parameters(spark):
+    docs = spark.createDataFrame([(1, "ab cd. ef gh ij."), (2, None)], "doc_id long, text string")
+    upper = text_plugin(lambda xs: [x.upper() for x in xs])
+    long = splitter_plugin(lambda xs: [len(x) > 8 for x in xs])
+    got = rows(text.sentences(docs, lemmatizer=upper, splitter=long), "doc_id", "sent_id")
+    assert got == [(1, 0, "AB CD. EF GH IJ.")]
+    vector = topics.embed(docs, "doc_id", embedder=embedder_plugin(lambda: lambda xs: [[len(x), 1] for x in xs]))
+    assert rows(vector, "doc_id") == [(1, [16.0, 1.0]), (2, [0.0, 1.0])]
+
+
+def test_large_documents_are_clustered_as_small_ones(spark, monkeypatch):
+    """Where a document exceeds what a task takes, its clusters come from jobs, and the elbow is the same."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    spots = r.normal(size=(4, 6)) * 20
+    data = [(d, (spots[i % (3 + d)] + r.normal(size=6)).tolist()) for d in (0, 1) for i in range(90)] + [(2, [1.0] * 6)] * 3 + [(None, [1.0] * 6), (3, None)]
+    df = spark.createDataFrame(data, "doc long, vector array<double>").repartition(3)
+    small = {x["doc"]: (x["k"], x["rep"]) for x in vectors.rep_pca_kmeans(df).collect()}
+    monkeypatch.setattr(vectors, "GROUP_ROWS", 50)
+    large = {x["doc"]: (x["k"], x["rep"]) for x in vectors.rep_pca_kmeans(df).collect()}
+    assert set(small) == set(large) == {0, 1, 2}
+    for d in (0, 1, 2):
+        assert small[d][0] == large[d][0] and small[d][1] == pytest.approx(large[d][1])
+
+
+def test_pca_dims_equal_a_full_decomposition(spark):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    data = {d: r.normal(size=(40, 5)) * np.array([10, 5, 1, 0.1, 0.01]) ** d for d in (1, 2)}
+    df = spark.createDataFrame([(d, x.tolist()) for d, xs in data.items() for x in xs], "doc long, vector array<double>").repartition(7)
+    for row in vectors.rep_adaptive_pca(df).collect():
+        xs = data[row["doc"]]
+        values = np.linalg.svd(xs - xs.mean(axis=0), compute_uv=False) ** 2
+        assert row["dim"] == int(np.searchsorted(np.cumsum(values) / values.sum(), vectors.VARIANCE) + 1)
+        assert row["rep"] == pytest.approx(xs.mean(axis=0).tolist())
+
+
+def test_topic_clusters_part_unlike_documents(spark):
+    docs = spark.createDataFrame([(i, ("red apple tree fruit " if i % 2 else "blue sky cloud rain ") * 5) for i in range(20)], "doc_id long, text string")
+    got = {r["doc_id"]: r["topic"] for r in topics.clusters(docs, "doc_id", 2).collect()}
+    assert len({got[i] for i in range(0, 20, 2)}) == len({got[i] for i in range(1, 20, 2)}) == 1 and got[0] != got[1]
+
+
+def test_several_questions_in_two_stages(spark, monkeypatch):
+    df = spark.createDataFrame([(d, 10 * d + i, [float(d == 0), float(d == 1), 0.1 * i]) for d in range(3) for i in range(4)], "doc long, id long, vector array<double>")
+    q = spark.createDataFrame([(7, [1.0, 0.0, 0.0]), (8, [0.0, 1.0, 0.0])], "query_id long, q array<double>")
+    want = [(7, 0, 0, 1), (7, 0, 1, 2), (8, 1, 10, 1), (8, 1, 11, 2)]
+    for block in (1000, 1):
+        monkeypatch.setattr(vectors, "QUESTIONS", block)
+        got = vectors.two_stage(df, vectors.rep_mean(df), q, 1, 2).select("query_id", "doc", "id", "rank")
+        assert rows(got, "query_id", "rank") == want
+
+
+def test_pages_in_order(spark):
+    blocks = spark.createDataFrame([(1, 1, 0, "c"), (1, 0, 1, "b"), (1, 0, 0, "a"), (2, 0, 0, "z")], "doc_id long, page int, line_no int, line string")
+    assert rows(text.assemble(blocks), "doc_id") == [(1, "a\nb\nc"), (2, "z")]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from quillsift.sources import shared
+
+    class Fake:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Fake)
