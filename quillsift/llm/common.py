@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table that was counted first is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 100_000
+from ..sources.shared import discard, materialize, small_side
+
+__all__ = ["discard", "materialize", "small_batches", "small_side", "slices", "table", "text_hash60", "text_slices"]
+
 #: Rows of an Arrow batch that holds texts, and bounds of the slices in which a Python worker goes through it.
 BATCH_ROWS = 1000
 SLICE_ROWS, SLICE_CHARS = 256, 1 << 20
@@ -20,60 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir.
-
-    Where that is unset, a session in one process (local, as in tests) gets a
-    temporary one; on a cluster, whose machines would not see it, this raises.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not (spark.sparkContext.master + "[").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quillsift-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-_folders: set[str] = set()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean_up() -> None:
-    """At the end of the program the folders of intermediate tables go."""
-    spark = SparkSession.getActiveSession()
-    if spark is None or spark.sparkContext._jsc is None:
-        return
-    for path in _folders:
-        _delete(spark, path)
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
-
-    The written table outlives any executor, unlike cached blocks.
-    """
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/quillsift/{spark.sparkContext.applicationId}"
-    _folders.add(folder)
-    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.materialized_at = path
-    return back
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables; what was made of them must have been written before."""
-    for df in tables:
-        _delete(df.sparkSession, df.materialized_at)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Lower the session's rows of an Arrow batch to BATCH_ROWS, so that neither side of a worker's pipe holds many texts."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -103,11 +47,6 @@ def text_slices(batch, column: str):
         yield part, part.column(column).to_pylist()
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have few rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def text_hash60(*cols) -> F.Column:
     """A 60-bit non-negative hash that other SQL engines can compute too (md5 prefix)."""
     joined = F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
