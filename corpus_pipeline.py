@@ -21,8 +21,9 @@ LEAST_SCORE = 0.5
 def known_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language, lang being the prediction; those without a letter (und) or below LEAST_SCORE go.
 
-    Rows of a language that the model did not learn (langid.LANGUAGES) keep their lang.
+    Rows of a language that the model did not learn (its texts have no letter) keep their lang.
     Where nothing could be learned, only letterless rows go, and lang stays as it is.
+    Repeated rows are judged each; an empty table stays empty.
     """
     model = langid.fit(docs, F.lit(True))
     if model is None:
@@ -35,12 +36,15 @@ def known_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without near duplicates: five-word shingles, similarity 0.8 or more, the smallest id stays."""
+    """Without near duplicates: five-word shingles, similarity 0.8 or more, the smallest id stays.
+
+    Unlike texts of one id all stay, and so do rows of a null id.
+    """
     return neardup.keep_one(docs)
 
 
 def without_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; n_chars follows the text."""
+    """Secrets are masked; n_chars follows the text (null for a null text)."""
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -50,7 +54,7 @@ def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text's best segmentation and whether they decode to the text, beside the other columns."""
+    """The ids of every text's best segmentation and whether they decode to the text, beside the other columns; a null text has no ids."""
     out = pieces.with_ids(docs)
     return out.withColumn("n_pieces", F.size("ids").cast("long"))
 
@@ -60,7 +64,7 @@ STAGES = [
     ("MinHash near-dedup", one_of_each_group),
     ("secret scans", without_secrets),
     ("mixing sources to target weights", mixture),
-    ("SentencePiece encoding", encoded),
+    ("SentencePiece encoding and decoding", encoded),
 ]
 
 #: The language model and the segmentation are beyond SQL; tests hold the stages against brute-force versions.
