@@ -64,7 +64,8 @@ def lexicon(terms: DataFrame, band=IDF_BAND) -> tuple[str, str]:
     The 2^BITS / 64 words of each come to the driver and go into the
     expressions as constants.
     """
-    places = in_band(terms, band).select(F.explode(F.array(*[F.struct(F.lit(half).alias("half"), F.expr(bucket("h", half)).alias("bucket")) for half in (0, 1)])).alias("x")).select("x.*")
+    both = F.array(*[F.struct(F.lit(half).alias("half"), F.expr(bucket("h", half)).alias("bucket")) for half in (0, 1)])
+    places = in_band(terms, band).select(F.explode(both).alias("x")).select("x.*")
     words = places.groupBy("half", F.expr("bucket DIV 64").cast("int").alias("i")).agg(F.expr("bit_or(shiftleft(1L, CAST(bucket % 64 AS INT)))").alias("word"))
     bits = [[0] * (2**BITS // 64) for _ in (0, 1)]
     for r in words.collect():
@@ -78,7 +79,9 @@ def signature(terms: str, bits: tuple[str, str]) -> str:
     The hash of all comes first, then LEVELS nested subsets and the deepest one for each draw.
     Without a term in the lexicon the text is known by all its terms.
     """
-    known = f"filter({terms}, h -> " + " AND ".join(f"({x}[CAST({bucket('h', half)} DIV 64 AS INT)] & shiftleft(1L, CAST(({bucket('h', half)}) % 64 AS INT))) != 0" for half, x in enumerate(bits)) + ")"
+    word = lambda half: f"CAST(shiftrightunsigned(h, {BITS * half + 6}) & {2 ** (BITS - 6) - 1} AS INT)"
+    place = lambda half: f"CAST({'h' if half == 0 else f'shiftrightunsigned(h, {BITS * half})'} & 63 AS INT)"
+    known = f"filter({terms}, h -> " + " AND ".join(f"(shiftrightunsigned({x}[{word(half)}], {place(half)}) & 1) = 1" for half, x in enumerate(bits)) + ")"
     short = lambda a: f"IF(size({a}) = 0, '{NONE}', lower(substring(lpad(hex(xxhash64({a})), 16, '0'), 9)))"
     # A draw has 2 * LEVELS bits of a term's hash of its own; level l holds the terms whose low 2 * l of them are 0.
     # All 64 bits are then dealt, so the deepest level takes two bits for each draw from a second hash.

@@ -75,6 +75,17 @@ def test_an_unlabelled_corpus_is_kept(spark, tmp_path):
     assert corpus_pipeline.known_language(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_whole_pipeline_of_empty_and_unlabelled_tables(spark, tmp_path):
+    """Nothing in, nothing out; without labels only letterless rows and copies go; awkward rows pass."""
+    given = [(i, t, None, s) for i, t, _, s in rows()] + [(None, "the of and that was", None, None), (70, "the of\n" * 40_000, None, "s0"), (71, "the of\n" * 40_000, None, "s0")]
+    for name, frame in (("none", corpus(spark, given).limit(0)), ("unlabelled", corpus(spark, given))):
+        frame.write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert all(r["exact"] for r in got)
+        kept = {r["doc_id"] for r in got}
+        assert kept == set() if name == "none" else {8, 9, 7, 71}.isdisjoint(kept) and kept <= {i for i, *_ in given}
+
+
 def test_encoding_checks_the_round_trip(spark, monkeypatch):
     texts = ["The  solar cells.\n", " a\u2581b \u4e2d\u6587 \U0001f600", "", None]
     docs = corpus(spark, [(i, t, None, None) for i, t in enumerate(texts)])
