@@ -218,7 +218,9 @@ def op5_chat_format(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
-k AS (SELECT *, regexp_replace(replace(text, '\', '\\'), '(<)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|\|system\|>|\|user\|>|\|assistant\|>|<SYS>>|</SYS>>|s>|/s>)', '\1' || chr(92) || chr(92) || '\2', 'g') AS e1 FROM c),
+k AS (SELECT *, regexp_replace(replace(text, '\', '\\'),
+    '(<)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|\|system\|>|\|user\|>|\|assistant\|>|<SYS>>|</SYS>>|s>|/s>)',
+    '\1' || chr(92) || chr(92) || '\2', 'g') AS e1 FROM c),
 e AS (SELECT *, regexp_replace(e1, '(\[)(/?INST\])', '\1' || chr(92) || chr(92) || '\2', 'g') AS esc FROM k)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,

@@ -154,14 +154,17 @@ def edited_fingerprints(docs: DataFrame, band=IDF_BAND, id_col: str = "doc_id",
     most = known.groupBy("doc_id").agg(F.max(F.floor(F.length(whole_text) / 4)).cast("int").alias("need"))
     need = materialize(most.join(order, "doc_id").select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "need"), "need")
     # Both joins deal the texts by doc_id in one and the same exchange, which Spark reuses: both read ``known`` as it is.
-    heads = known.join(need.hint("merge"), "doc_id").select(F.col("before").alias("doc_id"), F.substring(whole_text, F.lit(1), F.col("need")).alias("head")).groupBy("doc_id").agg(F.min("head").alias("head"))
+    begun = known.join(need.hint("merge"), "doc_id").select(F.col("before").alias("doc_id"), F.substring(whole_text, F.lit(1), F.col("need")).alias("head"))
+    heads = begun.groupBy("doc_id").agg(F.min("head").alias("head"))
     taken = order.join(heads, "doc_id", "left")
     whole = known.join(taken.hint("merge"), "doc_id", "left")
     whole = whole.unionByName(given.where(F.col("doc_id").isNull()).withColumn("next_id", F.lit(None).cast("long")).withColumn("head", F.lit(None).cast("string")))
     cut = "CAST(length(text) DIV 4 AS INT)"
     edited = whole.select("doc_id", "next_id", whole_text.alias("text"), "head").select("doc_id", "next_id", "text", F.expr(f"concat(substring(text, 1, length(text) - {cut}), substring(coalesce(head, ''), 1, {cut}))").alias("edited"))
-    terms = edited.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.expr(term_hashes("text")).alias("terms"), F.expr(term_hashes("edited")).alias("edited_terms"))
-    signed = terms.select("doc_id", "next_id", "n_chars", "edited_sha256", F.expr(signature("terms", bits)).alias("all"), F.expr(signature("edited_terms", bits)).alias("edited_all"))
+    facts = (F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    terms = edited.select("doc_id", "next_id", *facts, F.expr(term_hashes("text")).alias("terms"), F.expr(term_hashes("edited")).alias("edited_terms"))
+    signatures = (F.expr(signature("terms", bits)).alias("all"), F.expr(signature("edited_terms", bits)).alias("edited_all"))
+    signed = terms.select("doc_id", "next_id", "n_chars", "edited_sha256", *signatures)
     (main, deepest), (edited_main, edited_deepest) = _parts("all"), _parts("edited_all")
     return signed.select("doc_id", "next_id", "n_chars", "edited_sha256", main.alias("signature"), edited_main.alias("edited_signature"), deepest.alias("deepest"), edited_deepest.alias("edited_deepest"))
 

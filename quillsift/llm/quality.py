@@ -179,4 +179,5 @@ def score(docs: DataFrame, model: FactorisationMachine | None, id_col: str = "do
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
-    return score(docs, model).select(F.col("id").alias("doc_id"), F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

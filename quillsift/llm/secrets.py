@@ -166,7 +166,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow=
     hot = f"transform(filter({_hot_runs('x.match')}, r -> NOT ({suppressed})), r -> named_struct('start', x.start + r.start, 'rank', q, 'stop', x.start + r.stop))"
     return (
         docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .select("doc_id", "text", F.expr(_found("text", ASSIGN)).alias("a"), F.expr(f"CASE WHEN contains(text, 'AKIA') THEN {_found('text', ACCESS)} END").alias("k"), F.expr(_found("text", HEX)).alias("h"), F.expr(_found("text", CANDIDATE)).alias("c"))
+        .withColumn("a", F.expr(_found("text", ASSIGN)))
+        .withColumn("k", F.expr(f"CASE WHEN contains(text, 'AKIA') THEN {_found('text', ACCESS)} END"))
+        .withColumn("h", F.expr(_found("text", HEX)))
+        .withColumn("c", F.expr(_found("text", CANDIDATE)))
         .withColumn("a", F.expr(f"filter(a, x -> length(regexp_extract(x.match, '{quoted}', 1)) >= {ASSIGN_MIN})"))
         .withColumn("base", F.expr(f"array_sort(concat(transform(a, x -> {span('assign', 'x')}), transform(coalesce(k, filter(a, x -> false)), x -> {span('access', 'x')}), transform(h, x -> {span('hex', 'x')})))"))
         .withColumn("hot", F.expr(f"flatten(transform(filter(c, x -> NOT ({any_of('x.match', allow)}) AND x.match RLIKE '[0-9]'), x -> {_bound(rank, 'q', hot)}))"))
@@ -194,10 +197,12 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text", id_c
     # Spans that overlap are one; it goes from the first's start to the largest stop before the next one's.
     tops = f"zip_with(spans, {_before('transform(spans, x -> x.stop)', _largest)}, (x, top) -> named_struct('start', x.start, 'top', top))"
     heads = f"filter({tops}, x -> x.start >= x.top)"
-    apart = _bound(heads, "h", "zip_with(h, concat(transform(slice(h, 2, greatest(size(h) - 1, 0)), x -> x.top), array(array_max(transform(spans, x -> x.stop)))), (x, stop) -> named_struct('start', x.start, 'stop', stop))")
+    ends = "concat(transform(slice(h, 2, greatest(size(h) - 1, 0)), x -> x.top), array(array_max(transform(spans, x -> x.stop))))"
+    apart = _bound(heads, "h", f"zip_with(h, {ends}, (x, stop) -> named_struct('start', x.start, 'stop', stop))")
     # The text goes through in chunks, each with the spans that reach into it; a mask stands where its span starts.
     inside = f"filter(m, x -> x.stop > p * {CHUNK} AND x.start < (p + 1) * {CHUNK})"
-    pieces = f"""transform(i, (x, j) -> concat(substring(piece, IF(j = 0, 0, i[greatest(j, 1) - 1].stop - p * {CHUNK}) + 1, x.start - IF(j = 0, p * {CHUNK}, i[greatest(j, 1) - 1].stop)), IF(x.start >= p * {CHUNK}, '{_quoted(mask)}', '')))"""
+    from_ = f"IF(j = 0, p * {CHUNK}, i[greatest(j, 1) - 1].stop)"
+    pieces = f"transform(i, (x, j) -> concat(substring(piece, {from_} - p * {CHUNK} + 1, x.start - {from_}), IF(x.start >= p * {CHUNK}, '{_quoted(mask)}', '')))"
     rest = f"IF(size(i) = 0, piece, substring(piece, i[size(i) - 1].stop - p * {CHUNK} + 1))"
     chunks = f"transform(regexp_extract_all(text, '(?s).{{1,{CHUNK}}}', 0), (piece, p) -> {_bound(inside, 'i', f'concat(array_join({pieces}, {chr(39)*2}), {rest})')})"
     masked = F.expr(_bound(apart, "m", f"array_join({chunks}, '')"))
@@ -244,7 +249,8 @@ ent AS (SELECT row_no, s, i, sum(({weights})[n + 1]) AS total, bool_or(c BETWEEN
 hot AS (SELECT win.row_no, win.s, win.kind, win.t, win.i FROM win JOIN ent USING (row_no, s, i) WHERE total <= most AND digit AND letter),
 step AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY row_no, s ORDER BY i) <= {WINDOW} THEN 0 ELSE 1 END AS fresh FROM hot),
 run AS (SELECT *, sum(fresh) OVER (PARTITION BY row_no, s ORDER BY i) AS r FROM step),
-added AS (SELECT row_no, kind, (s + i0)::BIGINT AS s, (s + i1)::BIGINT AS e FROM (SELECT row_no, s, kind, any_value(t) AS t, min(i) AS i0, max(i) + {WINDOW} AS i1 FROM run GROUP BY row_no, s, kind, r) WHERE NOT ({allow_runs})),
+added AS (SELECT row_no, kind, (s + i0)::BIGINT AS s, (s + i1)::BIGINT AS e
+          FROM (SELECT row_no, s, kind, any_value(t) AS t, min(i) AS i0, max(i) + {WINDOW} AS i1 FROM run GROUP BY row_no, s, kind, r) WHERE NOT ({allow_runs})),
 fresh AS (SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row_no = a.row_no AND b.s <= a.s AND a.e <= b.e)),
 spans AS (SELECT row_no, {ranks} AS r, kind || ':' || s || ':' || e AS k, s, true AS base FROM base UNION ALL SELECT row_no, {ranks}, kind || ':' || s || ':' || e, s, false FROM fresh),
 per AS (SELECT row_no, count(*) FILTER (r = 0) AS n_assign, count(*) FILTER (r = 1) AS n_access, count(*) FILTER (r = 2) AS n_hex, count(*) FILTER (r > 2) AS n_entropy,

@@ -21,7 +21,12 @@ from .common import materialize, small_side, table
 # The rules of the contract (host, path, verdict).
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 # Public suffixes of two labels (others have one), a parameter of the operators.
-SUFFIXES = tuple("co.uk org.uk ac.uk gov.uk me.uk net.uk com.au net.au org.au edu.au gov.au co.nz org.nz co.jp ne.jp or.jp ac.jp co.kr or.kr co.in net.in org.in com.br org.br net.br com.cn net.cn org.cn com.tw com.hk com.sg com.mx com.ar com.tr co.za co.il com.ua com.pl".split())
+SUFFIXES = tuple(
+    """
+    co.uk org.uk ac.uk gov.uk me.uk net.uk com.au net.au org.au edu.au gov.au co.nz org.nz co.jp ne.jp or.jp ac.jp co.kr or.kr
+    co.in net.in org.in com.br org.br net.br com.cn net.cn org.cn com.tw com.hk com.sg com.mx com.ar com.tr co.za co.il com.ua com.pl
+    """.split()
+)
 Z = 1.645
 LIMIT = 0.5
 BESIDE_HOST = r"^.*@|:[0-9]*$"
@@ -130,7 +135,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
     return (
         out.withColumn("bound", F.coalesce("_host", "_domain", "_suffix"))
         .withColumn("match", match)
-        .select("page_id", "host", "path", F.col("match.rule").alias("rule"), F.coalesce(F.col("match.verdict"), F.when(F.col("bound") > limit, "block").otherwise("allow")).alias("verdict"), F.round("bound", 6).alias("bound"))
+        .withColumn("verdict", F.coalesce(F.col("match.verdict"), F.when(F.col("bound") > limit, "block").otherwise("allow")))
+        .select("page_id", "host", "path", F.col("match.rule").alias("rule"), "verdict", F.round("bound", 6).alias("bound"))
     )
 
 
@@ -161,11 +167,14 @@ def _sql() -> str:
     tail = lambda n: f"array_to_string(list_slice(string_split({bare}, '.'), -{n}, -1), '.')"
     double = f"{tail(2)} IN ({', '.join(repr(x) for x in SUFFIXES)})"
     last = lambda n: f"CASE WHEN {double} THEN {tail(n + 1)} ELSE {tail(n)} END"
+    prior = "(SELECT (sum(k) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) FROM hosts)"
+    whole = f"SELECT c.key, c.n::DOUBLE AS n, c.k::DOUBLE AS k, {prior} AS mean FROM ({{counts}}) c"
     return rf"""
 WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
 g AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
-hosts AS (SELECT host, count(*) AS n, sum(bad) AS k FROM (SELECT g.host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END AS bad FROM g JOIN labels l ON l.doc_id = g.page_id) WHERE bad IS NOT NULL GROUP BY host),
-{_level_sql("suffix", f"SELECT {last(1).format('host')} AS key, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1", "SELECT c.key, c.n::DOUBLE AS n, c.k::DOUBLE AS k, (SELECT (sum(k) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) FROM hosts) AS mean FROM ({counts}) c")},
+hosts AS (SELECT host, count(*) AS n, sum(bad) AS k
+          FROM (SELECT g.host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END AS bad FROM g JOIN labels l ON l.doc_id = g.page_id) WHERE bad IS NOT NULL GROUP BY host),
+{_level_sql("suffix", f"SELECT {last(1).format('host')} AS key, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1", whole)},
 {_level_sql("domain", f"SELECT {last(2).format('host')} AS key, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1", up.format("suffix", last(1).format("c.key")))},
 {_level_sql("host", "SELECT host AS key, n, k FROM hosts", up.format("domain", last(2).format("c.key")))},
 j AS (SELECT g.*, coalesce(h.bound, d.bound, s.bound) AS bound FROM g LEFT JOIN host_t h ON h.key = host LEFT JOIN domain_t d ON d.key = {last(2).format('host')} LEFT JOIN suffix_t s ON s.key = {last(1).format('host')})
