@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
 from .text import lemma, sentences, token_array
 
 # Weights of a document's score, and those times 20 as whole numbers.
@@ -150,9 +151,12 @@ def regex_count(text: Column, words) -> Column:
 
 def _bm25(tokens: DataFrame, keys: list[str], keywords: DataFrame) -> DataFrame:
     """Okapi BM25 over units ``keys``; tokens(keys, terms array)."""
-    sized = tokens.withColumn("dl", F.size("terms"))
-    stats = sized.agg(F.count("*").alias("units"), F.avg("dl").alias("avgdl"))  # one row
-    hits = sized.select(*keys, "dl", F.explode("terms").alias("term")).join(F.broadcast(keywords.select("term")), "term").groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+    known = [t for t, _, _ in known_terms(keywords)]
+    found = tokens.select(*keys, F.size("terms").alias("dl"), F.filter("terms", lambda t: t.isin(*known)).alias("found"))
+    each = F.transform(F.array_distinct("found"), lambda t: F.struct(t.alias("term"), F.size(F.filter("found", lambda x: x == t)).cast("long").alias("tf")))
+    units = materialize(found.select(*keys, "dl", each.alias("hits")), "bm25")  # a few numbers for each unit, from one pass over the texts
+    stats = units.agg(F.count("*").alias("units"), F.avg("dl").alias("avgdl"))  # one row
+    hits = units.where(F.size("hits") > 0).select(*keys, "dl", F.explode("hits").alias("x")).select(*keys, "dl", "x.term", "x.tf")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each keyword
     idf = F.log(1 + (F.col("units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

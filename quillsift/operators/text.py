@@ -71,17 +71,19 @@ def padded(text: Column) -> Column:
     return strip(squeeze(F.regexp_replace(text, r"([^\p{L}\p{N}\s\p{Z}-])", " $1 ")))
 
 
-def lemma_array(text: Column) -> Column:
-    return F.transform(F.filter(F.split(padded(text), " "), lambda t: t != ""), lemma)
+def lemmatize(text: Column) -> Column:
+    """``lemma`` of every token of the padded text, by two passes over the text (no rule makes a case for another)."""
+    y = F.regexp_replace(padded(text), r"(?<![^ ])([A-Za-z]{2,})ies(?![^ ])", "$1y")
+    return F.regexp_replace(y, r"(?<![^ ])(?:([A-Za-z]+(?:ss|x|ch|sh))es|([A-Za-z]+[A-Za-rt-z])s)(?![^ ])", "$1$2")
 
 
-def lemmatize(text: Column) -> Column:
-    return F.array_join(lemma_array(text), " ")
+def lemma_array(text: Column) -> Column:
+    return F.filter(F.split(lemmatize(text), " "), lambda t: t != "")
 
 
 def word_count(piece: Column) -> Column:
     """Tokens that start with a letter."""
-    return F.size(F.regexp_extract_all(F.concat(F.lit(" "), piece), F.lit(r" \p{L}"), F.lit(0)))
+    return F.regexp_count(piece, F.lit(r"(?<![^ ])\p{L}"))
 
 
 def sentence_array(text: Column, min_words: int = MIN_WORDS) -> Column:
@@ -90,21 +92,52 @@ def sentence_array(text: Column, min_words: int = MIN_WORDS) -> Column:
     A rest without an end mark is emitted if it has enough words, else it joins
     the last sentence, and without one it is lost.
     """
-    pieces = F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]*[.!?]|[^.!?]+$"), F.lit(0)), strip)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"))
+    pieces = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]*[.!?]|[^.!?]+$"), F.lit(0)), strip), lambda p: p != "")
+    counted = F.transform(pieces, lambda p: F.struct(p.alias("p"), word_count(p).alias("n"), p.rlike("[.!?]$").alias("mark")))
+    return F.transform(F.array(counted), lambda ps: _merged(ps, min_words))[0]
+
+
+#: Pieces of a text that are walked through at a time.
+BLOCK = 64
+
+
+def _merged(ps: Column, min_words: int) -> Column:
+    """Sentences of pieces (p, n, mark).
+
+    Spark copies an accumulator at every step, so the walk holds whether each
+    piece of a block ends a sentence, and the texts are joined by position.
+    """
+    none = F.array().cast("array<int>")
+    last = F.size(ps) - 1
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(none)
+
+    def step(st, i):
+        n = st["n"] + ps[i]["n"]
+        ends = ps[i]["mark"] & (n >= min_words)
+        return F.struct(F.when(ends, 0).otherwise(n).alias("n"), F.concat(st["out"], F.when(ends, F.array(i)).otherwise(none)).alias("out"))
+
+    def block(st, b):
+        part = F.aggregate(span(b * BLOCK, F.least((b + 1) * BLOCK - 1, last)), F.struct(st["n"].alias("n"), none.alias("out")), step)
+        return F.transform(F.array(part), lambda x: F.struct(x["n"].alias("n"), F.concat(st["out"], F.array(x["out"])).alias("out")))[0]
+
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<array<int>>").alias("out"))
+    walk = F.aggregate(span(F.lit(0), F.when(last >= 0, F.floor(last / BLOCK).cast("int")).otherwise(-1)), start, block)
+
+    def cut(st):
+        ends = F.flatten(st["out"])
+        return F.transform(F.array(ends), lambda e: _joined(ps, e, st["n"] >= min_words))[0]
 
-    def step(st, p):
-        cur = F.when(st["cur"] == "", p).otherwise(F.concat(st["cur"], F.lit(" "), p))
-        n = st["n"] + word_count(p)
-        done = p.rlike("[.!?]$") & (n >= min_words)
-        return F.when(done, F.struct(F.concat(st["out"], F.array(cur)).alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"))).otherwise(F.struct(st["out"].alias("out"), cur.alias("cur"), n.alias("n")))
+    return F.transform(F.array(walk), cut)[0]
 
-    def finish(st):
-        last = F.size(st["out"])
-        joined = F.concat(F.slice(st["out"], 1, F.greatest(last - 1, F.lit(0))), F.array(F.concat(F.element_at(st["out"], F.greatest(last, F.lit(1))), F.lit(" "), st["cur"])))
-        return F.when(st["cur"] == "", st["out"]).when(st["n"] >= min_words, F.concat(st["out"], F.array(st["cur"]))).when(last > 0, joined).otherwise(st["out"])
 
-    return F.aggregate(pieces, start, step, finish)
+def _joined(ps: Column, ends: Column, whole_rest: Column) -> Column:
+    """The pieces between ends as texts; a rest is a text of its own, or joins the last one, or is lost."""
+    last, n = F.size(ps) - 1, F.size(ends)
+    after = F.when(n > 0, F.element_at(ends, -1)).otherwise(-1)
+    # Where the rest joins the last sentence, that one ends with the text.
+    stops = F.when((n > 0) & ~whole_rest, F.transform(ends, lambda e, i: F.when(i == n - 1, last).otherwise(e))).when((after < last) & whole_rest, F.concat(ends, F.array(last))).otherwise(ends)
+    begins = F.transform(stops, lambda e, i: F.when(i == 0, 0).otherwise(ends[F.greatest(i, F.lit(1)) - 1] + 1))
+    return F.zip_with(begins, stops, lambda a, b: F.array_join(F.transform(F.sequence(a, b), lambda i: ps[i]["p"]), " "))
 
 
 def sentences(docs: DataFrame, min_words: int = MIN_WORDS, lemmatizer=lemmatize, splitter=None) -> DataFrame:
@@ -125,7 +158,7 @@ def assemble(blocks: DataFrame) -> DataFrame:
 
 def token_array(text: Column) -> Column:
     """Index tokens: lower-cased, letters first, two characters or more."""
-    return F.filter(F.split(F.lower(text), r"[\s\p{Z}]+"), lambda t: t.rlike(TOKEN))
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![^\s\p{{Z}}]){TOKEN[1:-1]}(?![^\s\p{{Z}}])"), F.lit(0))
 
 
 def chunk_array(text: Column, size: int = CHUNK_CHARS) -> Column:

@@ -109,7 +109,7 @@ def embed(units: DataFrame, *keys: str, text_col: str = "text", dims: int = 64,
     terms = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0))
     place = lambda t: (F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("long") % dims).cast("int")
     placed = units.select(*keys, F.transform(terms, place).alias("at")).withColumn("d", F.array_distinct("at"))
-    each = placed.select(*keys, "d", F.expr("transform(d, x -> size(filter(at, y -> y = x)))").alias("n"))
-    counts = each.select(*keys, F.expr(f"transform(sequence(0, {dims - 1}), i -> coalesce(get(n, CAST(array_position(d, i) AS INT) - 1), 0))").alias("c"))
+    # Counted in place: a column of counts would be computed anew at each of the places.
+    counts = placed.select(*keys, F.expr(f"transform(sequence(0, {dims - 1}), i -> IF(array_contains(d, i), size(filter(at, x -> x = i)), 0))").alias("c"))
     length = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))
     return counts.withColumn("length", length).select(*keys, F.transform("c", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0)).alias("vector"))

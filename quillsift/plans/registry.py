@@ -25,7 +25,8 @@ def read(spark, sf_dir, name):
 
 
 def documents(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", "text").where("trim(text) <> ''")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").where("trim(text) <> ''")
+    return files.spread(docs, f"{sf_dir}/documents.parquet", "doc_id")
 
 
 def stored(spark, sf_dir):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.text import file_number, html_lines
+from .shared import stamp
 
 STEM = r"([^/]+?)(\.[^./]*)?$"
 #: Files that write_named made have their name in their folder's.
@@ -30,6 +31,17 @@ def write_named(df: DataFrame, path: str) -> None:
     df.select("name", "text").repartition("name").sortWithinPartitions("name").write.mode("overwrite").partitionBy("name").text(path)
 
 
+def spread(df: DataFrame, path: str, key: str) -> DataFrame:
+    """``df``, read from ``path``, dealt over all cores by ``key`` if its files have fewer splits than there are cores.
+
+    A small file is one task, whatever it is asked for; a large one is left
+    where it is.
+    """
+    spark = df.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores, key) if stamp(spark, path)[0] < cores * split else df
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Text files -> (doc_id, text): doc_id is the first number in the file's name."""
     whole = spark.read.text(path, wholetext=True)

@@ -17,11 +17,12 @@ def build(docs: DataFrame, path: str, **how) -> dict[str, DataFrame]:
       question's terms read few row groups and a frequent term is many ranges.
     """
     spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # files of each table, which later scans share out
     split = sentences(docs, **how).withColumn("terms", F.array_distinct(token_array(F.col("sentence"))))
-    split.repartitionByRange("doc_id", "sent_id").sortWithinPartitions("doc_id", "sent_id").write.mode("overwrite").parquet(f"{path}/sentences")
+    split.repartitionByRange(n, "doc_id", "sent_id").sortWithinPartitions("doc_id", "sent_id").write.mode("overwrite").parquet(f"{path}/sentences")
     stored = spark.read.parquet(f"{path}/sentences").select("doc_id", "sent_id", F.explode("terms").alias("term"))
     posts = stored.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("sent_id")).alias("sent_ids"))  # those of one document
-    posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    posts.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     return load(spark, path)
 
 
