@@ -7,6 +7,8 @@ Java and other SQL engines read alike.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,24 +20,59 @@ TOKEN = r"^[a-z]+[a-z0-9-]*[a-z0-9]+$"
 CHUNK_CHARS = 500_000
 MIN_WORDS = 3
 
+#: The same filters in forms that Java matches without recursion and in one pass: labels up to the
+#: first dot that two letters follow, and a token as its first character, its middle and its last.
+URL_START = r"^https?://(?:[a-zA-Z0-9-]++\.(?![a-zA-Z]{2}))*+[a-zA-Z0-9-]++\.[a-zA-Z]{2}"
+TOKEN_RUN = r"(?<![^\s\p{Z}])[a-z][a-z0-9-]*[a-z0-9](?![^\s\p{Z}])"
+
 DROPPED_MARKUP = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
+#: Stands for a ``<`` while markup is dropped; a code point that Unicode keeps out of texts.
+UNOPENED = "\uffff"
 BLOCK_TAG = r"(?i)</?(p|div|br|hr|h[1-6]|ul|ol|li|table|tr|td|th|title|head|body|html|section|article|nav|header|footer|blockquote|pre|main|aside)\b[^>]*>"
 ENTITIES = (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&#39;", "'"), ("&amp;", "&"))
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends (``trim`` takes spaces only)."""
-    return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.regexp_replace(c, r"^[\s\p{Z}]++|(?<![\s\p{Z}])[\s\p{Z}]++$", "")
 
 
 def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, r"[\s\p{Z}]+", " ")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _unopened(html: Column) -> Column:
+    """Openings of dropped markup that nothing closes, marked, so that every other one ends the search it starts."""
+
+    def mark(name: str, close: str):
+        def of(x: Column) -> Column:
+            small = F.translate(x, ascii_uppercase, ascii_lowercase)
+            at = F.length(x) - F.length(F.substring_index(small, close, -1))
+            cut = lambda i: F.concat(F.substring(x, F.lit(1), i), F.regexp_replace(F.substring(x, i + 1, F.length(x) - i), f"(?i)<(?={name})", UNOPENED))
+            return F.when(F.contains(small, F.lit("<" + name)), _let(at, cut)).otherwise(x)
+
+        return of
+
+    for name, close in (("script", "</script>"), ("style", "</style>"), ("!--", "-->")):
+        html = _let(html, mark(name, close))
+    return html
+
+
+def _closed(text: Column, tag: str, by: str) -> Column:
+    """Tags replaced up to the last ``>``; beyond it none is closed, and looking for its end from each ``<`` takes quadratic time."""
+    head = lambda x, rest: F.substring(x, F.lit(1), F.length(x) - F.length(rest))
+    return _let(text, lambda x: _let(F.substring_index(x, ">", -1), lambda rest: F.concat(F.regexp_replace(head(x, rest), tag, by), rest)))
+
+
 def html_lines(html: Column) -> Column:
     """Non-blank text blocks of a page."""
-    text = F.regexp_replace(F.regexp_replace(html, DROPPED_MARKUP, ""), BLOCK_TAG, "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
+    text = F.replace(F.regexp_replace(_unopened(html), DROPPED_MARKUP, ""), F.lit(UNOPENED), F.lit("<"))
+    text = _closed(_closed(text, BLOCK_TAG, "\n"), r"<[^>]*>", "")
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: F.length(x) > 0)
@@ -48,7 +85,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
 
 def clean_line_array(text: Column) -> Column:
     """Kept lines of a text, lower-cased and squeezed; empty lines stay."""
-    kept = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: ~(x.rlike(URL_LINE) | x.rlike(DIGIT_LINE) | x.rlike(SYMBOL_LINE)))
+    kept = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: ~(x.rlike(URL_START) | x.rlike(DIGIT_LINE) | x.rlike(SYMBOL_LINE)))
     return F.transform(kept, lambda x: squeeze(F.lower(x)))
 
 
@@ -158,7 +195,7 @@ def assemble(blocks: DataFrame) -> DataFrame:
 
 def token_array(text: Column) -> Column:
     """Index tokens: lower-cased, letters first, two characters or more."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![^\s\p{{Z}}]){TOKEN[1:-1]}(?![^\s\p{{Z}}])"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RUN), F.lit(0))
 
 
 def chunk_array(text: Column, size: int = CHUNK_CHARS) -> Column:

@@ -1,5 +1,9 @@
 """Hand-derived cases of the core operators."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,3 +338,47 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         shared.shared_dir(Fake)
+
+
+HOSTILE = {
+    "host": "http://" + "a." * 500_000,
+    "labels": "http://" + "a.b1." * 200_000 + "com",
+    "token": "a" * 1_000_000 + "=",
+    "base64": "aGVsbG8" * 100_000 + "é",
+    "open": "<" * 1_000_000,
+    "blocks": "<p " * 300_000 + "<x<p>",
+    "scripts": "<script " * 100_000 + "<!--" * 100_000 + "--> end <style>",
+    "spaces": "a" + " " * 1_000_000 + "b",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_patterns_are_linear(spark, name):
+    """A million characters that make a pattern look far ahead in vain: no crash, and seconds."""
+    for expression in (text.clean_text, text.token_array, text.html_lines, text.strip):
+        for given in ("warm", HOSTILE[name]):
+            began = time.perf_counter()
+            spark.createDataFrame([(given,)], "x string").select(F.length(F.to_json(F.array(expression(F.col("x")))))).collect()
+        assert time.perf_counter() - began < 5
+
+
+def test_rewritten_patterns_agree(spark):
+    """The forms for Java against the fixed values, on random strings."""
+    r = random.Random(5)
+    hosts = ["http" + r.choice(["s", ""]) + "://" + "".join(r.choice("ab1-..Z/ ") for _ in range(r.randrange(9))) for _ in range(3000)]
+    tokens = ["".join(r.choice("ab1-=é ") for _ in range(r.randrange(8))) for _ in range(3000)]
+    pages = ["".join(r.choice(["<", ">", "<p", "</p>", "<script", "</SCRIPT>", "<!--", "-->", "x", " ", "<Style>", "</style>", "\n", "&lt;"]) for _ in range(r.randrange(14))) for _ in range(3000)]
+    got = spark.createDataFrame([(h,) for h in hosts], "x string").select(F.col("x").rlike(text.URL_START)).collect()
+    assert [g[0] for g in got] == [bool(re.search(text.URL_LINE, h)) for h in hosts]
+    got = spark.createDataFrame([(t,) for t in tokens], "x string").select(text.token_array(F.col("x"))).collect()
+    assert [g[0] for g in got] == [[w for w in t.split() if re.search(text.TOKEN, w)] for t in tokens]
+
+    def blocks(page):
+        for pattern, by in ((text.DROPPED_MARKUP, ""), (text.BLOCK_TAG, "\n"), ("<[^>]*>", "")):
+            page = re.sub(pattern, by, page)
+        for entity, char in text.ENTITIES:
+            page = page.replace(entity, char)
+        return [x.strip() for x in page.split("\n") if x.strip()]
+
+    got = spark.createDataFrame([(p,) for p in pages], "x string").select(text.html_lines(F.col("x"))).collect()
+    assert [g[0] for g in got] == [blocks(p) for p in pages]
