@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
 
 
 def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
-    """documents without all but one of each group of near duplicates (the smallest id stays).
+    """documents without all but one of each group of near duplicates (the smallest id stays; within it the text of the smallest hash).
 
     Rows of one id are documents of their own where their texts differ, so an
     unlike text stays; of rows with equal id and text (null: empty) one stays.  Rows of a
@@ -348,9 +348,13 @@ def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     again = small_side(ids.select("doc_id", F.lit(True).alias("again")), MEMBERS)
     own = packed.join(again, "doc_id", "left").withColumn("own", F.when(F.col("again"), -1 - text_hash60(F.col("doc_id"), F.col("text"))).otherwise(F.col("doc_id")))
-    numbered = materialize(own.select("own", "row", "text", F.coalesce("again", F.lit(False)).alias("again")), "numbered")
-    found = near_duplicates(numbered, k, "own").where(F.col("doc_id").isNotNull() & ~F.col("kept"))
-    gone = materialize(found.select(F.col("doc_id").alias("own")).distinct(), "removed")
+    numbered = materialize(own.select("own", "doc_id", "row", "text", F.coalesce("again", F.lit(False)).alias("again")), "numbered")
+    found = materialize(near_duplicates(numbered, k, "own").where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("own"), "component_id").distinct(), "grouped")
+    # The numbers' order is not that of the ids, so each group of several members is asked for its first row by (doc_id, own).
+    groups = small_side(found.where("own <> component_id").select("component_id").distinct(), MEMBERS)
+    members = found.join(groups, "component_id", "left_semi").join(numbered.select("own", F.col("doc_id").alias("id")).distinct(), "own")
+    first = members.groupBy("component_id").agg(F.min(F.struct("id", "own")).alias("first"))
+    gone = materialize(members.join(first, "component_id").where(F.col("own") != F.col("first.own")).select("own"), "removed")
     stay = numbered.join(small_side(gone, MEMBERS), "own", "left_anti")
     return stay.where("NOT again").select("row.*").unionByName(stay.where("again").dropDuplicates(["own"]).select("row.*"))
 

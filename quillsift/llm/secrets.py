@@ -51,7 +51,7 @@ SCALE = 1_000_000
 #: Patterns of whole candidates, and of hot runs, that are no secrets.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^/?([A-Za-z]+[0-9]{0,4}[-_/=+])+[A-Za-z]*[0-9]{0,4}$",
+    r"^/?(?:[A-Za-z]++[0-9]{0,4}+[-_/=+])++[A-Za-z]*+[0-9]{0,4}$",  # possessive: Java would recurse at each segment
 )
 ALLOW_RUNS = (
     r"(?i)(example|placeholder|xxxxxx|changeme|dummy)",
@@ -231,7 +231,7 @@ def _sql() -> str:
         for k, p in patterns.items()
     )
     weights = "[" + ", ".join(str(weight(c)) for c in range(WINDOW + 1)) + "]"
-    allow = " OR ".join(f"regexp_matches(t, '{p}')" for p in ALLOW)
+    allow = " OR ".join(f"regexp_matches(t, '{p}')" for p in (ALLOW[0], "^/?([A-Za-z]+[0-9]{0,4}[-_/=+])+[A-Za-z]*[0-9]{0,4}$"))
     allow_runs = " OR ".join(f"regexp_matches(substr(t, i0 + 1, i1 - i0), '{p}')" for p in ALLOW_RUNS)
     limit = "CASE " + " ".join(f"WHEN regexp_matches(t, '{CLASSES[k]}') THEN {sum_limit(ENTROPY[k])}" for k in ENTROPY) + " END"
     kind = "CASE " + " ".join(f"WHEN regexp_matches(t, '{CLASSES[k]}') THEN '{k}'" for k in ENTROPY) + " END"

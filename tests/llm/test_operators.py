@@ -640,6 +640,20 @@ def test_near_duplicates_of_nothing(spark):
     assert sorted((r["doc_id"] or 0) for r in twice.collect()) == [0, 1] and twice.columns == docs.columns
 
 
+def test_smallest_id_stays_where_an_id_is_repeated(spark):
+    t, u = words(40, seed=1), words(40, seed=2)
+    docs = documents(spark, [(1, t, None, None), (5, t, None, None), (5, u, None, None), (9, u + " x", None, None)])
+    got = sorted((r["doc_id"], r["text"]) for r in neardup.keep_one(docs).collect())
+    assert got == [(1, t), (5, u)]
+
+
+def test_candidate_of_many_segments(spark):
+    """Java matches a repeated group by recursion unless it is possessive."""
+    text = "ab-" * 300_000 + "1 " + "a1B2-" * 100
+    for frame in (secrets.scan(documents(spark, [(1, text, None, None)])), secrets.redact(documents(spark, [(1, text, None, None)]))):
+        assert frame.count() == 1 and frame.select("text").first()[0][:6] == "ab-ab-"
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7), (None, 3)]
