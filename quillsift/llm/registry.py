@@ -1,6 +1,6 @@
 """Queries opN_<name> of this subpackage and their DuckDB equivalents."""
 
-from . import chat, imatch, langid, mixing, neardup, pieces, quality, secrets, topk, urls
+from . import chat, codes, fim, imatch, langid, licenses, mixing, neardup, pieces, quality, secrets, topk, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_exact_topk": topk.op8_exact_topk,
     "op9_minhash_dedup": neardup.op9_minhash_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_license_scan": licenses.op12_license_scan,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
 
 #: Queries that SQL can express; the others have brute-force tests.
@@ -23,4 +26,7 @@ ORACLES = {
     "op7_url_filter": urls.OP7_SQL,
     "op8_exact_topk": topk.OP8_SQL,
     "op9_minhash_dedup": neardup.OP9_SQL,
+    "op11_fill_in_middle": fim.OP11_SQL,
+    "op12_license_scan": licenses.OP12_SQL,
+    "op13_vector_codes": codes.OP13_SQL,
 }
