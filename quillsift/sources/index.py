@@ -6,32 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.text import sentences, token_array
-from .shared import exists
+from .shared import discard, exists, materialize
+
+TABLES = ("documents", "sentences", "postings")
 
 
 def build(docs: DataFrame, path: str, **how) -> dict[str, DataFrame]:
     """documents(doc_id, text) -> tables under ``path``; ``how`` goes to ``text.sentences`` (plug-ins and so on).
 
+    * documents(doc_id), those that were given;
     * sentences(doc_id, sent_id, sentence, terms), by range of doc_id;
     * postings(term, doc_id, sent_ids), by range of term and doc_id, so that a
       question's terms read few row groups and a frequent term is many ranges.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # files of each table, which later scans share out
-    split = sentences(docs, **how).withColumn("terms", F.array_distinct(token_array(F.col("sentence"))))
+    docs.select("doc_id").write.mode("overwrite").parquet(f"{path}/documents")
+    # Written first: dealing by range samples what it deals, and would split every text twice.
+    split = materialize(sentences(docs, **how).withColumn("terms", F.array_distinct(token_array(F.col("sentence")))), "sentences")
     split.repartitionByRange(n, "doc_id", "sent_id").sortWithinPartitions("doc_id", "sent_id").write.mode("overwrite").parquet(f"{path}/sentences")
+    discard(split)
     stored = spark.read.parquet(f"{path}/sentences").select("doc_id", "sent_id", F.explode("terms").alias("term"))
-    posts = stored.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("sent_id")).alias("sent_ids"))  # those of one document
+    posts = materialize(stored.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("sent_id")).alias("sent_ids")), "postings")  # those of one document
     posts.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    discard(posts)
     return load(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of an index; raises FileNotFoundError where one was not written to its end."""
-    for name in ("sentences", "postings"):
+    for name in TABLES:
         if not exists(spark, f"{path}/{name}/_SUCCESS"):
             raise FileNotFoundError(f"no table {name} under {path}")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("sentences", "postings")}
+    return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
 
 
 def postings(index: dict[str, DataFrame], terms: list[str]) -> DataFrame:
