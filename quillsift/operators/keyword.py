@@ -126,9 +126,12 @@ def missing_keywords(keywords: DataFrame, posts: DataFrame) -> DataFrame:
     return keywords.join(posts.select("term").distinct(), "term", "left_anti").select("term")
 
 
-def extract_keywords(docs: DataFrame, top_n: int = 8) -> DataFrame:
-    """(doc_id, keywords): a document's most frequent tokens, ties in text order, joined by spaces."""
-    counts = docs.select("doc_id", F.explode(token_array(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+def extract_keywords(docs: DataFrame, top_n: int = 8, segment=token_array) -> DataFrame:
+    """(doc_id, keywords): a document's most frequent tokens, ties in text order, joined by spaces.
+
+    ``segment`` gives a text's tokens; for unspaced text see ``operators.segment``.
+    """
+    counts = docs.select("doc_id", F.explode(segment(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "term"))
     best = counts.withColumn("r", rank).where(F.col("r") <= top_n)
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), " ")
