@@ -274,19 +274,52 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, by=cosine, ascending:
     return in_blocks(query, ask)
 
 
-def two_stage(vectors: DataFrame, reps: DataFrame, query: DataFrame, docs: int, sentences: int) -> DataFrame:
-    """The best sentences of every question's best documents: (query_id, doc, id, rank, score).
+def two_stage(vectors: DataFrame, reps: DataFrame, query: DataFrame, docs: int, sentences: int, by=cosine, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The best sentences of every question's best documents: (query_id, doc, id, rank, score), and columns of the sentences in ``carry``.
 
     A block's documents, at most QUESTIONS * docs, are broadcast, which cuts
-    the sentences where they are scanned.
+    the sentences where they are scanned.  Of stored sentences (``load_sentences``)
+    only the buckets of those documents are read, which Spark finds as it runs.
     """
+    stored = BUCKET in vectors.columns
+    keys = [BUCKET, "doc"] if stored else ["doc"]
 
     def ask(part: DataFrame) -> DataFrame:
-        best = nearest(reps.select(F.col("doc").alias("id"), F.col("rep").alias("vector")), part, docs).select("query_id", F.col("id").alias("doc"))
-        chosen = vectors.join(F.broadcast(best), "doc").join(part, "query_id")
-        return _ranked(chosen.select("query_id", "doc", "id", cosine(doubles(F.col("vector")), F.col("q")).alias("score")), sentences, "id")
+        best = nearest(reps.select(F.col("doc").alias("id"), F.col("rep").alias("vector")), part, docs, by).select("query_id", F.col("id").alias("doc"))
+        if stored:
+            best = best.withColumn(BUCKET, bucket_of(F.col("doc"), vectors.buckets))
+        chosen = vectors.join(F.broadcast(best), keys).join(part, "query_id")
+        return _ranked(chosen.select("query_id", "doc", "id", *carry, by(doubles(F.col("vector")), F.col("q")).alias("score")), sentences, "id")
 
-    return in_blocks(query, ask).select("query_id", "doc", "id", "rank", "score")
+    return in_blocks(query, ask).select("query_id", "doc", "id", "rank", "score", *carry)
+
+
+BUCKET = "doc_bucket"
+#: Folders of stored sentences; a question's documents are in a few of them.
+BUCKETS = 64
+
+
+def bucket_of(doc: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(doc.cast("long")), F.lit(buckets)).cast("int")
+
+
+def write_sentences(vectors: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """(doc, id, vector, any more) -> a folder for each bucket of documents, rows by document.
+
+    ``buckets`` is a number of folders that the store can list, and no more
+    grows with the documents; a large bucket is several files.
+    """
+    rows = vectors.withColumn(BUCKET, bucket_of(F.col("doc"), buckets))
+    rows.repartition(BUCKET, "doc").sortWithinPartitions(BUCKET, "doc", "id").write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/buckets={buckets}")
+
+
+def load_sentences(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """The stored sentences; raises FileNotFoundError where they were not written to their end."""
+    if not exists(spark, f"{path}/buckets={buckets}/_SUCCESS"):
+        raise FileNotFoundError(f"no stored sentences under {path}")
+    found = spark.read.parquet(f"{path}/buckets={buckets}")
+    found.buckets = buckets
+    return found
 
 
 def write_reps(reps: dict[str, DataFrame], path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import context, text, topics
+from ..operators import associations, context, lemmas, text, topics
 
 # The lists that the queries use; a test holds them equal.
 KEYWORD_TERMS = [("tion", 0, 1), ("the", 1, 2), ("of", 2, 1), ("ble", 3, 1), ("zeta", 4, 1), ("que", 6, 1)]
@@ -96,6 +96,24 @@ SELECT {keys}, round(sum(ln(1 + (units - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
 FROM tf JOIN df USING (term), stats GROUP BY {keys}"""
 
 
+def bm25_top(units: str, keys: str, n: int) -> str:
+    scored = bm25(units, keys)
+    head, _, last = scored.rpartition("\nSELECT ")
+    return f"{head}, scored AS (SELECT {last}) SELECT rank::INT AS rank, {keys}, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, {keys}) AS rank FROM scored) WHERE rank <= {n}"
+
+
+ASSOCIATED = f"""{SENTENCES}, {KW}, toks AS (SELECT row_number() OVER () AS s, {tokens('sentence')} AS t FROM sents),
+places AS MATERIALIZED (SELECT s, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM toks),
+pairs AS MATERIALIZED (SELECT least(a.x, b.x) AS a, greatest(a.x, b.x) AS b, count(*) AS n FROM places a JOIN places b ON a.s = b.s AND b.i > a.i AND b.i <= a.i + {associations.WINDOW} GROUP BY ALL),
+cooc AS MATERIALIZED (SELECT a AS term, b AS ctx, CASE WHEN a = b THEN 2 * n ELSE n END AS n FROM pairs UNION ALL SELECT b, a, n FROM pairs WHERE a <> b),
+totals AS MATERIALIZED (SELECT term, sum(n)::BIGINT AS n FROM cooc GROUP BY term),
+ppmi AS MATERIALIZED (SELECT * FROM (SELECT term, ctx, ln(c.n::DOUBLE * (SELECT sum(n) FROM totals)::DOUBLE / (a.n::DOUBLE * b.n)) AS w FROM cooc c JOIN totals a USING (term) JOIN totals b ON b.term = ctx) WHERE w > 0),
+lengths AS (SELECT term, sqrt(sum(w * w)) AS l FROM ppmi GROUP BY term),
+dots AS (SELECT q.term AS q, p.term, sum(q.w * p.w) AS d FROM ppmi q JOIN ppmi p USING (ctx) WHERE q.term IN (SELECT term FROM kw) AND p.term NOT IN (SELECT term FROM kw) GROUP BY ALL),
+cosines AS (SELECT q, dots.term, round(d / (a.l * b.l), 6) AS c FROM dots JOIN lengths a ON a.term = q JOIN lengths b ON b.term = dots.term JOIN totals t ON t.term = dots.term WHERE t.n >= {associations.LEAST}),
+assoc AS (SELECT q AS term, rank, term AS associate, c AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, term) AS rank FROM cosines) WHERE rank <= {associations.ASSOCIATES})"""
+
+
 VEC = "vecs AS (SELECT label AS doc, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
 REPS = f"{VEC}, dims AS (SELECT doc, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM vecs), means AS (SELECT doc, i, avg(x) AS x FROM dims GROUP BY ALL), reps AS (SELECT doc, list(x ORDER BY i) AS v FROM means GROUP BY doc)"
 REP_ROWS = f"WITH {REPS} SELECT doc, (i - 1)::INT AS i, round(x, 6) AS x FROM means"
@@ -109,11 +127,6 @@ s AS (SELECT vecs.doc, id, {COS.format('vecs.v', 'q.v')} AS score FROM vecs JOIN
 SELECT rank::INT AS rank, doc, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= {sentences}"""
 
 
-def two_stage_context(docs: int) -> str:
-    return f"""WITH found AS ({two_stage(docs, 100)}), texts AS (SELECT found.rank, found.id, substr(text, 1, 80) AS sentence FROM found JOIN documents ON doc_id = id)
-{PACKED.format(sep=1, initial=0, order="rank", rows="texts")} SELECT place::INT AS place, id, used::BIGINT AS used, sentence FROM packed"""
-
-
 STOPS = ", ".join(f"'{w}'" for w in topics.STOP_WORDS)
 TFIDF = rf"""{DOCS}, words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{topics.TERM}')) AS term FROM docs),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term NOT IN ({STOPS}) GROUP BY ALL),
@@ -129,6 +142,40 @@ sims AS (SELECT topic, round(sum(w * qw) / any_value(length), 6) AS sim FROM cen
 EMBEDDED = rf"""w AS (SELECT doc_id, sent_id, unnest(regexp_extract_all(lower(sentence), '{topics.TERM}')) AS t FROM sents),
 b AS (SELECT doc_id, sent_id, (('0x' || substr(md5(t), 1, 6))::INT % 64)::INT AS i, count(*) AS c FROM w GROUP BY ALL),
 emb AS (SELECT doc_id, sent_id, i, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id, sent_id)), 6) AS x FROM b)"""
+
+
+def asked(docs: int, sentences: int) -> str:
+    """The best sentences of the question's best documents, as ``found``."""
+    return f"""{SENTENCES}, {EMBEDDED}, n AS (SELECT doc_id, count(*) AS n FROM sents GROUP BY doc_id),
+reps AS MATERIALIZED (SELECT doc_id, i, round(sum(x) / any_value(n), 6) AS x FROM emb JOIN n USING (doc_id) GROUP BY doc_id, i),
+qb AS (SELECT ('0x' || substr(md5(t), 1, 6))::INT % 64 AS i, count(*) AS c FROM (SELECT unnest(regexp_extract_all(lower('{QUESTION}'), '{topics.TERM}')) AS t) GROUP BY ALL),
+q AS MATERIALIZED (SELECT i::INT AS i, c / sqrt(sum(c * c) OVER ()) AS x FROM qb),
+sim AS (SELECT doc_id, round(coalesce(sum(r.x * q.x), 0) / sqrt(sum(r.x * r.x)), 6) AS s FROM reps r LEFT JOIN q USING (i) GROUP BY doc_id),
+best AS MATERIALIZED (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM sim) WHERE r <= {docs}),
+each AS (SELECT doc_id, sent_id, round(coalesce(sum(e.x * q.x), 0) / sqrt(sum(e.x * e.x)), 6) AS s FROM (SELECT * FROM emb WHERE doc_id IN (SELECT doc_id FROM best)) e LEFT JOIN q USING (i) GROUP BY ALL),
+found AS (SELECT rank, doc_id, sent_id, s AS score FROM (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id, sent_id) AS rank FROM each) WHERE rank <= {sentences})"""
+
+
+def asked_context(docs: int) -> str:
+    packed = PACKED.format(sep=1, initial=0, order="rank", rows="texts")
+    return f"WITH RECURSIVE {asked(docs, 100)}, texts AS (SELECT found.*, sentence FROM found JOIN sents USING (doc_id, sent_id)){packed} SELECT place::INT AS place, doc_id, sent_id, used::BIGINT AS used, sentence FROM packed"
+
+
+def pairs(rows: list[tuple[str, str]]) -> str:
+    return "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in rows) + ")"
+
+
+EDITS = f"""{DOCS}, given AS (SELECT form, lemma, len(list_filter(range(1, least(length(form), length(lemma)) + 1), lambda i: form[1:i] = lemma[1:i])) AS p FROM {pairs(lemmas.regular_pairs())} v(form, lemma)),
+scripts AS (SELECT form, length(form) - p AS cut, lemma[p + 1:] AS ending FROM given),
+each AS (SELECT right(form, n) AS suffix, cut, ending FROM (SELECT *, unnest(range(greatest(1, cut), least({lemmas.LONGEST}, length(form) - 1) + 1)) AS n FROM scripts)),
+counts AS (SELECT suffix, cut, ending, count(*) AS n FROM each GROUP BY ALL),
+best AS (SELECT suffix, cut, ending FROM (SELECT *, sum(n) OVER (PARTITION BY suffix) AS forms, row_number() OVER (PARTITION BY suffix ORDER BY n DESC, cut, ending) AS r FROM counts) WHERE r = 1 AND forms >= {lemmas.LEAST}),
+words AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(lower({PADDED}), ' ')) AS w FROM docs) WHERE w <> '' GROUP BY w),
+tails AS (SELECT w, unnest(range(1, least({lemmas.LONGEST}, length(w)) + 1)) AS k FROM (SELECT w FROM words UNION SELECT form FROM given)),
+decided AS (SELECT w, CASE WHEN length(w) - arg_max(cut, k) >= 2 THEN left(w, length(w) - arg_max(cut, k)) || arg_max(ending, k) ELSE w END AS lemma FROM tails JOIN best ON suffix = right(w, k) GROUP BY w),
+irregular AS (SELECT form, min(lemma) AS lemma FROM {pairs(lemmas.irregular_pairs())} o(form, lemma) GROUP BY form),
+wrong AS (SELECT form, g.lemma FROM (SELECT form, min(lemma) AS lemma FROM given GROUP BY form) g LEFT JOIN decided ON w = form WHERE g.lemma <> coalesce(decided.lemma, form)),
+lemma_of AS (SELECT w, n, coalesce(o.lemma, wrong.lemma, decided.lemma, w) AS lemma FROM words LEFT JOIN decided USING (w) LEFT JOIN irregular o ON o.form = w LEFT JOIN wrong ON wrong.form = w)"""
 WHOLE_WORDS = r"len(list_filter(string_split_regex(sentence, '[^\p{L}\p{N}_]+'), lambda t: t IN (%s)))"
 
 ORACLES = {
@@ -136,6 +183,7 @@ ORACLES = {
     "clean_lines": positions(f"({PAGE_LINES})", "page_id", CLEAN, ("line_no", "line")),
     "clean_text": f"SELECT page_id, array_to_string({CLEAN}, ' ') AS text FROM ({PAGE_LINES})",
     "lemma_tokens": f"WITH {DOCS}, {LEMMAS} SELECT doc_id, token, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(l) AS token FROM lemmas) GROUP BY ALL",
+    "lemma_edits": f"WITH {EDITS} SELECT lemma, count(*)::BIGINT AS forms, sum(n)::BIGINT AS n FROM lemma_of GROUP BY lemma",
     "split_sentences": f"WITH RECURSIVE {SENTENCES} SELECT * FROM sents",
     "valid_tokens": f"WITH {DOCS} SELECT term, count(*)::BIGINT AS n FROM (SELECT unnest({tokens('text')}) AS term FROM docs) GROUP BY term",
     "chunk_text": "SELECT doc_id, i::INT AS chunk, substr(text, i * 1000 + 1, 1000) AS part FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 1000 + 1)) AS i FROM documents WHERE trim(text) <> '')",
@@ -166,6 +214,12 @@ ORACLES = {
     "build_prompt": f"WITH RECURSIVE {BY_DOCUMENT} SELECT {quoted(context.HEADER)} || trim(string_agg(sentence, ' ' ORDER BY place)) || {quoted(context.QUESTION + QUESTION)} AS prompt FROM packed",
     "bm25_doc_score": f"WITH {DOCS}, {KW}, {bm25('text', 'doc_id')}",
     "bm25_sentence_score": f"WITH RECURSIVE {SENTENCES}, {KW}, {bm25('sentence', 'doc_id, sent_id')}",
+    "associated_keywords": f"WITH RECURSIVE {ASSOCIATED} SELECT term, rank::INT AS rank, associate, cosine FROM assoc",
+    "associated_doc_score": f"""WITH RECURSIVE {ASSOCIATED}, {POSTS}, more AS (SELECT term, times FROM kw UNION ALL SELECT DISTINCT associate, 1 FROM assoc),
+lens AS (SELECT doc_id, term, count(*) AS n FROM posts GROUP BY ALL), scores AS (SELECT doc_id, count(*) AS coverage, sum(n * times) AS total FROM lens JOIN more USING (term) GROUP BY doc_id)
+SELECT doc_id, coalesce(coverage, 0)::BIGINT AS coverage, coalesce(total, 0)::BIGINT AS total, round(coalesce(16 * coverage + total, 0)::BIGINT / 20.0::DOUBLE, 6) AS score FROM docs LEFT JOIN scores USING (doc_id)""",
+    "bm25_top_documents": f"WITH {DOCS}, {KW}, {bm25_top('text', 'doc_id', 20)}",
+    "bm25_top_sentences": f"WITH RECURSIVE {SENTENCES}, {KW}, {bm25_top('sentence', 'doc_id, sent_id', 20)}",
     "normalize_vectors": f"WITH {VEC} SELECT id, list_transform(v, lambda x: round(CASE WHEN n > 0 THEN x / n ELSE x END, 6)) AS v FROM (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM vecs)",
     "rep_mean": REP_ROWS,
     "rep_adaptive_pca": REP_ROWS,
@@ -180,8 +234,8 @@ ORACLES = {
     "two_stage_mean": two_stage(3, 3),
     "two_stage_adaptive": two_stage(2, 100),
     "two_stage_kmeans": two_stage(3, 100),
-    "two_stage_adaptive_context": two_stage_context(2),
-    "two_stage_kmeans_context": two_stage_context(3),
+    "two_stage_adaptive_context": asked_context(2),
+    "two_stage_kmeans_context": asked_context(3),
     "stored_reps": f"WITH {REPS}, m AS (SELECT unnest(['mean', 'adaptive']) AS method) SELECT method, doc, (i - 1)::INT AS i, round(x, 6) AS x FROM means, m",
     "topic_members": f"WITH {DOCS} SELECT doc_id, source AS topic FROM docs",
     "topic_vocabulary": f"WITH {TFIDF} SELECT term, round(idf, 6) AS idf FROM vocab",
@@ -196,15 +250,7 @@ ORACLES = {
     + PACKED.format(sep=0, initial=len(context.HEADER), order="hits DESC, doc_id, sent_id", rows="ranked")
     + " SELECT place::INT AS place, doc_id, sent_id, sentence FROM packed",
     "embed_sentences": f"WITH RECURSIVE {SENTENCES}, {EMBEDDED} SELECT doc_id, sent_id, i, x FROM emb",
-    "two_stage_question": f"""WITH RECURSIVE {SENTENCES}, {EMBEDDED}, n AS (SELECT doc_id, count(*) AS n FROM sents GROUP BY doc_id),
-raw AS (SELECT b.doc_id, i, c / sqrt(sum(c * c) OVER (PARTITION BY b.doc_id, sent_id)) AS x FROM b),
-reps AS MATERIALIZED (SELECT doc_id, i, round(sum(x) / any_value(n), 6) AS x FROM raw JOIN n USING (doc_id) GROUP BY doc_id, i),
-qb AS (SELECT ('0x' || substr(md5(t), 1, 6))::INT % 64 AS i, count(*) AS c FROM (SELECT unnest(regexp_extract_all(lower('{QUESTION}'), '{topics.TERM}')) AS t) GROUP BY ALL),
-q AS MATERIALIZED (SELECT i::INT AS i, c / sqrt(sum(c * c) OVER ()) AS x FROM qb),
-sim AS (SELECT doc_id, coalesce(sum(r.x * q.x), 0) / sqrt(sum(r.x * r.x)) AS s FROM reps r LEFT JOIN q USING (i) GROUP BY doc_id),
-best AS MATERIALIZED (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM sim) WHERE r <= 3),
-each AS (SELECT doc_id, sent_id, coalesce(sum(e.x * q.x), 0) / sqrt(sum(e.x * e.x)) AS s FROM (SELECT * FROM emb WHERE doc_id IN (SELECT doc_id FROM best)) e LEFT JOIN q USING (i) GROUP BY ALL)
-SELECT rank::INT AS rank, doc_id, sent_id, round(s, 4) AS score FROM (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id, sent_id) AS rank FROM each) WHERE rank <= 3""",
+    "two_stage_question": f"WITH RECURSIVE {asked(3, 3)} SELECT rank::INT AS rank, doc_id, sent_id, round(score, 4) AS score FROM found",
     "streaming_ingest": REP_ROWS,
 }
 ORACLES["flat_index"] = ORACLES["knn_cosine"]

@@ -1,8 +1,7 @@
 """Registered queries of the core engine and their DuckDB equivalents.
 
 ``documents`` stand for cleaned documents, ``pages`` for raw pages, and
-``embeddings`` for sentence vectors (label: document, vec_id: sentence, whose
-text is the beginning of the document of that number).  Questions read the
+``embeddings`` for sentence vectors (label: document, vec_id: sentence).  Questions read the
 stored index and topic tables, which are built once for a state of the table.
 """
 
@@ -10,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import context, keyword, text, topics, vectors
+from ..operators import associations, context, impacts, keyword, lemmas, segment, tagger, text, topics, vectors
 from ..sources import files, index
-from ..sources.shared import kept, new_path
+from ..sources.shared import kept, materialize, new_path
 from ..streaming import ingest
 
 KEYWORDS = ["tion", "the", "of", "bles", "zeta", "the", "que"]
@@ -39,6 +38,23 @@ def stored_topics(spark, sf_dir):
     return kept(spark, f"{sf_dir}/documents.parquet", "topics", lambda: topics.build(documents(spark, sf_dir), assigned(spark, sf_dir), "doc_id", new_path(spark, "topics")))
 
 
+def stored_associations(spark, sf_dir):
+    """The associations of the documents' terms: tables weights and terms."""
+    return kept(spark, f"{sf_dir}/documents.parquet", "associations", lambda: associations.build(stored(spark, sf_dir)["sentences"], new_path(spark, "associations")))
+
+
+def document_impacts(spark, sf_dir):
+    """The impact blocks of the documents."""
+    units = lambda: documents(spark, sf_dir).select("doc_id", text.token_array(F.col("text")).alias("terms"))
+    return kept(spark, f"{sf_dir}/documents.parquet", "document-impacts", lambda: impacts.build(units(), ["doc_id"], new_path(spark, "impacts")))
+
+
+def sentence_impacts(spark, sf_dir):
+    """The impact blocks of the sentences."""
+    units = lambda: stored(spark, sf_dir)["sentences"].select("doc_id", "sent_id", text.token_array(F.col("sentence")).alias("terms"))
+    return kept(spark, f"{sf_dir}/documents.parquet", "sentence-impacts", lambda: impacts.build(units(), ["doc_id", "sent_id"], new_path(spark, "impacts")))
+
+
 def given_sentences(spark, sf_dir):
     return text.sentences(documents(spark, sf_dir))
 
@@ -110,6 +126,38 @@ def lemma_tokens(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.explode(text.lemma_array(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
+def lemma_edits(spark, sf_dir):
+    """Lemmas by learned suffix edits of the documents' lower-cased tokens, with their counts."""
+    tokens = documents(spark, sf_dir).select(F.explode(F.split(F.lower(text.padded(F.col("text"))), " ")).alias("word")).where("word <> ''")
+    counts = materialize(tokens.groupBy("word").agg(F.count("*").alias("n")), "tokens")
+    found = lemmas.lemma_table(counts, *lemmas.default_tables(spark))
+    return counts.join(found, "word").groupBy("lemma").agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
+
+
+def edited_sentences(spark, sf_dir):
+    """Sentences of texts that are lemmatised by learned suffix edits."""
+    edits = lemmas.collected(*lemmas.default_tables(spark))
+    return text.sentences(documents(spark, sf_dir), lemmatizer=lemmas.lemmatizer(edits))
+
+
+def _tagger(spark, sf_dir):
+    """(class numbers of the stored sentences, the model fitted to them all)."""
+    seen = materialize(stored(spark, sf_dir)["sentences"].select("doc_id", "sent_id", tagger.classes(F.col("sentence")).alias("symbols")), "classes")
+    return seen, tagger.fit(seen)
+
+
+def tagged_sentences(spark, sf_dir):
+    """Tags of the stored sentences, and whether a nominal stands before a finite verb."""
+    seen, model = _tagger(spark, sf_dir)
+    return tagger.tagged(seen, model, "doc_id", "sent_id").select("doc_id", "sent_id", F.array_join("tags", " ").alias("tags"), "valid")
+
+
+def tagger_sentences(spark, sf_dir):
+    """Sentences that the tagger finds valid, in place of those of three words."""
+    _, model = _tagger(spark, sf_dir)
+    return text.sentences(documents(spark, sf_dir), splitter=tagger.splitter(model))
+
+
 def split_sentences(spark, sf_dir):
     return given_sentences(spark, sf_dir)
 
@@ -190,7 +238,20 @@ def unpaired_documents(spark, sf_dir):
 
 
 def keyword_doc_score(spark, sf_dir):
-    return keyword.with_all_documents(documents(spark, sf_dir), scores(spark, sf_dir)).select("doc_id", "coverage", "total", F.round("score", 6).alias("score"))
+    return keyword.with_all_documents(stored(spark, sf_dir)["documents"], scores(spark, sf_dir)).select("doc_id", "coverage", "total", F.round("score", 6).alias("score"))
+
+
+def associated_keywords(spark, sf_dir):
+    """The four terms most like each keyword of the question."""
+    return associations.associates(stored_associations(spark, sf_dir), [t for t, _, _ in question(spark)[1]])
+
+
+def associated_doc_score(spark, sf_dir):
+    """keyword_doc_score of the question's keywords and their associates."""
+    table = associations.expanded(given_keywords(spark), associated_keywords(spark, sf_dir))
+    posts = index.postings(stored(spark, sf_dir), [t for t, _, _ in keyword.known_terms(table)])
+    found = keyword.scores_of_postings(posts, table)
+    return keyword.with_all_documents(stored(spark, sf_dir)["documents"], found).select("doc_id", "coverage", "total", F.round("score", 6).alias("score"))
 
 
 def keyword_doc_rank(spark, sf_dir):
@@ -233,6 +294,13 @@ def extract_keywords(spark, sf_dir):
     return keyword.extract_keywords(documents(spark, sf_dir))
 
 
+def segmented_keywords(spark, sf_dir):
+    """Keywords of the documents without their spaces, by the dictionary of the documents."""
+    docs = documents(spark, sf_dir)
+    words = segment.dictionary(docs)
+    return keyword.extract_keywords(docs.select("doc_id", F.regexp_replace("text", r"[\s\p{Z}]+", "").alias("text")), segment=segment.segmenter(words))
+
+
 def parse_keyword_reply(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", F.expr("CASE WHEN doc_id % 3 < 2 THEN concat('Extracted: [', source, ', ', lang, '] associated: [', lang, ',x]') ELSE concat('only [', source, ']') END").alias("reply"))
     first, second = keyword.parse_reply(F.col("reply"))
@@ -277,6 +345,17 @@ def bm25_sentence_score(spark, sf_dir):
     return keyword.bm25_sentences(documents(spark, sf_dir), given_keywords(spark))
 
 
+def bm25_top_documents(spark, sf_dir):
+    """The 20 best documents by BM25, from the impact blocks whose bounds can reach them."""
+    found, _ = impacts.top(document_impacts(spark, sf_dir), [t for t, _, _ in question(spark)[1]], 20)
+    return found.select("rank", "key.doc_id", "score")
+
+
+def bm25_top_sentences(spark, sf_dir):
+    found, _ = impacts.top(sentence_impacts(spark, sf_dir), [t for t, _, _ in question(spark)[1]], 20)
+    return found.select("rank", "key.doc_id", "key.sent_id", "score")
+
+
 # --- vectors --------------------------------------------------------------
 
 
@@ -338,39 +417,79 @@ def sentences_for_docs(spark, sf_dir):
     return stored(spark, sf_dir)["sentences"].select("doc_id", "sent_id", "sentence").join(F.broadcast(best), "doc_id", "left_semi")
 
 
-def _two_stage(spark, sf_dir, reps, docs, sents):
-    out = vectors.two_stage(sentence_vectors(spark, sf_dir), reps, query_vector(spark, sf_dir), docs, sents)
+def stored_vectors(spark, sf_dir):
+    """The sentence vectors by document, and the representatives of three methods."""
+
+    def build():
+        path = new_path(spark, "vectors")
+        rows = sentence_vectors(spark, sf_dir)
+        return _stored(spark, path, rows)
+
+    return kept(spark, f"{sf_dir}/embeddings.parquet", "vectors", build)
+
+
+def _stored(spark, path, rows):
+    vectors.write_sentences(rows, f"{path}/sentences")
+    sents = vectors.load_sentences(spark, f"{path}/sentences")
+    vectors.write_reps({"mean": vectors.rep_mean(sents), "adaptive": vectors.rep_adaptive_pca(sents), "kmeans": vectors.rep_pca_kmeans(sents)}, f"{path}/reps")
+    return {"sentences": sents} | {m: vectors.load_reps(spark, f"{path}/reps", m) for m in ("mean", "adaptive", "kmeans")}
+
+
+def embedded_sentences(spark, sf_dir):
+    """The documents' sentences with their vectors, and the representatives of three methods."""
+
+    def build():
+        sents = stored(spark, sf_dir)["sentences"].select("doc_id", "sent_id", "sentence")
+        found = topics.embed(sents, "doc_id", "sent_id", "sentence", text_col="sentence")
+        rows = found.select(F.col("doc_id").alias("doc"), F.struct("doc_id", "sent_id").alias("id"), rounded(F.col("vector")).alias("vector"), "sentence")
+        return _stored(spark, new_path(spark, "embedded"), rows)
+
+    return kept(spark, f"{sf_dir}/documents.parquet", "embedded", build)
+
+
+def _two_stage(spark, sf_dir, method, docs, sents):
+    tables = stored_vectors(spark, sf_dir)
+    out = vectors.two_stage(tables["sentences"], tables[method], query_vector(spark, sf_dir), docs, sents)
     return out.select("rank", F.col("doc").cast("int").alias("doc"), "id", F.round("score", 6).alias("score"))
 
 
 def two_stage_mean(spark, sf_dir):
-    return _two_stage(spark, sf_dir, vectors.rep_mean(sentence_vectors(spark, sf_dir)), 3, 3)
+    return _two_stage(spark, sf_dir, "mean", 3, 3)
 
 
 def two_stage_adaptive(spark, sf_dir):
-    return _two_stage(spark, sf_dir, vectors.rep_adaptive_pca(sentence_vectors(spark, sf_dir)), 2, 100)
+    return _two_stage(spark, sf_dir, "adaptive", 2, 100)
 
 
 def two_stage_kmeans(spark, sf_dir):
-    return _two_stage(spark, sf_dir, vectors.rep_pca_kmeans(sentence_vectors(spark, sf_dir)), 3, 100)
+    return _two_stage(spark, sf_dir, "kmeans", 3, 100)
+
 
+def _close(a, b):
+    """Cosines to six digits, so that equal sentences are ties."""
+    return F.round(vectors.cosine(a, b), 6)
 
-def sentence_texts(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("sentence"))
 
+def _asked(spark, sf_dir, method, docs, sents):
+    """The best stored sentences of the question's best documents."""
+    tables = embedded_sentences(spark, sf_dir)
+    asked = topics.embed(spark.createDataFrame([(0, QUESTION)], "query_id int, text string"), "query_id").select("query_id", F.col("vector").alias("q"))
+    reps = tables[method].select("doc", rounded(F.col("rep")).alias("rep"))
+    return vectors.two_stage(tables["sentences"], reps, asked, docs, sents, _close, ("sentence",)).select("rank", "id.doc_id", "id.sent_id", "score", "sentence")
 
-def _two_stage_context(spark, sf_dir, reps, docs):
+
+def _two_stage_context(spark, sf_dir, method, docs):
     """The best sentences of the best documents, packed."""
-    found = vectors.two_stage(sentence_vectors(spark, sf_dir), reps, query_vector(spark, sf_dir), docs, 100).select("id", "rank")
-    return context.pack_keys(found, sentence_texts(spark, sf_dir), ["id"], [F.col("rank")]).select("place", "id", "used", "sentence")
+    found = _asked(spark, sf_dir, method, docs, 100)
+    return context.pack(found, [F.col("rank")]).select("place", "doc_id", "sent_id", "used", "sentence")
 
 
 def two_stage_adaptive_context(spark, sf_dir):
-    return _two_stage_context(spark, sf_dir, vectors.rep_adaptive_pca(sentence_vectors(spark, sf_dir)), 2)
+    return _two_stage_context(spark, sf_dir, "adaptive", 2)
 
 
 def two_stage_kmeans_context(spark, sf_dir):
-    return _two_stage_context(spark, sf_dir, vectors.rep_pca_kmeans(sentence_vectors(spark, sf_dir)), 3)
+    return _two_stage_context(spark, sf_dir, "kmeans", 3)
 
 
 def stored_reps(spark, sf_dir):
@@ -442,11 +561,7 @@ def embed_sentences(spark, sf_dir):
 
 def two_stage_question(spark, sf_dir):
     """A question embedded like the sentences: mean vectors of the documents, the best three, and their three best sentences."""
-    rows = topics.embed(stored(spark, sf_dir)["sentences"], "doc_id", "sent_id", text_col="sentence").select(F.col("doc_id").alias("doc"), F.struct("doc_id", "sent_id").alias("id"), "vector")
-    asked = topics.embed(spark.createDataFrame([(0, QUESTION)], "query_id int, text string"), "query_id").select("query_id", F.col("vector").alias("q"))
-    reps = vectors.rep_mean(rows).select("doc", rounded(F.col("rep")).alias("rep"))
-    found = vectors.two_stage(rows.withColumn("vector", rounded(F.col("vector"))), reps, asked, 3, 3)
-    return found.select("rank", F.col("id.doc_id").alias("doc_id"), F.col("id.sent_id").alias("sent_id"), F.round("score", 4).alias("score"))
+    return _asked(spark, sf_dir, "mean", 3, 3).select("rank", "doc_id", "sent_id", F.round("score", 4).alias("score"))
 
 
 def streaming_ingest(spark, sf_dir):
@@ -461,11 +576,11 @@ def streaming_ingest(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        page_blocks, clean_lines, clean_text, lemma_tokens, split_sentences, valid_tokens, chunk_text, dedup_sentences, file_number,
+        page_blocks, clean_lines, clean_text, lemma_tokens, lemma_edits, edited_sentences, split_sentences, tagged_sentences, tagger_sentences, valid_tokens, chunk_text, dedup_sentences, file_number,
         inverted_index, merge_postings, term_sentence_freq, stored_index, index_json, raw_texts, page_files, assemble_pages, unpaired_documents,
         keyword_doc_score, keyword_doc_rank, keyword_doc_share, keyword_sentence_count, keyword_global_count, keyword_intersection, keyword_concat,
-        missing_keywords, extract_keywords, parse_keyword_reply, regex_keyword_count,
-        pack_context, keyword_context, build_prompt, bm25_doc_score, bm25_sentence_score,
+        associated_keywords, associated_doc_score, missing_keywords, extract_keywords, segmented_keywords, parse_keyword_reply, regex_keyword_count,
+        pack_context, keyword_context, build_prompt, bm25_doc_score, bm25_sentence_score, bm25_top_documents, bm25_top_sentences,
         normalize_vectors, rep_mean, rep_adaptive_pca, rep_pca_kmeans, pca_dim, elbow_k, cluster_weights, rep_append,
         doc_similarity_topk, knn_cosine, knn_l2, sentences_for_docs, two_stage_mean, two_stage_adaptive, two_stage_kmeans,
         two_stage_adaptive_context, two_stage_kmeans_context, stored_reps, flat_index,
