@@ -6,12 +6,15 @@ doubles, and ranks break ties by id.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import exists, materialize, small_side
+from . import dense
 
 VARIANCE = 0.99
 MAX_DIM, MAX_K = 10, 10
@@ -264,9 +267,15 @@ def _ranked(scored: DataFrame, k: int, key: str, ascending: bool = False) -> Dat
 def nearest(vectors: DataFrame, query: DataFrame, k: int, by=cosine, ascending: bool = False, key: str = "id") -> DataFrame:
     """(query_id, key, score, rank) of the k nearest rows for each query.
 
-    ``query`` (query_id, q) is counted and broadcast in blocks; each task keeps
-    its k best before anything is shuffled.
+    ``query`` (query_id, q) is counted and taken in blocks; each task keeps its k
+    best before anything is shuffled.  Where the score is a cosine, an inner
+    product or a squared distance, and keys are whole numbers, candidates come
+    from matrix products (``operators.dense``) and only they are scored here;
+    rows with a null key are then left out.
     """
+    metric = by.__name__
+    if dense.takes(vectors, key, metric) and ascending == (metric == "l2_squared"):
+        return _nearest_dense(vectors, query, k, by, ascending, key)
 
     def ask(part: DataFrame) -> DataFrame:
         return _ranked(vectors.select(key, F.col("vector").alias("v")).join(part).select("query_id", key, by(doubles(F.col("v")), F.col("q")).alias("score")), k, key, ascending)
@@ -274,6 +283,30 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, by=cosine, ascending:
     return in_blocks(query, ask)
 
 
+def _nearest_dense(vectors: DataFrame, query: DataFrame, k: int, by, ascending: bool, key: str) -> DataFrame:
+    kind = vectors.schema[key].dataType
+    rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), doubles(F.col("vector")).alias("v"))
+    blocks = max(1, -(-query.count() // QUESTIONS))
+    out = None
+    for block in range(blocks):
+        part = (query if blocks == 1 else query.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).select("query_id", doubles(F.col("q")).alias("q"))
+        asked = part.collect()  # a block of questions
+        fine = [r for r in asked if r["q"] and all(x is not None and math.isfinite(x) for x in r["q"])]
+        pieces = []
+        for width in {len(r["q"]) for r in fine}:
+            mine = [r for r in fine if len(r["q"]) == width]
+            names = part.sparkSession.createDataFrame([(i, r["query_id"], r["q"]) for i, r in enumerate(mine)], part.select(F.lit(0).alias("query_row"), "query_id", "q").schema)
+            found = dense.candidates(rows.where(dense.sound(F.col("v"), width)), [r["q"] for r in mine], k, by.__name__, key).join(F.broadcast(names), "query_row")
+            odd = rows.where(~dense.sound(F.col("v"), width)).join(F.broadcast(names.drop("query_row")))
+            pieces += [found.select("query_id", key, "v", "q"), odd.select("query_id", key, "v", "q")]
+        rest = [r for r in asked if r not in fine]
+        if rest or not pieces:
+            pieces.append(rows.join(F.broadcast(part.sparkSession.createDataFrame([(r["query_id"], r["q"]) for r in rest], part.schema))).select("query_id", key, "v", "q"))
+        for piece in pieces:
+            out = piece if out is None else out.unionByName(piece)
+    return _ranked(out.select("query_id", F.col(key).cast(kind).alias(key), by(F.col("v"), F.col("q")).alias("score")), k, key, ascending)
+
+
 def two_stage(vectors: DataFrame, reps: DataFrame, query: DataFrame, docs: int, sentences: int, by=cosine, carry: tuple[str, ...] = ()) -> DataFrame:
     """The best sentences of every question's best documents: (query_id, doc, id, rank, score), and columns of the sentences in ``carry``.
 
