@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
 from .text import lemma, sentences, token_array
+from .words import counter, weigher
 
 # Weights of a document's score, and those times 20 as whole numbers.
 COVERAGE, HITS = 0.8, 0.05
@@ -15,6 +16,8 @@ K1, B = 1.2, 0.75
 
 #: Terms of a question; its tables are broadcast.
 MOST_TERMS = 10_000
+#: Terms up to which a condition is written out, one comparison each.
+WRITTEN = 64
 
 
 def keyword_table(spark: SparkSession, words, raw: bool = False) -> DataFrame:
@@ -38,7 +41,9 @@ def known_terms(keywords: DataFrame) -> list[tuple[str, int, int]]:
 
 
 def matched(terms: Column, known: list[tuple[str, int, int]]) -> Column:
-    """Sum of the times of the known terms that an array of terms has, within the row."""
+    """Sum of the times of the known terms that an array of distinct terms has, within the row."""
+    if len(known) > WRITTEN:
+        return weigher({t: n for t, _, n in known})(terms)
     return sum((F.when(F.array_contains(terms, t), n).otherwise(0) for t, _, n in known), F.lit(0)).cast("long")
 
 
@@ -146,9 +151,14 @@ def parse_reply(reply: Column) -> tuple[Column, Column]:
 
 
 def regex_count(text: Column, words) -> Column:
-    """Non-overlapping whole-word matches, case-sensitive; no words, no matches."""
+    """Non-overlapping whole-word matches, case-sensitive; no words, no matches.
+
+    Long lists go through an automaton in place of an expression, with equal counts.
+    """
     if not words:
         return F.lit(0)
+    if len(words) > WRITTEN:
+        return counter(list(words))(text)
     return F.regexp_count(text, F.lit(r"(?U)\b(" + "|".join(rf"\Q{w}\E" for w in words) + r")\b"))
 
 

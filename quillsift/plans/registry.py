@@ -203,18 +203,18 @@ def stored_index(spark, sf_dir):
 
 
 def index_json(spark, sf_dir):
-    """The postings written as a JSON file for each document, and read again."""
+    """The postings written as a JSON map for each document, and read again."""
     path = new_path(spark, "index-json")
     posts = stored(spark, sf_dir)["postings"].select("doc_id", "term", F.col("sent_ids").alias("postings"))
-    files.write_named(files.index_json(posts).select(F.concat(F.lit("index_"), "doc_id").alias("name"), F.col("json").alias("text")), path)
-    return files.read_index_json(spark, path)
+    files.write_lines(files.index_json(posts).select(F.concat(F.lit("index_"), "doc_id").alias("name"), F.col("json").alias("text")), path)
+    return files.parsed_index(files.read_lines(spark, path))
 
 
 def raw_texts(spark, sf_dir):
-    """The documents written as text files of a folder, and the folder scanned."""
+    """The documents written as named texts, many to a file, and read again."""
     path = new_path(spark, "texts")
-    files.write_named(documents(spark, sf_dir).select(F.concat(F.lit("pdf_"), "doc_id").alias("name"), "text"), path)
-    return files.read_texts(spark, path).select("doc_id", F.regexp_replace("text", "\n\\z", "").alias("text"))
+    files.write_lines(documents(spark, sf_dir).select(F.concat(F.lit("pdf_"), "doc_id").alias("name"), "text"), path)
+    return files.read_lines(spark, path)
 
 
 def page_files(spark, sf_dir):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.text import file_number, html_lines
-from .shared import stamp
+from .shared import size
 
 STEM = r"([^/]+?)(\.[^./]*)?$"
 #: Files that write_named made have their name in their folder's.
@@ -26,8 +26,28 @@ def stem(path) -> F.Column:
     return F.when(named != "", named).otherwise(F.regexp_extract(path, STEM, 1))
 
 
+#: Names of an export; a store's table of names is no place for a corpus.
+MOST_FILES = 100_000
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """(name, text) -> JSON lines, many texts to a file."""
+    df.select("name", "text").write.mode("overwrite").json(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_lines`` wrote, as (doc_id, text): doc_id is the first number in the name."""
+    rows = spark.read.schema("name string, text string").json(path)
+    return rows.select(file_number(F.col("name")).alias("doc_id"), "text")
+
+
 def write_named(df: DataFrame, path: str) -> None:
-    """(name, text) -> a file for each name under ``path`` (in a folder name=...), which ends in a line end."""
+    """(name, text) -> an export: a file for each name under ``path`` (in a folder name=...), which ends in a line end.
+
+    More than MOST_FILES names raise; ``write_lines`` takes any number.
+    """
+    if df.select("name").distinct().limit(MOST_FILES + 1).count() > MOST_FILES:
+        raise ValueError(f"an export has at most {MOST_FILES} files")
     df.select("name", "text").repartition("name").sortWithinPartitions("name").write.mode("overwrite").partitionBy("name").text(path)
 
 
@@ -39,7 +59,7 @@ def spread(df: DataFrame, path: str, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores, key) if stamp(spark, path)[0] < cores * split else df
+    return df.repartition(cores, key) if size(spark, path) < cores * split else df
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -74,9 +94,12 @@ def read_pages(spark: SparkSession, path: str, parse: Callable[[bytes], list[str
 
 def read_index_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON maps term -> sentence ids, a file for each document -> (doc_id, term, postings)."""
-    whole = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", "map<string,array<int>>")
-    return whole.select(file_number(stem(F.col("_metadata.file_path"))).alias("doc_id"), F.explode(parsed).alias("term", "postings"))
+    return parsed_index(read_texts(spark, path))
+
+
+def parsed_index(texts: DataFrame) -> DataFrame:
+    """(doc_id, text: a JSON map term -> sentence ids) -> (doc_id, term, postings)."""
+    return texts.select("doc_id", F.explode(F.from_json("text", "map<string,array<int>>")).alias("term", "postings"))
 
 
 def index_json(index: DataFrame) -> DataFrame:

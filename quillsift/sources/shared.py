@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,20 +47,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
-    """Size and time of change of a file or folder."""
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder."""
     target, fs = _file_system(spark, path)
-    return fs.getContentSummary(target).getLength(), fs.getFileStatus(target).getModificationTime()
+    return fs.getContentSummary(target).getLength()
+
+
+def state(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of a file or folder from another: its files' names, lengths and times, as (number, bytes, hash).
+
+    Files are listed by Spark; none is opened.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    return tuple(listed.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
 
 
 @atexit.register
 def _clean_up() -> None:
-    """At the end of the program the folders of intermediate tables go."""
+    """At the end of the program the folders of intermediate tables go; where its JVM has ended before, they stay."""
     spark = SparkSession.getActiveSession()
     if spark is None or spark.sparkContext._jsc is None:
         return
-    for path in _folders:
-        delete(spark, path)
+    try:
+        for path in _folders:
+            delete(spark, path)
+    except (Py4JError, ConnectionError):
+        return
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -90,7 +103,7 @@ def discard(*tables: DataFrame) -> None:
 
 def kept(spark: SparkSession, source: str, tag: str, build) -> dict[str, DataFrame]:
     """The tables that ``build()`` gives, built once for a state of the source file or folder in this program."""
-    key = (spark.sparkContext.applicationId, source, tag, stamp(spark, source))
+    key = (spark.sparkContext.applicationId, source, tag, state(spark, source))
     if key not in _kept:
         _kept[key] = build()
     return _kept[key]

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillsift.operators import associations, impacts, keyword, lemmas, segment, tagger, text, vectors
+from quillsift.operators import associations, impacts, keyword, lemmas, segment, tagger, text, vectors, words
 
 
 def rows(df, *order):
@@ -104,12 +104,13 @@ def test_impacts_edges(spark, tmp_path):
     assert "sentence" not in plan and "text" not in plan
 
 
-def test_ranges_cover_blocks():
+def test_ranges_cover_blocks(spark):
     r = random.Random(0)
-    for _ in range(50):
-        blocks = [r.randrange(1000) for _ in range(r.randrange(1, 60))]
-        condition = str(impacts._within(blocks))
-        assert condition.count("AND") <= 2 * impacts.RANGES + 2
+    for n in (1, 2, 16, 17, 60):
+        blocks = sorted({r.randrange(1000) for _ in range(n)})
+        within = impacts._within(blocks)
+        kept = {x[0] for x in spark.range(1000).withColumnRenamed("id", "block").where(within).collect()}
+        assert set(blocks) <= kept and (n > impacts.RANGES or kept == set(blocks))
 
 
 # --- lemmas -------------------------------------------------------------------
@@ -259,3 +260,83 @@ def test_two_stage_over_stored_vectors(spark, tmp_path):
     assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString().lower()
     with pytest.raises(FileNotFoundError):
         vectors.load_sentences(spark, str(tmp_path / "none"))
+
+
+# --- dense search -------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("by", "ascending"), [(vectors.cosine, False), (vectors.dot, False), (vectors.l2_squared, True)])
+def test_matrix_products_give_the_exact_ranking(spark, monkeypatch, by, ascending):
+    r = random.Random(4)
+    pool = [[r.choice([0.0, 0.5, -1.0, 1 / 3]) for _ in range(3)] for _ in range(25)]
+    given = [(i, r.choice(pool)) for i in r.sample(range(10_000), 600)] + [(-1, [0.0, 0.0, 0.0])]
+    if by is not vectors.l2_squared:
+        given += [(20_000, None), (20_001, [1.0]), (20_002, [float("nan"), 1.0, 1.0]), (20_003, [])]
+    df = spark.createDataFrame(given, "id long, vector array<double>").repartition(5)
+    query = spark.createDataFrame([(0, [1.0, 0.5, -0.2]), (1, [0.0, 0.0, 0.0]), (2, pool[0])], "query_id int, q array<double>")
+    monkeypatch.setattr(vectors.dense, "CELLS", 100)
+    for k in (1, 7, 1000):
+        found = rows(vectors.nearest(df, query, k, by, ascending).select("query_id", "rank", "id", "score"), "query_id", "rank")
+        with monkeypatch.context() as m:
+            m.setattr(vectors.dense, "METRICS", ())
+            plain = rows(vectors.nearest(df, query, k, by, ascending).select("query_id", "rank", "id", "score"), "query_id", "rank")
+        assert repr(found) == repr(plain)
+
+
+def test_equal_vectors_take_k_places():
+    found = vectors.dense.Nearest(np.array([[1.0, 0.0], [0.6, 0.8]]), 3, "cosine")
+    for at in range(0, 100_000, 10_000):
+        found.add(np.arange(at, at + 10_000)[::-1].copy(), np.tile([[0.3, 0.4]], (10_000, 1)))
+    assert len(found.held[0]) == 6 and sorted(found.held[1].tolist()) == [0, 0, 1, 1, 2, 2]
+
+
+def test_questions_in_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(50)], "id int, vector array<float>")
+    query = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "query_id int, q array<double>")
+    whole = rows(vectors.nearest(df, query, 4), "query_id", "rank")
+    monkeypatch.setattr(vectors, "QUESTIONS", 2)
+    assert rows(vectors.nearest(df, query, 4), "query_id", "rank") == whole and len(whole) == 36
+
+
+# --- many words ---------------------------------------------------------------
+
+
+def test_many_words_equal_the_expression(spark, monkeypatch):
+    r = random.Random(6)
+    listed = ["a", "ab", "a.b", ".x", "né", "é", "漢字", "a b", "b_", "1"]
+    texts = ["".join(r.choices(["a", "b", ".", "x", " ", "é", "n", "漢字", "_", "1", "-", "\n", "e\u0301"], k=r.randrange(14))) for _ in range(1500)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    expected = rows(df.select("i", keyword.regex_count(F.col("t"), listed)), "i")
+    assert sum(n or 0 for _, n in expected) > 500
+    monkeypatch.setattr(keyword, "WRITTEN", 0)
+    assert rows(df.select("i", keyword.regex_count(F.col("t"), listed)), "i") == expected
+
+
+def test_ten_thousand_words(spark):
+    listed = [f"w{i}" for i in range(10_000)]
+    df = spark.createDataFrame([("w1 w12 xw3 w9999, w10000 w1",)], "t string")
+    assert df.select(keyword.regex_count(F.col("t"), listed)).first()[0] == 4
+    known = [(t, i, 1 + i % 2) for i, t in enumerate(listed)]
+    assert df.select(keyword.matched(F.array(F.lit("w1"), F.lit("w2"), F.lit("zz")), known)).first()[0] == 3
+    assert df.select(keyword.matched(F.array(F.lit("w1"), F.lit("w2"), F.lit("zz")), known[:60])).first()[0] == 3
+
+
+# --- kept tables and files ----------------------------------------------------
+
+
+def test_tables_are_kept_by_the_list_of_files(spark, tmp_path):
+    import os
+
+    from quillsift.sources import files, shared
+
+    path = tmp_path / "t"
+    spark.range(10).coalesce(1).write.parquet(str(path))
+    (part,) = [p for p in path.iterdir() if p.name.startswith("part-")]
+    before = shared.state(spark, str(path))
+    assert shared.state(spark, str(path)) == before and before[0] == 1
+    os.utime(part, (1, 1))  # the folder's time and the size stay
+    assert shared.state(spark, str(path)) != before
+    assert shared.state(spark, str(part))[0] == 1
+    df = spark.createDataFrame([("pdf_7", "a\nb \"c\""), ("x", None)], "name string, text string")
+    files.write_lines(df, str(tmp_path / "lines"))
+    assert rows(files.read_lines(spark, str(tmp_path / "lines")), "doc_id") == [(7, "a\nb \"c\""), (2**63 - 1, None)]
