@@ -109,7 +109,7 @@ def fit(docs: DataFrame, learn, sample: int = SAMPLE, total: int = TOTAL) -> Mod
     The rows are drawn by a hash of the text, about ``sample`` for each
     language (all, where there are fewer), and fewer of each where there are so
     many languages that these would be more than ``total``; no language is left
-    out.  Equal texts count once.  Only the features of these rows come to the driver, as the numbers
+    out.  Equal texts count once, before anything is collected.  Only the features of these rows come to the driver, as the numbers
     that are not zero.  Texts without a letter teach nothing.
     """
     small_batches(docs.sparkSession)
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, learn, sample: int = SAMPLE, total: int = TOTAL) -> Mod
         return None
     sample = min(sample, max(LEAST, total // len(counts)))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]))])
-    drawn = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6 < share[F.col("lang")])
+    drawn = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6 < share[F.col("lang")]).dropDuplicates(["lang", "text"])
 
     def run(batches):
         for b in batches:

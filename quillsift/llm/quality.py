@@ -131,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE, text_co
     """Learn labels.quality of the documents where ``learn`` (a condition on doc_id) holds.
 
     The documents are drawn by a hash of their id, about ``sample`` in all;
-    only their features come to the driver.  Null labels, and labels without a
+    only their features come to the driver.  Of several rows of an id the one
+    of the smallest text hash teaches, so a repeated id is one document.  Null labels, and labels without a
     document, count nowhere; equal labels of a document count once, unlike
     ones each.  Extra columns are not read.  None if nothing is labelled.
     """
@@ -141,7 +142,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE, text_co
     if not total:
         return None
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6 < min(1.0, sample / total))
-    rows = docs.select(F.col("doc_id"), *_picked(docs, text_col, metadata)).join(small_side(drawn), "doc_id")
+    found = docs.select(F.col("doc_id"), *_picked(docs, text_col, metadata)).join(small_side(drawn), "doc_id")
+    fields = [c for c in found.columns if c not in ("doc_id", "quality")]
+    first = found.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), *fields)).alias("first"))
+    rows = first.select("doc_id", "quality", "first.*")
 
     def run(batches):
         for b in batches:

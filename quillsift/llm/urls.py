@@ -30,6 +30,8 @@ SUFFIXES = tuple(
 Z = 1.645
 LIMIT = 0.5
 BESIDE_HOST = r"^.*@|:[0-9]*$"
+#: Addresses, which have no labels to share a reputation by: each is its own domain and suffix.
+ADDRESS = r"^([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*\])$"
 #: Bounds of a prior's strength in trials, which also hold where rates do not spread at all.
 STRENGTH = (2.0, 1000.0)
 
@@ -48,15 +50,15 @@ def bare_host(host) -> F.Column:
 
 
 def domain_of(host, suffixes=SUFFIXES) -> F.Column:
-    """The registered domain: the public suffix and one label more."""
+    """The registered domain: the public suffix and one label more; an address is whole."""
     two = F.substring_index(bare_host(host), ".", -2)
-    return F.when(two.isin(*suffixes), F.substring_index(bare_host(host), ".", -3)).otherwise(two)
+    return F.when(bare_host(host).rlike(ADDRESS), bare_host(host)).when(two.isin(*suffixes), F.substring_index(bare_host(host), ".", -3)).otherwise(two)
 
 
 def suffix_of(host, suffixes=SUFFIXES) -> F.Column:
-    """The public suffix: two labels if ``suffixes`` has them, else the last label."""
+    """The public suffix: two labels if ``suffixes`` has them, else the last label; an address is whole."""
     two = F.substring_index(bare_host(host), ".", -2)
-    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(bare_host(host), ".", -1))
+    return F.when(bare_host(host).rlike(ADDRESS), bare_host(host)).when(two.isin(*suffixes), two).otherwise(F.substring_index(bare_host(host), ".", -1))
 
 
 def rule_match(host, path, rules=RULES) -> F.Column:
@@ -166,7 +168,7 @@ def _sql() -> str:
     bare = f"regexp_replace({{0}}, '{BESIDE_HOST}', '', 'g')"
     tail = lambda n: f"array_to_string(list_slice(string_split({bare}, '.'), -{n}, -1), '.')"
     double = f"{tail(2)} IN ({', '.join(repr(x) for x in SUFFIXES)})"
-    last = lambda n: f"CASE WHEN {double} THEN {tail(n + 1)} ELSE {tail(n)} END"
+    last = lambda n: f"CASE WHEN regexp_matches({bare}, '{ADDRESS}') THEN {bare} WHEN {double} THEN {tail(n + 1)} ELSE {tail(n)} END"
     prior = "(SELECT (sum(k) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) FROM hosts)"
     whole = f"SELECT c.key, c.n::DOUBLE AS n, c.k::DOUBLE AS k, {prior} AS mean FROM ({{counts}}) c"
     return rf"""

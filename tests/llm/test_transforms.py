@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillsift.llm import codes, fim, licenses
+from quillsift.llm import codes, fim, langid, licenses, quality, urls
 
 DOC = "doc_id long, text string, n long, form string, x string, h string, matches string"
 
@@ -204,3 +204,28 @@ def test_vector_codes_of_a_hot_value(spark, monkeypatch):
     assert of() == first
     monkeypatch.setattr(codes, "HOT", 1)
     assert of() == first
+
+
+# --- repeated rows and addresses ------------------------------------------------
+
+
+def test_repeated_rows_teach_once(spark, monkeypatch):
+    texts = [("en", "the cat and the dog of the house"), ("fr", "le chat et le chien de la maison")]
+    docs = spark.createDataFrame([(i, *texts[i % 2]) for i in range(400)], "doc_id long, lang string, text string")
+    sizes = []
+    made = langid.Model.__init__
+    monkeypatch.setattr(langid.Model, "__init__", lambda self, x, langs: sizes.append(len(x)) or made(self, x, langs))
+    assert langid.fit(docs, F.lit(True), sample=500) is not None and sizes == [2]
+    rows = [(1, "a good text here", 16), (1, "another text", 12)] * 200 + [(2, None, 0), (3, "x" * 50, 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, None)], "doc_id long, quality int")
+    seen = []
+    learn = quality.FactorisationMachine.fit
+    monkeypatch.setattr(quality.FactorisationMachine, "fit", lambda self, x, y: seen.append(len(x)) or learn(self, x, y))
+    assert quality.fit(docs, labels, F.lit(True)) is not None and seen == [2]
+
+
+def test_addresses_share_no_domain(spark):
+    given = ["1.2.3.4", "9.9.3.4:80", "u@1.2.3.4", "[::1]:8080", "a.b.co.uk", "3.4"]
+    rows = spark.createDataFrame([(h,) for h in given], "h string").select(urls.domain_of(F.col("h")), urls.suffix_of(F.col("h"))).collect()
+    assert [tuple(r) for r in rows] == [("1.2.3.4", "1.2.3.4"), ("9.9.3.4", "9.9.3.4"), ("1.2.3.4", "1.2.3.4"), ("[::1]", "[::1]"), ("b.co.uk", "co.uk"), ("3.4", "4")]
