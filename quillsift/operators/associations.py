@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.index import CODEC
 from ..sources.shared import exists, materialize, small_side
 from .text import token_array
 
@@ -44,6 +45,13 @@ def cooccurrences(sents: DataFrame, window: int = WINDOW, text_col: str = "sente
     return pairs.select(F.explode(sides).alias("x")).select("x.*")
 
 
+def neighbour_totals(sents: DataFrame, window: int = WINDOW, text_col: str = "sentence") -> DataFrame:
+    """(term, n): the sum of a term's row of counts, from its places alone."""
+    tokens = sents.select(token_array(F.col(text_col)).alias("t")).where(F.size("t") > 1)
+    beside = lambda x, i: F.struct(x.alias("term"), (F.least(i, F.lit(window)) + F.least(F.size("t") - 1 - i, F.lit(window))).alias("n"))
+    return tokens.select(F.explode(F.transform("t", beside)).alias("x")).groupBy("x.term").agg(F.sum("x.n").alias("n"))
+
+
 def build(sents: DataFrame, path: str, window: int = WINDOW, text_col: str = "sentence") -> dict[str, DataFrame]:
     """sents(sentence) -> tables under ``path``.
 
@@ -52,14 +60,15 @@ def build(sents: DataFrame, path: str, window: int = WINDOW, text_col: str = "se
     """
     spark = sents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = materialize(cooccurrences(sents, window, text_col), "neighbours")
-    totals = materialize(counts.groupBy("term").agg(F.sum("n").alias("n")), "term-totals")
+    totals = materialize(neighbour_totals(sents, window, text_col), "term-totals")
     whole = totals.agg(F.sum("n")).first()[0] or 0
     side = small_side(totals)
     of = lambda name: side.select(F.col("term").alias(name), F.col("n").alias(f"n_{name}"))
     lift = F.col("n").cast("double") * F.lit(float(whole)) / (F.col("n_term").cast("double") * F.col("n_ctx"))
+    counts = cooccurrences(sents, window, text_col)
     weights = counts.join(of("term"), "term").join(of("ctx"), "ctx").select("ctx", "term", F.log(lift).alias("w")).where("w > 0")
-    materialize(weights, "weights").repartitionByRange(parts, "ctx", "term").sortWithinPartitions("ctx", "term").write.mode("overwrite").parquet(f"{path}/weights")
+    # Dealing by range samples the result of the shuffle that counts pairs; the pairs are not made again.
+    weights.repartitionByRange(parts, "ctx", "term").sortWithinPartitions("ctx", "term").write.option("compression", CODEC).mode("overwrite").parquet(f"{path}/weights")
     stored = spark.read.parquet(f"{path}/weights")
     lengths = stored.groupBy("term").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     totals.join(lengths, "term", "left").fillna(0.0, ["length"]).write.mode("overwrite").parquet(f"{path}/terms")

@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.index import CODEC
 from ..sources.shared import discard, exists, materialize, small_side
 from .keyword import K1, B
 
@@ -45,7 +46,7 @@ def build(units: DataFrame, keys: list[str], path: str, block: int = BLOCK) -> d
     """units(keys, terms: every token of the unit) -> tables under ``path``.
 
     * units(keys, dl, block), stats(units, average): lengths, the number of units and their mean;
-    * postings(term, block, hits), by range of term and block: hits has (key, tf, dl) of at most ``block`` units;
+    * postings(term, block, hits, most), by range of term and block: hits has (key, tf, dl) of at most ``block`` units;
     * maxima(term, block, n, most): the units of a row of postings and the largest impact among them.
     """
     spark = units.sparkSession
@@ -60,11 +61,11 @@ def build(units: DataFrame, keys: list[str], path: str, block: int = BLOCK) -> d
     tokens = lists.where(F.size("terms") > 0).join(placed, "key").select("block", "key", "dl", F.explode("terms").alias("term"))
     counts = tokens.groupBy("term", "block", "key", "dl").agg(F.count("*").alias("tf"))
     hits = F.sort_array(F.collect_list(F.struct("key", "tf", "dl")))  # of one block
-    rows = materialize(counts.groupBy("term", "block").agg(hits.alias("hits"), F.max(_impact(F.col("tf"), F.col("dl"), average)).alias("most")), "impact-rows")
+    rows = counts.groupBy("term", "block").agg(hits.alias("hits"), F.max(_impact(F.col("tf"), F.col("dl"), average)).alias("most"))
     near = rows.repartitionByRange(parts, "term", "block").sortWithinPartitions("term", "block")
-    near.select("term", "block", "hits").write.option("parquet.block.size", GROUP_BYTES).mode("overwrite").parquet(f"{path}/postings")
-    near.select("term", "block", F.size("hits").cast("long").alias("n"), "most").write.mode("overwrite").parquet(f"{path}/maxima")
-    discard(lists, rows)
+    near.write.option("parquet.block.size", GROUP_BYTES).option("compression", CODEC).mode("overwrite").parquet(f"{path}/postings")
+    discard(lists)
+    spark.read.parquet(f"{path}/postings").select("term", "block", F.size("hits").cast("long").alias("n"), "most").write.mode("overwrite").parquet(f"{path}/maxima")
     return load(spark, path)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.text import sentences, token_array
-from .shared import discard, exists, materialize
+from .shared import exists
 
 TABLES = ("documents", "sentences", "postings")
 
@@ -20,19 +20,41 @@ def build(docs: DataFrame, path: str, **how) -> dict[str, DataFrame]:
       question's terms read few row groups and a frequent term is many ranges.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # files of each table, which later scans share out
+    n = files_of(spark)
     docs.select("doc_id").write.mode("overwrite").parquet(f"{path}/documents")
-    # Written first: dealing by range samples what it deals, and would split every text twice.
-    split = materialize(sentences(docs, **how).withColumn("terms", F.array_distinct(token_array(F.col("sentence")))), "sentences")
-    split.repartitionByRange(n, "doc_id", "sent_id").sortWithinPartitions("doc_id", "sent_id").write.mode("overwrite").parquet(f"{path}/sentences")
-    discard(split)
-    stored = spark.read.parquet(f"{path}/sentences").select("doc_id", "sent_id", F.explode("terms").alias("term"))
-    posts = materialize(stored.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("sent_id")).alias("sent_ids")), "postings")  # those of one document
-    posts.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    discard(posts)
+    # The documents are dealt, not their sentences: dealing by range samples what it deals, and would split every text twice.
+    dealt = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    split = sentences(dealt, **how).withColumn("terms", F.array_distinct(token_array(F.col("sentence"))))
+    split.write.option("compression", CODEC).mode("overwrite").parquet(f"{path}/sentences")
+    write_postings(spark, path)
     return load(spark, path)
 
 
+#: Sentences and their terms are texts twice over, which this codec makes small.
+CODEC = "zstd"
+
+
+def files_of(spark: SparkSession) -> int:
+    """Files of each table, which later scans share out."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def write(docs: DataFrame, split: DataFrame, path: str) -> None:
+    """docs(doc_id) and split(doc_id, sent_id, sentence, terms), a written table, as the tables of ``build``."""
+    spark = docs.sparkSession
+    docs.select("doc_id").write.mode("overwrite").parquet(f"{path}/documents")
+    dealt = split.repartitionByRange(files_of(spark), "doc_id", "sent_id").sortWithinPartitions("doc_id", "sent_id")
+    dealt.write.option("compression", CODEC).mode("overwrite").parquet(f"{path}/sentences")
+    write_postings(spark, path)
+
+
+def write_postings(spark: SparkSession, path: str) -> None:
+    """The postings of the stored sentences; what their dealing samples is the result of a shuffle, and not computed again."""
+    stored = spark.read.parquet(f"{path}/sentences").select("doc_id", "sent_id", F.explode("terms").alias("term"))
+    posts = stored.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("sent_id")).alias("sent_ids"))  # those of one document
+    posts.repartitionByRange(files_of(spark), "term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("compression", CODEC).mode("overwrite").parquet(f"{path}/postings")
+
+
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of an index; raises FileNotFoundError where one was not written to its end."""
     for name in TABLES:

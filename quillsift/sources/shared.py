@@ -47,6 +47,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it is not there."""
+    target, fs = _file_system(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(target)] if fs.exists(target) else []
+
+
 def size(spark: SparkSession, path: str) -> int:
     """Bytes of a file or folder."""
     target, fs = _file_system(spark, path)
