@@ -252,5 +252,6 @@ SELECT doc_id, coalesce(coverage, 0)::BIGINT AS coverage, coalesce(total, 0)::BI
     "embed_sentences": f"WITH RECURSIVE {SENTENCES}, {EMBEDDED} SELECT doc_id, sent_id, i, x FROM emb",
     "two_stage_question": f"WITH RECURSIVE {asked(3, 3)} SELECT rank::INT AS rank, doc_id, sent_id, round(score, 4) AS score FROM found",
     "streaming_ingest": REP_ROWS,
+    "ingest_documents": f"WITH RECURSIVE {SENTENCES}, {POSTS} SELECT doc_id, term, list(sent_id ORDER BY sent_id) AS postings FROM posts WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) GROUP BY ALL",
 }
 ORACLES["flat_index"] = ORACLES["knn_cosine"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import associations, context, impacts, keyword, lemmas, segment, tagger, text, topics, vectors
 from ..sources import files, index
 from ..sources.shared import kept, materialize, new_path
-from ..streaming import ingest
+from ..streaming import ingest, live
 
 KEYWORDS = ["tion", "the", "of", "bles", "zeta", "the", "que"]
 QUESTION = "the ble of the tion and que"
@@ -573,6 +573,26 @@ def streaming_ingest(spark, sf_dir):
     return ingest.representatives(spark, f"{out}/reps").select("doc", F.posexplode(rounded(F.col("rep"))).alias("i", "x"))
 
 
+def ingest_documents(spark, sf_dir):
+    """The documents streamed into a live index, compacted between: all of them, labelled ones with a line more; those again as they are; the toxic ones deleted."""
+    out = new_path(spark, "live")
+    docs, labels = documents(spark, sf_dir), read(spark, sf_dir, "labels")
+    labelled, toxic = labels.select("doc_id").distinct(), labels.where("toxic = 1").select("doc_id").distinct()
+    known = docs.join(labelled.withColumn("known", F.lit(True)), "doc_id", "left")
+    batches = (
+        known.select("doc_id", F.when(F.col("known"), F.concat("text", F.lit("\nA line that goes again."))).otherwise(F.col("text")).alias("text")),
+        docs.join(labelled, "doc_id", "left_semi"),
+        toxic.select("doc_id", F.lit(None).cast("string").alias("text")),
+    )
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{out}/given")
+        stream = spark.readStream.schema(batch.schema).parquet(f"{out}/given")
+        live.ingest(stream, f"{out}/index", f"{out}/checkpoint").awaitTermination()
+        if batch is batches[1]:
+            live.compact(spark, f"{out}/index")
+    return live.postings(spark, f"{out}/index").select("doc_id", "term", F.col("sent_ids").alias("postings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -584,7 +604,7 @@ QUERIES = {
         normalize_vectors, rep_mean, rep_adaptive_pca, rep_pca_kmeans, pca_dim, elbow_k, cluster_weights, rep_append,
         doc_similarity_topk, knn_cosine, knn_l2, sentences_for_docs, two_stage_mean, two_stage_adaptive, two_stage_kmeans,
         two_stage_adaptive_context, two_stage_kmeans_context, stored_reps, flat_index,
-        tfidf, topic_members, topic_vocabulary, topic_centroids, topic_match, topic_context, topic_clusters, embed_sentences, two_stage_question, streaming_ingest,
+        tfidf, topic_members, topic_vocabulary, topic_centroids, topic_match, topic_context, topic_clusters, embed_sentences, two_stage_question, streaming_ingest, ingest_documents,
     )
 }
 
