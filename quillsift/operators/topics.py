@@ -82,22 +82,6 @@ def match(question: DataFrame, vocab: DataFrame, cents: DataFrame) -> DataFrame:
     return dots.join(lengths, "topic").select("topic", F.round(F.col("dot") / F.col("length"), 6).alias("sim"))
 
 
-def clusters(units: DataFrame, key: str, k: int, text_col: str = "text", features: int = 4096, seed: int = 42) -> DataFrame:
-    """(key, topic) by K-Means on hashed TF-IDF vectors."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-
-    stages = [
-        RegexTokenizer(inputCol=text_col, outputCol="t", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
-        HashingTF(inputCol="t", outputCol="tf", numFeatures=features),
-        IDF(inputCol="tf", outputCol="idf"),
-        Normalizer(inputCol="idf", outputCol="features"),
-        KMeans(k=k, seed=seed, maxIter=10, predictionCol="topic"),
-    ]
-    return Pipeline(stages=stages).fit(units).transform(units).select(key, "topic")
-
-
 def embed(units: DataFrame, *keys: str, text_col: str = "text", dims: int = 64, embedder=None) -> DataFrame:
     """(keys, vector) within the row: by default a hashed bag of words of unit length, a deterministic stand-in for a neural embedder.
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillsift.functions.plugins import embedder_plugin, splitter_plugin, text_plugin, validator_plugin
-from quillsift.operators import context, keyword, text, topics, vectors
+from quillsift.operators import clusters, context, keyword, text, topics, vectors
 from quillsift.plans import oracles, registry
 from quillsift.sources import files, index
 from quillsift.streaming import ingest
@@ -310,7 +310,7 @@ def test_pca_dims_equal_a_full_decomposition(spark):
 
 def test_topic_clusters_part_unlike_documents(spark):
     docs = spark.createDataFrame([(i, ("red apple tree fruit " if i % 2 else "blue sky cloud rain ") * 5) for i in range(20)], "doc_id long, text string")
-    got = {r["doc_id"]: r["topic"] for r in topics.clusters(docs, "doc_id", 2).collect()}
+    got = {r["doc_id"]: r["topic"] for r in clusters.topic_model(docs, "doc_id", 2)[0].collect()}
     assert len({got[i] for i in range(0, 20, 2)}) == len({got[i] for i in range(1, 20, 2)}) == 1 and got[0] != got[1]
 
 

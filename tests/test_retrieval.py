@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillsift.operators import associations, impacts, keyword, lemmas, segment, tagger, text, vectors, words
+from quillsift.operators import associations, clusters, impacts, keyword, lemmas, segment, tagger, text, vectors, words
 
 
 def rows(df, *order):
@@ -340,3 +340,46 @@ def test_tables_are_kept_by_the_list_of_files(spark, tmp_path):
     df = spark.createDataFrame([("pdf_7", "a\nb \"c\""), ("x", None)], "name string, text string")
     files.write_lines(df, str(tmp_path / "lines"))
     assert rows(files.read_lines(spark, str(tmp_path / "lines")), "doc_id") == [(7, "a\nb \"c\""), (2**63 - 1, None)]
+
+
+# --- topics -------------------------------------------------------------------
+
+
+def plain_lloyd(units, centres, steps):
+    """Spherical steps over dense rows: (centres, labels, cost)."""
+    x = np.array(units)
+    for _ in range(steps + 1):
+        near = (x @ centres.T / clusters.UNIT).round(9)
+        labels = near.argmax(axis=1)
+        moved = np.stack([clusters._unit(x[labels == c].sum(axis=0)) if (labels == c).any() else centres[c] for c in range(len(centres))])
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    return centres, labels, (1 - near.max(axis=1)).sum()
+
+
+def test_starts_by_brute_force(spark):
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(r.choices([f"{'xyz'[i % 3]}{j}" for j in range(6)] + ["common"], k=12))) for i in range(90)] + [(90, ""), (91, None), (92, "the of")], "doc_id long, text string")
+    units = clusters.unit_vectors(docs, "doc_id", features=64).cache()
+    held = {x["doc_id"]: clusters._dense(x["at"], x["x"], 64) for x in units.collect()}
+    assert len(held) == 93 and not held[90].any() and all(abs(np.linalg.norm(v) / clusters.UNIT - 1) < 1e-5 for i, v in held.items() if i < 90)
+    first = clusters.seed(units, 3, "doc_id", starts=4, features=64)
+    assert first.shape == (4, 3, 64) and np.allclose(np.linalg.norm(first, axis=2), 1)
+    assert np.array_equal(first, clusters.seed(units.repartition(5), 3, "doc_id", starts=4, features=64))
+    rows_ = [v for i, v in sorted(held.items()) if i < 90]
+    plain = [plain_lloyd(rows_, c, 20) for c in first]
+    found = clusters.fit(units.repartition(3), 3, "doc_id", features=64, first=first)
+    assert found.costs == pytest.approx([p[2] for p in plain], abs=1e-3)
+    assert found.best == int(np.argmin(np.round([p[2] for p in plain], 3))) or min(found.costs) == pytest.approx(found.costs[found.best], abs=1e-3)
+    assert np.allclose(found.centres, plain[found.best][0], atol=1e-9)
+    labels = {x["doc_id"]: (x["topic"], x["similarity"]) for x in clusters.assign(units, found, "doc_id").collect()}
+    assert [labels[i][0] for i in range(90)] == plain[found.best][1].tolist() and labels[90] == labels[91] == labels[92] == (0, 0.0)
+    assert len({tuple(labels[i][0] for i in range(c, 90, 3)) for c in range(3)}) == 3  # each vocabulary is a topic
+
+
+def test_topics_of_few_units(spark):
+    docs = spark.createDataFrame([(1, "one word"), (2, "one word"), (3, "")], "doc_id long, text string")
+    found, model = clusters.topic_model(docs, "doc_id", 5, starts=2)
+    assert len({r["topic"] for r in found.where("doc_id < 3").collect()}) == 1 and found.count() == 3 and max(model.costs) < 1e-3
+    assert clusters.topic_model(docs.limit(0), "doc_id", 2, starts=2)[0].count() == 0
