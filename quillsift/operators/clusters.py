@@ -180,13 +180,11 @@ def _sums(units: DataFrame, centres: list[np.ndarray], sums: bool = True) -> tup
         yield pa.RecordBatch.from_pydict({"c": pa.array(what, pa.int32()), "i": pa.array(place, pa.int32()), "x": pa.array(np.concatenate([total[c, i], count[one], cost]), pa.int64())})
 
     total, count, cost = np.zeros(held.shape), np.zeros(len(held)), np.zeros(len(centres))
-    for r in units.select("at", "x").mapInArrow(add, "c int, i int, x long").groupBy("c", "i").agg(F.sum("x").alias("x")).toLocalIterator():
-        if r["i"] == -1:
-            count[r["c"]] = r["x"]
-        elif r["i"] == -2:
-            cost[r["c"]] = r["x"] / UNIT
-        else:
-            total[r["c"], r["i"]] = r["x"]
+    found = units.select("at", "x").mapInArrow(add, "c int, i int, x long").groupBy("c", "i").agg(F.sum("x").alias("x")).toArrow()  # a row for each number of the centres at most
+    c, i, x = (found.column(name).to_numpy() for name in ("c", "i", "x"))
+    total[c[i >= 0], i[i >= 0]] = x[i >= 0]
+    count[c[i == -1]] = x[i == -1]
+    cost[c[i == -2]] = x[i == -2] / UNIT
     return [total[a:b] for a, b in zip(begins, ends)], [count[a:b] for a, b in zip(begins, ends)], cost.tolist()
 
 
