@@ -195,6 +195,7 @@ ORACLES = {
     "index_json": f"WITH RECURSIVE {SENTENCES}, {POSTS} SELECT doc_id, term, list(sent_id ORDER BY sent_id) AS postings FROM posts GROUP BY ALL",
     "raw_texts": "SELECT doc_id, text FROM documents WHERE trim(text) <> ''",
     "page_files": positions("pages", "page_id", HTML_LINES, ("line_no", "line")),
+    "pdf_blocks": positions("pages", "page_id", HTML_LINES, ("line_no", "line")),
     "assemble_pages": f"SELECT page_id % 50 AS doc_id, string_agg(line, chr(10) ORDER BY page_id, line_no) AS text FROM ({positions('pages', 'page_id', HTML_LINES, ('line_no', 'line'))}) GROUP BY ALL",
     "unpaired_documents": "(SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) UNION ALL (SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))",
     "term_sentence_freq": f"WITH RECURSIVE {SENTENCES}, {POSTS} SELECT doc_id, term, count(*)::BIGINT AS sentences FROM posts GROUP BY ALL",

@@ -7,10 +7,11 @@ stored index and topic tables, which are built once for a state of the table.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import associations, clusters, context, impacts, keyword, lemmas, segment, tagger, text, topics, vectors
-from ..sources import files, index
+from ..sources import files, index, pdf
 from ..sources.shared import kept, materialize, new_path
 from ..streaming import ingest, live
 
@@ -224,6 +225,18 @@ def page_files(spark, sf_dir):
     return files.read_pages(spark, path).select(F.col("doc_id").alias("page_id"), "line_no", "line")
 
 
+def pdf_blocks(spark, sf_dir):
+    """The pages' blocks made into PDF files of 50 lines a page, and read from those."""
+
+    @F.pandas_udf("binary")
+    def pdf_of(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda x: pdf.made_of(list(x), 50))
+
+    lines = materialize(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), text.html_lines(F.col("html")).alias("lines")), "lines")
+    written = materialize(lines.where("lines IS NOT NULL").select("doc_id", pdf_of("lines").alias("content")), "pdf")
+    return pdf.parsed(written).where("error IS NULL").select(F.col("doc_id").alias("page_id"), (50 * F.col("page") + F.col("line_no")).alias("line_no"), "line")
+
+
 def assemble_pages(spark, sf_dir):
     """Pages as those of 50 documents, in order."""
     blocks = text.page_blocks(read(spark, sf_dir, "pages")).select((F.col("page_id") % 50).alias("doc_id"), F.col("page_id").alias("page"), "line_no", "line")
@@ -598,7 +611,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_blocks, clean_lines, clean_text, lemma_tokens, lemma_edits, edited_sentences, split_sentences, tagged_sentences, tagger_sentences, valid_tokens, chunk_text, dedup_sentences, file_number,
-        inverted_index, merge_postings, term_sentence_freq, stored_index, index_json, raw_texts, page_files, assemble_pages, unpaired_documents,
+        inverted_index, merge_postings, term_sentence_freq, stored_index, index_json, raw_texts, page_files, pdf_blocks, assemble_pages, unpaired_documents,
         keyword_doc_score, keyword_doc_rank, keyword_doc_share, keyword_sentence_count, keyword_global_count, keyword_intersection, keyword_concat,
         associated_keywords, associated_doc_score, missing_keywords, extract_keywords, segmented_keywords, parse_keyword_reply, regex_keyword_count,
         pack_context, keyword_context, build_prompt, bm25_doc_score, bm25_sentence_score, bm25_top_documents, bm25_top_sentences,
