@@ -1,7 +1,7 @@
 """Ranked retrieval with early end: BM25 from stored impact blocks.
 
-Units (documents, or sentences) are dealt to blocks of BLOCK in order of their
-length.  A row of the postings is one term in one block, with each unit's term
+Units (documents, or sentences) of like length are dealt to blocks of about
+BLOCK.  A row of the postings is one term in one block, with each unit's term
 frequency and length; beside it stands the largest impact there, which a table
 of its own repeats.  A question adds up the largest impacts of its terms to a
 bound for each block, scores the blocks with the highest bounds, and goes on only
@@ -12,6 +12,7 @@ k best and the numbers of at most a wave's blocks.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,8 +22,8 @@ from ..sources.index import CODEC
 from ..sources.shared import discard, exists, materialize, small_side
 from .keyword import K1, B
 
-#: Units of a block, a power of two, so that no block is cut by a partition's numbers.
-BLOCK = 128
+#: Units of a block, about, and classes of lengths for each doubling.
+BLOCK, CLASSES = 128, 4
 #: Blocks of the first waves; the last one takes all that can still matter.
 WAVES = (32, 256)
 #: Ranges of block numbers that a scan is given.
@@ -42,29 +43,50 @@ def _idf(n: int) -> Column:
     return F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
+def counted(units: DataFrame, keys: list[str]) -> DataFrame:
+    """units(keys, terms) -> (key, dl, counts: array of (term, tf)), within the row, in Arrow batches."""
+    given = units.select(F.struct(*keys).alias("key"), "terms")
+
+    def run(batches):
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+        for batch in batches:
+            lists = batch.column("terms").to_pylist()
+            found = [[{"term": t, "tf": n} for t, n in Counter(terms or ()).items()] for terms in lists]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(terms or ()) for terms in lists], pa.int32()), pa.array(found, kind)], names=["key", "dl", "counts"])
+
+    return given.mapInArrow(run, f"key {given.schema['key'].dataType.simpleString()}, dl int, counts array<struct<term: string, tf: long>>")
+
+
 def build(units: DataFrame, keys: list[str], path: str, block: int = BLOCK) -> dict[str, DataFrame]:
     """units(keys, terms: every token of the unit) -> tables under ``path``.
 
-    * units(keys, dl, block), stats(units, average): lengths, the number of units and their mean;
-    * postings(term, block, hits, most), by range of term and block: hits has (key, tf, dl) of at most ``block`` units;
+    * units(key, dl, block), stats(units, average): lengths, the number of units and their mean;
+    * postings(term, block, hits, most), by range of term and block: hits has (key, tf, dl) of a block's units;
     * maxima(term, block, n, most): the units of a row of postings and the largest impact among them.
+
+    A block is a class of lengths and a share of it by hash, so that a unit's
+    block follows from its row; it has about ``block`` units.  The postings
+    are dealt by one shuffle, by the range that they are stored in.
     """
     spark = units.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = materialize(units.select(F.struct(*keys).alias("key"), "terms"), "token-lists")
-    ordered = lists.select("key", F.size("terms").alias("dl")).repartitionByRange(parts, "dl", "key").sortWithinPartitions("dl", "key")
-    ordered.select("key", "dl", F.floor(F.monotonically_increasing_id() / block).alias("block")).write.mode("overwrite").parquet(f"{path}/units")
-    placed = spark.read.parquet(f"{path}/units")
-    n, total = placed.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    rows = materialize(counted(units, keys), "unit-counts")
+    size = F.floor(CLASSES * F.log2(1.0 + F.col("dl"))).cast("int")
+    classes = rows.groupBy(size.alias("class")).agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).collect()  # CLASSES for each doubling
+    n, total = sum(r["n"] for r in classes), sum(r["dl"] for r in classes)
     average = total / n if n else 0.0
+    shares = F.create_map(*[F.lit(x) for r in classes for x in (r["class"], max(1, r["n"] // block))]) if classes else F.create_map(F.lit(0), F.lit(1))
+    number = size.cast("long") * (1 << 40) + F.pmod(F.xxhash64("key"), F.element_at(shares, size).cast("long"))
+    placed = rows.select("key", "dl", number.alias("block"), "counts")
+    placed.select("key", "dl", "block").write.mode("overwrite").parquet(f"{path}/units")
     spark.createDataFrame([(n, average)], "units long, average double").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    tokens = lists.where(F.size("terms") > 0).join(placed, "key").select("block", "key", "dl", F.explode("terms").alias("term"))
-    counts = tokens.groupBy("term", "block", "key", "dl").agg(F.count("*").alias("tf"))
+    each = placed.select("block", "key", "dl", F.explode("counts").alias("x")).select("x.term", "block", "key", "x.tf", "dl")
     hits = F.sort_array(F.collect_list(F.struct("key", "tf", "dl")))  # of one block
-    rows = counts.groupBy("term", "block").agg(hits.alias("hits"), F.max(_impact(F.col("tf"), F.col("dl"), average)).alias("most"))
-    near = rows.repartitionByRange(parts, "term", "block").sortWithinPartitions("term", "block")
-    near.write.option("parquet.block.size", GROUP_BYTES).option("compression", CODEC).mode("overwrite").parquet(f"{path}/postings")
-    discard(lists)
+    near = each.repartitionByRange(parts, "term", "block").groupBy("term", "block").agg(hits.alias("hits"), F.max(_impact(F.col("tf"), F.col("dl"), average)).alias("most"))
+    near.sortWithinPartitions("term", "block").write.option("parquet.block.size", GROUP_BYTES).option("compression", CODEC).mode("overwrite").parquet(f"{path}/postings")
+    discard(rows)
     spark.read.parquet(f"{path}/postings").select("term", "block", F.size("hits").cast("long").alias("n"), "most").write.mode("overwrite").parquet(f"{path}/maxima")
     return load(spark, path)
 
