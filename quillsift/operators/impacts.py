@@ -28,6 +28,8 @@ BLOCK, CLASSES = 128, 4
 WAVES = (32, 256)
 #: Ranges of block numbers that a scan is given.
 RANGES = 16
+#: Units that are counted at a time.
+ROWS = 128
 #: Digits of a score; bounds are taken larger by one unit of them.
 DIGITS = 4
 #: Bytes of a row group of the postings, small, so that scans skip by term and block.
@@ -51,10 +53,12 @@ def counted(units: DataFrame, keys: list[str]) -> DataFrame:
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
-        for batch in batches:
-            lists = batch.column("terms").to_pylist()
-            found = [[{"term": t, "tf": n} for t, n in Counter(terms or ()).items()] for terms in lists]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(terms or ()) for terms in lists], pa.int32()), pa.array(found, kind)], names=["key", "dl", "counts"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                lists = batch.column("terms").to_pylist()
+                found = [[{"term": t, "tf": n} for t, n in Counter(terms or ()).items()] for terms in lists]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(terms or ()) for terms in lists], pa.int32()), pa.array(found, kind)], names=["key", "dl", "counts"])
 
     return given.mapInArrow(run, f"key {given.schema['key'].dataType.simpleString()}, dl int, counts array<struct<term: string, tf: long>>")
 
