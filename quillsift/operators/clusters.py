@@ -18,10 +18,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
+from .text import let
 from .topics import STOP_WORDS, TERM
 
 FEATURES = 4096
@@ -42,7 +44,8 @@ def unit_vectors(units: DataFrame, key: str, text_col: str = "text", features: i
     idf = counted.where("p IS NOT NULL").groupBy("p").agg((F.log((1 + F.lit(total)) / (1 + F.count("*"))) + 1).alias("idf"))  # a row for each feature at most
     raw = counted.join(F.broadcast(idf), "p", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", (F.col("n") * F.col("idf")).alias("w"))))).alias("ws"))
     length = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    return raw.withColumn("length", length).select(key, F.transform("ws", lambda x: x["p"]).alias("at"), F.transform("ws", lambda x: F.round(F.lit(UNIT) * x["w"] / F.col("length")).cast("int")).alias("x"))
+    x = let(length, lambda n: F.transform("ws", lambda x: F.round(F.lit(UNIT) * x["w"] / n).cast("int")))
+    return raw.select(key, F.transform("ws", lambda x: x["p"]).alias("at"), x.alias("x"))
 
 
 def _dense(at, x, features: int) -> np.ndarray:
@@ -63,15 +66,22 @@ def _batches(batch):
     return np.repeat(np.arange(len(sizes)), sizes), at, x
 
 
+def _blocks(batch, features: int):
+    """(first row, a matrix of the next rows), for matrix products; of CELLS numbers at most."""
+    rows, at, x = _batches(batch)
+    step = max(1, CELLS // features)
+    for first in range(0, batch.num_rows, step):
+        a, b = np.searchsorted(rows, [first, first + step])
+        block = np.zeros((min(step, batch.num_rows - first), features))
+        block[rows[a:b] - first, at[a:b]] = x[a:b]
+        yield first, block
+
+
 def similarities(batch, centres: np.ndarray) -> np.ndarray:
     """Rows of the batch x centres: cosines; ``centres`` are of unit length."""
-    rows, at, x = _batches(batch)
     out = np.zeros((batch.num_rows, len(centres)))
-    step = max(1, CELLS // max(1, len(centres)))
-    for first in range(0, len(rows), step):
-        part = slice(first, first + step)
-        starts = np.flatnonzero(np.concatenate([[True], rows[part][1:] != rows[part][:-1]]))
-        out[rows[part][starts]] += np.add.reduceat(centres[:, at[part]].T * x[part][:, None], starts, axis=0)
+    for first, block in _blocks(batch, centres.shape[1]):
+        out[first : first + len(block)] = block @ centres.T
     return out / UNIT
 
 
@@ -110,7 +120,7 @@ def _drawn(units: DataFrame, seeds: list[np.ndarray], wanted: int, turn: int, ke
         import pyarrow as pa
 
         for batch in batches:
-            lots = np.array(batch.column("lots").to_pylist(), dtype=np.float64).reshape(batch.num_rows, starts)
+            lots = batch.column("lots").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, starts)
             rows, which = np.nonzero(lots < _far(batch) * chance) if batch.num_rows else (np.zeros(0, int),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), batch.column("at").take(pa.array(rows)), batch.column("x").take(pa.array(rows))], names=["start", "at", "x"])
 
@@ -165,26 +175,29 @@ def _sums(units: DataFrame, centres: list[np.ndarray], sums: bool = True) -> tup
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows, at, x = _batches(batch)
-            near = np.where(live, similarities(batch, held).round(9), -np.inf)
-            for s, (a, b) in enumerate(zip(begins, ends)):
-                mine = near[:, a:b].argmax(axis=1) + a
+            for _, block in _blocks(batch, held.shape[1]):
+                near = np.where(live, (block @ held.T / UNIT).round(9), -np.inf)
+                takes = np.zeros(near.shape)
+                for s, (a, b) in enumerate(zip(begins, ends)):
+                    mine = near[:, a:b].argmax(axis=1) + a
+                    takes[np.arange(len(mine)), mine] = 1
+                    cost[s] += np.round(UNIT * (1 - near[np.arange(len(mine)), mine])).astype(np.int64).sum()
                 if sums:
-                    np.add.at(total, (mine[rows], at), x)
-                np.add.at(count, mine, 1)
-                cost[s] += np.round(UNIT * (1 - near[np.arange(len(mine)), mine])).astype(np.int64).sum()
-        c, i = np.nonzero(total)
-        one = np.flatnonzero(count)
-        what = np.concatenate([c, one, np.arange(len(cost))])
-        place = np.concatenate([i, np.full(len(one), -1), np.full(len(cost), -2)])
-        yield pa.RecordBatch.from_pydict({"c": pa.array(what, pa.int32()), "i": pa.array(place, pa.int32()), "x": pa.array(np.concatenate([total[c, i], count[one], cost]), pa.int64())})
+                    total += (takes.T @ block).astype(np.int64)  # whole numbers far below 2^53, so exact
+                count += takes.sum(axis=0).astype(np.int64)
+        found = [(c, int(count[c]), total[c].tobytes()) for c in np.flatnonzero(count).tolist()] + [(-1, 0, cost.tobytes())]
+        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*found), (pa.int32(), pa.int64(), pa.binary()))], names=["c", "n", "x"])
+
+    def merge(key, part):
+        return pd.DataFrame([(key[0], part["n"].sum(), sum(np.frombuffer(x, np.int64) for x in part["x"]).tobytes())], columns=["c", "n", "x"])
 
     total, count, cost = np.zeros(held.shape), np.zeros(len(held)), np.zeros(len(centres))
-    found = units.select("at", "x").mapInArrow(add, "c int, i int, x long").groupBy("c", "i").agg(F.sum("x").alias("x")).toArrow()  # a row for each number of the centres at most
-    c, i, x = (found.column(name).to_numpy() for name in ("c", "i", "x"))
-    total[c[i >= 0], i[i >= 0]] = x[i >= 0]
-    count[c[i == -1]] = x[i == -1]
-    cost[c[i == -2]] = x[i == -2] / UNIT
+    # A row for each centre from each task.
+    for r in units.select("at", "x").mapInArrow(add, "c int, n long, x binary").groupBy("c").applyInPandas(merge, "c int, n long, x binary").collect():
+        if r["c"] < 0:
+            cost = np.frombuffer(r["x"], np.int64) / UNIT
+        else:
+            total[r["c"]], count[r["c"]] = np.frombuffer(r["x"], np.int64), r["n"]
     return [total[a:b] for a, b in zip(begins, ends)], [count[a:b] for a, b in zip(begins, ends)], cost.tolist()
 
 
