@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..sources.shared import materialize
 from .text import lemma, sentences, token_array
@@ -90,6 +92,75 @@ def merge_postings(indexes: DataFrame) -> DataFrame:
     return indexes.groupBy("doc_id", "term").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("postings")))).alias("postings"))
 
 
+def document_postings(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, sent_id, terms), where those of a document stand together -> its inverted index (doc_id, term, postings).
+
+    A document is gathered where its rows are, in Arrow batches, so nothing is
+    shuffled and no task holds more than a batch and a document.
+    """
+
+    def flat(batch):
+        lists = batch.column("terms")
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        return sizes, coded.dictionary, coded.indices.to_numpy(), np.repeat(batch.column("sent_id").to_numpy(zero_copy_only=False), sizes)
+
+    return _gathered(rows.select("doc_id", "sent_id", "terms"), flat)
+
+
+def merged_postings(indexes: DataFrame) -> DataFrame:
+    """``merge_postings`` of indexes(doc_id, term, postings) where the rows of a document stand together."""
+
+    def flat(batch):
+        lists = batch.column("postings")
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        coded = batch.column("term").dictionary_encode()
+        return sizes, coded.dictionary, np.repeat(coded.indices.to_numpy(), sizes), lists.flatten().to_numpy(zero_copy_only=False)
+
+    return _gathered(indexes.select("doc_id", "term", "postings"), flat)
+
+
+def _gathered(rows: DataFrame, flat) -> DataFrame:
+    """(doc_id, term, postings) of rows of adjacent documents; ``flat`` gives a batch's (pairs in each row, terms, a term's number and a sentence for each pair)."""
+    given = rows.schema["doc_id"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        def made(held):
+            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            docs = batch.column("doc_id").dictionary_encode(null_encoding="encode")
+            sizes, terms, numbers, sents = flat(batch)
+            key = np.repeat(docs.indices.to_numpy().astype(np.int64), sizes) * max(1, len(terms)) + numbers
+            order = np.lexsort((sents, key))
+            key, sents = key[order], sents[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+            kept = first | np.concatenate([[True], sents[1:] != sents[:-1]])[: len(key)]  # distinct
+            key, sents, first = key[kept], sents[kept], first[kept]
+            starts = np.flatnonzero(first)
+            postings = pa.ListArray.from_arrays(pa.array([*starts, len(key)], pa.int32()), pa.array(sents, pa.int32()))
+            doc, term = np.divmod(key[starts], max(1, len(terms)))
+            return pa.RecordBatch.from_arrays([docs.dictionary.take(pa.array(doc)), terms.take(pa.array(term)), postings], names=["doc_id", "term", "postings"])
+
+        held: list = []  # batches whose last document may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("doc_id").to_pylist()
+            cut = batch.num_rows
+            while cut and ids[cut - 1] == ids[-1]:
+                cut -= 1
+            if cut or (held and held[-1].column("doc_id")[-1].as_py() != ids[0]):
+                whole = [*held, batch.slice(0, cut)] if cut else held
+                yield made(whole)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield made(held)
+
+    return rows.mapInArrow(run, StructType([StructField("doc_id", given.dataType), StructField("term", StringType()), StructField("postings", ArrayType(IntegerType()))]))
+
+
 def term_sentence_freq(posts: DataFrame) -> DataFrame:
     return posts.groupBy("doc_id", "term").agg(F.count("*").alias("sentences"))
 
