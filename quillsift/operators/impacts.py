@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..sources.index import CODEC
 from ..sources.shared import discard, exists, materialize, small_side
+from ..sources.shared import size as bytes_of
 from .keyword import K1, B
 
 #: Units of a block, about, and classes of lengths for each doubling.
@@ -34,6 +35,8 @@ ROWS = 128
 DIGITS = 4
 #: Bytes of a row group of the postings, small, so that scans skip by term and block.
 GROUP_BYTES = 1 << 20
+#: Bytes of written counts whose postings are one file, and one task's.
+COUNT_BYTES = 8 << 20
 TABLES = ("postings", "maxima", "units", "stats")
 
 
@@ -75,8 +78,8 @@ def build(units: DataFrame, keys: list[str], path: str, block: int = BLOCK) -> d
     are dealt by one shuffle, by the range that they are stored in.
     """
     spark = units.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = materialize(counted(units, keys), "unit-counts")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_of(spark, rows.materialized_at) // COUNT_BYTES))
     size = F.floor(CLASSES * F.log2(1.0 + F.col("dl"))).cast("int")
     classes = rows.groupBy(size.alias("class")).agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).collect()  # CLASSES for each doubling
     n, total = sum(r["n"] for r in classes), sum(r["dl"] for r in classes)
