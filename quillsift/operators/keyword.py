@@ -82,6 +82,11 @@ def postings(sents: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
     return rows.select("doc_id", "term", "sent_id")
 
 
+def postings_of_terms(sents: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, term, sent_id) of a question's terms in sents(doc_id, sent_id, terms), distinct terms; a projection of the scan, for one question whose index has no postings."""
+    return sents.select("doc_id", F.explode(F.array_intersect("terms", F.array(*[F.lit(t) for t in terms]).cast("array<string>"))).alias("term"), "sent_id")
+
+
 def inverted_index(posts: DataFrame) -> DataFrame:
     """posts, distinct -> (doc_id, term, postings): ascending sentence ids of one document's term."""
     return posts.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("sent_id")).alias("postings"))
