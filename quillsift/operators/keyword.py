@@ -213,6 +213,11 @@ def extract_keywords(docs: DataFrame, top_n: int = 8, segment=token_array) -> Da
     ``segment`` gives a text's tokens; for unspaced text see ``operators.segment``.
     """
     counts = docs.select("doc_id", F.explode(segment(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return top_terms(counts, top_n)
+
+
+def top_terms(counts: DataFrame, top_n: int = 8) -> DataFrame:
+    """counts(doc_id, term, n) -> (doc_id, keywords), as ``extract_keywords``."""
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "term"))
     best = counts.withColumn("r", rank).where(F.col("r") <= top_n)
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), " ")
