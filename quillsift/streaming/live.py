@@ -11,12 +11,13 @@ neither a stopped compaction nor one that runs again is seen.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.text import sentences, token_array
+from ..operators.keyword import with_terms
+from ..operators.text import sentences
 from ..sources import index
-from ..sources.shared import children, delete, exists
+from ..sources.shared import children, delete, exists, size
 
 RUN, BASE = "run=", "base="
 
@@ -33,9 +34,11 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, **how):
         whole = batch.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("text").alias("text"))
         at = f"{path}/{RUN}{batch_id}"
         delete(spark, at)
-        split = sentences(whole.where("trim(text) <> ''"), **how).withColumn("terms", F.array_distinct(token_array(F.col("sentence"))))
-        split.write.parquet(f"{at}/sentences")
-        whole.select("doc_id", F.coalesce(F.trim("text") == "", F.lit(True)).alias("deleted")).write.parquet(f"{at}/changes")  # last: its end makes the run valid
+        split = sentences(whole.where("trim(text) <> ''"), **how)
+        split.write.option("compression", index.CODEC).parquet(f"{at}/sentences")
+        # Of a text that is not blank its first other character tells its order among blank ones, so no text is dealt again.
+        heads = batch.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.regexp_extract("text", "^ *[^ ]?", 0)).alias("text"))
+        heads.select("doc_id", F.coalesce(F.trim("text") == "", F.lit(True)).alias("deleted")).write.parquet(f"{at}/changes")  # last: its end makes the run valid
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -71,7 +74,7 @@ def current(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         return {name: old[name] for name in ("documents", "sentences")}
     last = _each(spark, path, base, runs, "changes").groupBy("doc_id").agg(F.max(F.struct("run", "deleted")).alias("x")).select("doc_id", "x.run", "x.deleted")
     documents = last.where("NOT deleted").select("doc_id")
-    sents = _each(spark, path, base, runs, "sentences").join(last.where("NOT deleted").select("doc_id", "run"), ["doc_id", "run"], "left_semi").drop("run")
+    sents = with_terms(_each(spark, path, base, runs, "sentences")).join(last.where("NOT deleted").select("doc_id", "run"), ["doc_id", "run"], "left_semi").drop("run")
     if old is not None:
         documents = documents.unionByName(old["documents"].join(last, "doc_id", "left_anti"))
         sents = sents.unionByName(old["sentences"].join(last, "doc_id", "left_anti"))
@@ -88,19 +91,28 @@ def postings(spark: SparkSession, path: str, terms: list[str] | None = None) ->
             raise FileNotFoundError(f"no live index under {path}")
         return old
     last = _each(spark, path, base, runs, "changes").groupBy("doc_id").agg(F.max(F.struct("run", "deleted")).alias("x")).select("doc_id", "x.run", "x.deleted")
-    fresh = _each(spark, path, base, runs, "sentences").join(last.where("NOT deleted").select("doc_id", "run"), ["doc_id", "run"], "left_semi")
+    fresh = with_terms(_each(spark, path, base, runs, "sentences")).join(last.where("NOT deleted").select("doc_id", "run"), ["doc_id", "run"], "left_semi")
     new = wanted(fresh.select("doc_id", "sent_id", F.explode("terms").alias("term"))).groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("sent_id")).alias("sent_ids"))
     return new if old is None else new.unionByName(old.join(last, "doc_id", "left_anti"))
 
 
+def _merged(spark: SparkSession, path: str, base: int, runs: list[int], parts: int) -> DataFrame:
+    """(doc_id, sent_id, sentence) as they stand, by range of doc_id: sentences and changes are dealt together, once, and those of a document's last run stay."""
+    none = lambda df: df.select("doc_id", F.lit(None).cast("int").alias("sent_id"), F.lit(None).cast("string").alias("sentence"), "run")
+    rows = _each(spark, path, base, runs, "sentences").select("doc_id", "sent_id", "sentence", "run").unionByName(none(_each(spark, path, base, runs, "changes")))
+    if base >= 0:
+        rows = rows.unionByName(index.load(spark, f"{path}/{BASE}{base}", index.TABLES[:2])["sentences"].select("doc_id", "sent_id", "sentence", F.lit(base).alias("run")))
+    last = F.max("run").over(Window.partitionBy("doc_id"))  # a document's rows
+    return rows.repartitionByRange(parts, "doc_id").withColumn("last", last).where("run = last AND sentence IS NOT NULL").select("doc_id", "sent_id", "sentence")
+
+
 def compact(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Base and runs become a new base, whose number is the last run's; older ones go.  Without a new run nothing changes."""
     base, runs = _state(spark, path)
     if runs:
-        now = current(spark, path)
         made = f"{path}/{BASE}{runs[-1]}"
         delete(spark, made)
-        index.write(now["documents"], now["sentences"], made)
+        index.write_dealt(current(spark, path)["documents"], lambda parts: _merged(spark, path, base, runs, parts), sum(size(spark, f"{path}/{RUN}{n}/sentences") for n in runs), made)
         for n in _valid(spark, path, RUN, "changes"):
             if n <= runs[-1]:
                 delete(spark, f"{path}/{RUN}{n}")
